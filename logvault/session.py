@@ -37,6 +37,7 @@ def get_spark(master: str | None = None, partitions: int | None = None,
     if master:
         b = b.master(master)
         b = b.config("spark.ui.enabled", "false")
+        b = b.config("spark.ui.showConsoleProgress", "false")
         b = b.config("spark.driver.memory", "8g")
         b = b.config("spark.sql.session.timeZone", "UTC")
     if partitions:
