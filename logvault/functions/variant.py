@@ -34,14 +34,14 @@ def is_array(v: Column) -> Column:
     return v.try_cast("array<variant>").isNotNull()
 
 
-def bucket(v: Column) -> Column:
-    """Pairwise type bucket of a scalar variant: string / int / float / bool.
+def bucket_of_type(t: Column, v: Column) -> Column:
+    """Pairwise type bucket from a ``schema_of_variant`` string ``t`` of ``v``.
 
-    JSON null gives NULL (such leaves are skipped). Integers that do not fit a
-    BIGINT arrive as DECIMAL(p>=19, 0) and are rejected, like the Arrow build
-    of the reference rejects them. Containers give 'object' / 'array'.
+    string / int / float / bool; JSON null gives NULL (such leaves are
+    skipped). Integers that do not fit a BIGINT arrive as DECIMAL(p>=19, 0)
+    and are rejected, like the Arrow build of the reference rejects them.
+    Containers give 'object' / 'array'.
     """
-    t = F.schema_of_variant(v)
     return (
         F.when(t == "STRING", F.lit("string"))
         .when(t == "BOOLEAN", F.lit("bool"))
@@ -55,6 +55,11 @@ def bucket(v: Column) -> Column:
     )
 
 
+def bucket(v: Column) -> Column:
+    """Pairwise type bucket of a variant value (see ``bucket_of_type``)."""
+    return F.element_at(F.transform(F.array(F.schema_of_variant(v)), lambda t: bucket_of_type(t, v)), 1)
+
+
 def py_str(v: Column) -> Column:
     """Text of a scalar as Python's ``str()`` writes it (None/True/False)."""
     t = F.schema_of_variant(v)

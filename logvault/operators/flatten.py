@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvault.functions.variant import bucket, is_array, is_object
+from logvault.functions.variant import bucket_of_type, is_array, is_object
 
 DEFAULT_DEPTH = 8
 BUCKETS = ("string", "int", "float", "bool")
@@ -47,8 +47,11 @@ def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int
     for _ in range(depth):
         df = df.withColumn(out, F.flatten(F.transform(F.col(out), _expand)))
     deep = F.exists(F.col(out), lambda x: is_object(x["v"]) | is_array(x["v"]))
+    with_type = F.transform(F.col(out), lambda x: F.struct(
+        x["p"].alias("p"), F.schema_of_variant(x["v"]).alias("s"), x["v"].alias("v")))
     typed = F.filter(
-        F.transform(F.col(out), lambda x: F.struct(x["p"].alias("p"), bucket(x["v"]).alias("t"), x["v"].alias("v"))),
+        F.transform(with_type, lambda x: F.struct(
+            x["p"].alias("p"), bucket_of_type(x["s"], x["v"]).alias("t"), x["v"].alias("v"))),
         lambda x: x["t"].isNotNull())
     msg = F.lit(f"document nested deeper than {depth} levels; raise depth=")
     return df.withColumn(out, F.when(deep, F.raise_error(msg).cast("array<struct<p:string,t:string,v:variant>>"))

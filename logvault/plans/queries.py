@@ -75,4 +75,10 @@ def registry() -> tuple[dict, dict]:
             sql[name] = oracle.search_rows(oracle.SEARCH_SQL[oform])
         q[f"count_hits_{layout_name}"] = partial(count_query, layout_name=layout_name)
         sql[f"count_hits_{layout_name}"] = oracle.search_counts({s: o for s, _, _, o in forms})
+    from logvault.plans import catalog_queries
+    q.update(catalog_queries.QUERIES)
+    sql.update(catalog_queries.oracles())
+    from logvault.plans import archive_queries
+    q.update(archive_queries.QUERIES)
+    sql.update(archive_queries.oracles())
     return q, sql
