@@ -81,4 +81,7 @@ def registry() -> tuple[dict, dict]:
     from logvault.plans import archive_queries
     q.update(archive_queries.QUERIES)
     sql.update(archive_queries.oracles())
+    from logvault.plans import run_queries
+    q.update(run_queries.QUERIES)
+    sql.update(run_queries.oracles())
     return q, sql

@@ -140,3 +140,38 @@ def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(uid.alias("run_id"), tool.alias("tool"), F.lit("mongod").alias("dataset"),
                        config.alias("config"), phase.alias("phase"), qind.alias("query_ind"),
                        "start", "end", "result")
+
+
+def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tool, doc``: one result document per run of ``bench_runs``.
+
+    Stand-in measurements come from the run's events, kept integral so any
+    summation order gives the same doubles: time = sum(int(value x 100))/100,
+    memory = max(int(value x 100)) x 1e4 (-1, i.e. "no sample", every 7th run),
+    sizes = 3000 / 1000 bytes per event (0 for every 50th run), result =
+    events. Query entries sit at their position in the cold/hot lists.
+    """
+    ev = _read(spark, sf_dir, "events")
+    cents = (F.col("value") * 100).cast("bigint")
+    stats = ev.groupBy("user_id").agg(F.sum(cents).alias("s"), F.max(cents).alias("mx"))
+    runs = bench_runs(spark, sf_dir).join(stats, F.col("run_id") == F.col("user_id")).drop("user_id")
+    start = F.date_format("start", "yyyy-MM-dd HH:mm:ss")
+    mem = F.when(F.col("run_id") % 7 == 0, F.lit(-1.0)).otherwise(F.col("mx") * 10000.0)
+    ingest = F.struct((F.col("s") / 100.0).alias("time_taken_s"), mem.alias("memory_average_B"),
+                      F.when(F.col("run_id") % 50 == 0, F.lit(0)).otherwise(F.col("result") * 1000)
+                      .alias("compressed_size_B"),
+                      (F.col("result") * 3000).alias("decompressed_size_B"), start.alias("start_time"))
+    entry = F.struct((F.col("s") / 100.0).alias("time_taken_s"), mem.alias("memory_average_B"),
+                     F.col("result").alias("result"), start.alias("start_time"))
+    pos = F.concat(F.array_repeat(F.lit(None).cast(entry_type()), F.coalesce(F.col("query_ind"), F.lit(0))),
+                   F.array(entry))
+    body = F.struct(
+        F.when(F.col("phase") == "ingest", ingest).alias("ingest"),
+        F.when(F.col("phase") == "cold", pos).alias("query_cold"),
+        F.when(F.col("phase") == "hot", pos).alias("query_hot"))
+    doc = F.create_map(F.col("dataset"), F.create_map(F.col("config"), body))
+    return runs.select("tool", F.to_json(doc).alias("doc"))
+
+
+def entry_type() -> str:
+    return "struct<time_taken_s:double,memory_average_B:double,result:bigint,start_time:string>"
