@@ -84,4 +84,7 @@ def registry() -> tuple[dict, dict]:
     from logvault.plans import run_queries
     q.update(run_queries.QUERIES)
     sql.update(run_queries.oracles())
+    from logvault.plans import stream_queries
+    q.update(stream_queries.QUERIES)
+    sql.update(stream_queries.oracles())
     return q, sql
