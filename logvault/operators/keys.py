@@ -48,6 +48,15 @@ def encode_name(k: str, mode: str) -> str:
     raise ValueError(f"mode must be one of {MODES}")
 
 
+def _float_leaf(x: Column) -> Column:
+    """A float written with an integral value (``6.0``) parses to DECIMAL(p,0)
+    and would print as ``6``; store it as DOUBLE so JSON text keeps ``6.0``.
+    DECIMAL(p>=19,0) is left alone (it may be an integer beyond 64 bits)."""
+    t = F.schema_of_variant(x)
+    integral_dec = t.rlike(r"^DECIMAL\((1[0-8]|[1-9]),0\)$")
+    return F.when(integral_dec, x.try_cast("double").cast("variant")).otherwise(x)
+
+
 def _enc(x: Column, mode: str, level: int, depth: int) -> Column:
     if level == depth:
         msg = F.lit(f"document nested deeper than {depth} levels; raise depth=")
@@ -62,7 +71,7 @@ def _enc(x: Column, mode: str, level: int, depth: int) -> Column:
     built = F.element_at(F.transform(F.array(done), lambda d: F.when(
         m.isNotNull(), F.to_variant_object(F.map_from_entries(d))
     ).otherwise(F.transform(d, lambda e: e["v"]).cast("variant"))), 1)
-    return F.when(m.isNotNull() | a.isNotNull(), built).otherwise(x)
+    return F.when(m.isNotNull() | a.isNotNull(), built).otherwise(_float_leaf(x))
 
 
 def encode_keys_variant(v: Column, mode: str = "b64", depth: int = DEFAULT_DEPTH) -> Column:

@@ -16,10 +16,24 @@ def to_event_time(text: Column, formats: tuple | list = ()) -> Column:
     return F.coalesce(*tries)
 
 
+def to_event_time_ntz(text: Column) -> Column:
+    """Zone-free event time (TIMESTAMP_NTZ) of a local-time text; NULL if unparsable."""
+    return text.try_cast("timestamp_ntz")
+
+
+def epoch_millis_ntz(ts: Column) -> Column:
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def timestamp_key(df: DataFrame, resolver, path: str, out: str = "event_time",
-                  formats: tuple | list = ()) -> DataFrame:
-    """Event time taken from a dotted path (parts may hold ``$``/``@``)."""
-    return df.withColumn(out, to_event_time(resolver.text(path), formats))
+                  formats: tuple | list = (), zoned: bool = True) -> DataFrame:
+    """Event time taken from a dotted path (parts may hold ``$``/``@``).
+
+    ``zoned``: TIMESTAMP (offsets honoured, local texts in the session zone);
+    otherwise TIMESTAMP_NTZ of the local text, independent of any zone.
+    """
+    text = resolver.text(path)
+    return df.withColumn(out, to_event_time(text, formats) if zoned else to_event_time_ntz(text))
 
 
 # Fixed value: the columns one layout projects for a search result.

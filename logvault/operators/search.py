@@ -31,17 +31,18 @@ def cross_check(counts: DataFrame, a: str, b: str) -> DataFrame:
     return counts.select(F.col(a), F.col(b), (F.col(a) == F.col(b)).alias("equal"))
 
 
-def layout_diff(left: DataFrame, left_layout: Layout, right: DataFrame, right_layout: Layout,
-                pred: Pred, key_path: str) -> DataFrame:
-    """Events found by ``pred`` in one layout and not the other.
+def layout_diff(left: DataFrame, left_layout: Layout, left_pred: Pred, right: DataFrame,
+                right_layout: Layout, right_pred: Pred, key_path: str) -> DataFrame:
+    """Events found in one layout/search and not in the other
+    -> ``(key, side)`` with side ``left_only`` / ``right_only``.
 
-    ``key_path`` identifies an event in both layouts. Both sides shuffle once
-    on the key (left_anti both ways); only the key column travels.
+    ``key_path`` identifies an event in both layouts. Only the key column is
+    shuffled (one left-anti join each way, planned by Spark).
     """
-    lk = search(left, left_layout, pred).select(
-        left_layout.resolver(left).text(key_path).alias("key"))
-    rk = search(right, right_layout, pred).select(
-        right_layout.resolver(right).text(key_path).alias("key"))
+    lk = search(left, left_layout, left_pred)
+    lk = lk.select(left_layout.resolver(lk).integer(key_path).alias("key"))
+    rk = search(right, right_layout, right_pred)
+    rk = rk.select(right_layout.resolver(rk).integer(key_path).alias("key"))
     only_l = lk.join(rk, "key", "left_anti").withColumn("side", F.lit("left_only"))
     only_r = rk.join(lk, "key", "left_anti").withColumn("side", F.lit("right_only"))
     return only_l.unionByName(only_r)

@@ -87,4 +87,7 @@ def registry() -> tuple[dict, dict]:
     from logvault.plans import stream_queries
     q.update(stream_queries.QUERIES)
     sql.update(stream_queries.oracles())
+    from logvault.plans import more_queries
+    q.update(more_queries.QUERIES)
+    sql.update(more_queries.oracles())
     return q, sql
