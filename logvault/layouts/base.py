@@ -32,6 +32,13 @@ class Resolver:
     def integer(self, path) -> Column:  # exact 64-bit integer value
         return self.text(path).try_cast("bigint")
 
+    def numeric_operands(self, path, value) -> tuple[Column, Column]:
+        """(value of path, literal) in the best common type for comparing.
+
+        Layouts with typed integral storage override this so that comparisons
+        stay in the column's own type and can be pushed into the scan."""
+        return self.number(path), F.lit(float(value))
+
     def bucket_has(self, path, bucket: str) -> Column:  # leaf of the given pairwise bucket
         raise NotImplementedError
 

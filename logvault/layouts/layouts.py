@@ -152,6 +152,18 @@ class StructResolver(Resolver):
             return c.cast("double")
         return c.try_cast("double")
 
+    def integer(self, path):
+        c, t = self._resolve(path)
+        if c is None:
+            return F.lit(None).cast("bigint")
+        return c.cast("bigint") if isinstance(t, T.IntegralType) else c.try_cast("bigint")
+
+    def numeric_operands(self, path, value):
+        c, t = self._resolve(path)
+        if c is not None and isinstance(t, T.IntegralType) and float(value).is_integer():
+            return c, F.lit(int(value))
+        return self.number(path), F.lit(float(value))
+
     def bucket_has(self, path, bucket):
         c, t = self._resolve(path)
         if c is None:
@@ -247,6 +259,14 @@ class StaticDynamicResolver(Resolver):
             return c.try_cast("bigint")
         return c.integer(extra) if kind == "dynamic" else F.lit(None).cast("bigint")
 
+    def numeric_operands(self, path, value):
+        kind, c, extra = self._route(path)
+        if kind == "static" and extra in ("bigint", "int") and float(value).is_integer():
+            return c, F.lit(int(value))
+        if kind == "dynamic":
+            return c.numeric_operands(extra, value)
+        return self.number(path), F.lit(float(value))
+
     def bucket_has(self, path, bucket):
         kind, c, extra = self._route(path)
         if kind == "static":
@@ -270,16 +290,21 @@ class StaticDynamicLayout(Layout):
 
     def build(self, lines):
         keep = _passthrough(lines)
-        j = F.parse_json("line")
+        return self.from_variant(lines.select(*keep, F.parse_json("line").alias("_j")), "_j")
+
+    def from_variant(self, df, j: str):
+        """Layout columns from an already parsed VARIANT column ``j``."""
+        keep = [c for c in df.columns if c not in (j, "line")]
+        v = F.col(j)
         cols = []
         for p, t in self.static:
             if t == "timestamp":
                 from logvault.operators.project import to_event_time
-                c = to_event_time(V.vget(j, p, "string"), self.timestamp_formats)
+                c = to_event_time(V.vget(v, p, "string"), self.timestamp_formats)
             else:
-                c = V.vget(j, p, t)
+                c = V.vget(v, p, t)
             cols.append(c.alias(_col_name(p)))
-        return lines.select(*keep, *cols, V.vget(j, self.dynamic).alias(self.dynamic))
+        return df.select(*keep, *cols, V.vget(v, self.dynamic).alias(self.dynamic))
 
     def resolver(self, df):
         return StaticDynamicResolver(self.static, self.dynamic)

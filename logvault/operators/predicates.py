@@ -65,7 +65,8 @@ class Eq(Pred):  # P03 (number) / P04 (string)
 
     def column(self, r):
         if _is_num(self.value):
-            return r.number(self.path) == F.lit(float(self.value))
+            x, v = r.numeric_operands(self.path, self.value)
+            return x == v
         if isinstance(self.value, bool):
             return r.text(self.path) == F.lit("true" if self.value else "false")
         return r.text(self.path) == F.lit(self.value)
@@ -79,7 +80,7 @@ class Ne(Pred):  # P05 / P06
 
     def column(self, r):
         if _is_num(self.value):
-            x, v = r.number(self.path), F.lit(float(self.value))
+            x, v = r.numeric_operands(self.path, self.value)
         else:
             x, v = r.text(self.path), F.lit(self.value)
         if self.absent == "keep":
@@ -114,7 +115,7 @@ class Cmp(Pred):  # P09
     value: float
 
     def column(self, r):
-        x, v = r.number(self.path), F.lit(float(self.value))
+        x, v = r.numeric_operands(self.path, self.value)
         return {"gt": x > v, "ge": x >= v, "lt": x < v, "le": x <= v}[self.op]
 
 
@@ -193,7 +194,8 @@ class Match(Pred):  # P12
 
     def column(self, r):
         if _is_num(self.query):
-            return F.coalesce(r.number(self.path) == F.lit(float(self.query)), F.lit(False))
+            x, v = r.numeric_operands(self.path, self.query)
+            return F.coalesce(x == v, F.lit(False))
         q = text_tokens(self.query)
         if not q:
             return F.lit(False)

@@ -41,10 +41,14 @@ lng AS (
                 WHERE phase = 'ingest'
     UNION ALL SELECT 'decompressed_size_B', CAST(result * 3000 AS DOUBLE) WHERE phase = 'ingest'
     UNION ALL SELECT 'result', CAST(result AS DOUBLE) WHERE phase <> 'ingest') m),
+both_phases AS (
+  SELECT tool, dataset, config FROM lng WHERE phase IN ('cold', 'hot')
+  GROUP BY tool, dataset, config HAVING count(DISTINCT phase) = 2),
 lab AS (
   SELECT *, tool || ' (' || CASE WHEN config = '{}' THEN '' ELSE 'dataset_variation=cleaned_log' END || ')'
             AS methodology
-  FROM lng),
+  FROM lng
+  WHERE phase = 'ingest' OR (tool, dataset, config) IN (SELECT (tool, dataset, config) FROM both_phases)),
 rep AS (
   SELECT dataset || ' (ingest)' AS sheet, methodology,
          CASE metric WHEN 'memory_average_B' THEN 'memory_average_MB'

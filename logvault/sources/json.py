@@ -15,12 +15,14 @@ def read_json_inferred(spark: SparkSession, path, sampling_ratio: float = 1.0) -
 
 
 def read_json_declared(spark: SparkSession, path, static=None, dynamic: str = "attr",
-                       timestamp_formats: tuple = ()) -> DataFrame:
-    """Declared typed fields plus one VARIANT for the dynamic rest."""
+                       timestamp_formats: tuple = (), mode: str = "skip") -> DataFrame:
+    """Declared typed fields plus one VARIANT for the dynamic rest;
+    malformed lines follow the S06 policy ``mode``."""
     kw = {"dynamic": dynamic, "timestamp_formats": timestamp_formats}
     if static is not None:
         kw["static"] = tuple(static)
-    return StaticDynamicLayout(**kw).build(read_lines(spark, path))
+    parsed, _ = parse_lines(read_lines(spark, path), mode, out="_j")
+    return StaticDynamicLayout(**kw).from_variant(parsed, "_j")
 
 
 def read_json_variant(spark: SparkSession, path, mode: str = "skip") -> tuple[DataFrame, DataFrame]:
