@@ -23,39 +23,62 @@ def _child_path(parent: Column, key: Column) -> Column:
     return F.when(parent == "", key).otherwise(F.concat(parent, F.lit("."), key))
 
 
-def _expand(x: Column) -> Column:
+def _children(x: Column) -> Column:
+    """Children of a container as ``array<struct<p, v, c>>``; ``c`` marks
+    children that are containers themselves (expanded at the next level)."""
     m = x["v"].try_cast("map<string,variant>")
     a = x["v"].try_cast("array<variant>")
-    return (
-        F.when(m.isNotNull(), F.transform(
-            F.map_entries(m), lambda e: F.struct(_child_path(x["p"], e["key"]).alias("p"), e["value"].alias("v"))))
-        .when(a.isNotNull(), F.transform(
-            a, lambda e, i: F.struct(F.concat(x["p"], F.lit("["), i.cast("string"), F.lit("]")).alias("p"),
-                                     e.alias("v"))))
-        .otherwise(F.array(x))
-    )
+    kids = F.coalesce(
+        F.transform(F.map_entries(m), lambda e: F.struct(
+            _child_path(x["p"], e["key"]).alias("p"), e["value"].alias("v"))),
+        F.transform(a, lambda e, i: F.struct(
+            F.concat(x["p"], F.lit("["), i.cast("string"), F.lit("]")).alias("p"), e.alias("v"))))
+    return F.transform(kids, lambda k: F.struct(k["p"].alias("p"), k["v"].alias("v"),
+                                                (is_object(k["v"]) | is_array(k["v"])).alias("c")))
+
+
+def _let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and pass it to ``fn`` (a one-element array and
+    a lambda), so an expression used twice is not copied into the plan."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+def _step(st: Column) -> Column:
+    """One level: expand pending containers; finished scalars move to ``done``."""
+    def split(s):
+        return _let(F.flatten(F.transform(s["todo"], _children)), lambda kids: F.struct(
+            F.concat(s["done"], F.filter(kids, lambda x: ~x["c"])).alias("done"),
+            F.filter(kids, lambda x: x["c"]).alias("todo")))
+    return _let(st, split)
 
 
 def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int = DEFAULT_DEPTH) -> DataFrame:
     """Add ``out: array<struct<p string, t string, v variant>>`` of scalar leaves.
 
-    One projection per level; the last one fails on containers deeper than
-    ``depth`` and drops JSON nulls.
+    State per row: finished scalar leaves and pending containers. Each level
+    (one projection) expands only the pending containers, so scalars are
+    examined once and the plan grows linearly with ``depth``; after ``depth``
+    levels any pending container raises. JSON nulls are dropped at the end.
     """
     vcol = F.col(v) if isinstance(v, str) else v
-    df = df.withColumn(out, F.array(F.struct(F.lit("").alias("p"), vcol.alias("v"))))
+    st = f"{out}_state"
+    root = F.array(F.struct(F.lit("").alias("p"), vcol.alias("v"), (is_object(vcol) | is_array(vcol)).alias("c")))
+    df = df.withColumn(st, _let(root, lambda r: F.struct(F.filter(r, lambda x: ~x["c"]).alias("done"),
+                                                          F.filter(r, lambda x: x["c"]).alias("todo"))))
     for _ in range(depth):
-        df = df.withColumn(out, F.flatten(F.transform(F.col(out), _expand)))
-    deep = F.exists(F.col(out), lambda x: is_object(x["v"]) | is_array(x["v"]))
-    with_type = F.transform(F.col(out), lambda x: F.struct(
-        x["p"].alias("p"), F.schema_of_variant(x["v"]).alias("s"), x["v"].alias("v")))
-    typed = F.filter(
-        F.transform(with_type, lambda x: F.struct(
-            x["p"].alias("p"), bucket_of_type(x["s"], x["v"]).alias("t"), x["v"].alias("v"))),
-        lambda x: x["t"].isNotNull())
+        df = df.withColumn(st, _step(F.col(st)))
     msg = F.lit(f"document nested deeper than {depth} levels; raise depth=")
-    return df.withColumn(out, F.when(deep, F.raise_error(msg).cast("array<struct<p:string,t:string,v:variant>>"))
-                         .otherwise(typed))
+
+    def finish(s):
+        with_type = F.transform(s["done"], lambda x: F.struct(
+            x["p"].alias("p"), F.schema_of_variant(x["v"]).alias("s"), x["v"].alias("v")))
+        typed = F.filter(
+            F.transform(with_type, lambda x: F.struct(
+                x["p"].alias("p"), bucket_of_type(x["s"], x["v"]).alias("t"), x["v"].alias("v"))),
+            lambda x: x["t"].isNotNull())
+        return F.when(F.size(s["todo"]) > 0,
+                      F.raise_error(msg).cast("array<struct<p:string,t:string,v:variant>>")).otherwise(typed)
+    return df.withColumn(out, _let(F.col(st), finish)).drop(st)
 
 
 def _is_bucket(b: str):
@@ -96,11 +119,16 @@ def leaf_paths(df: DataFrame, v: str = "j", keep: list[str] | None = None,
 def path_catalog(df: DataFrame, v: str = "j", depth: int = DEFAULT_DEPTH) -> DataFrame:
     """``(path, type, n_rows, is_static)``; static = present in every row.
 
-    One pass with map-side partial aggregation: the shuffle carries at most one
-    row per (path, type) per input partition, however skewed the paths are.
-    The row total is a scalar subquery over the same input.
+    One scan with map-side partial aggregation: each row contributes its
+    (path, type) pairs plus one row marker, so the shuffle carries at most one
+    record per distinct pair per input partition however skewed the paths
+    are. The row total is read from the (small) aggregate.
     """
-    leaves = leaf_paths(df, v, depth=depth)
-    total = df.select(F.count(F.lit(1))).scalar()
-    cat = leaves.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
-    return cat.withColumn("is_static", F.col("n_rows") == total)
+    leaves = with_leaves(df.select(v), v, "_leaves", depth)
+    marked = leaves.select(F.explode(F.concat(
+        F.transform("_leaves", lambda x: F.struct(x["p"].alias("path"), x["t"].alias("type"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("type")))
+    )).alias("l")).select("l.*")
+    agg = marked.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
+    total = agg.filter(F.col("path").isNull()).select(F.max("n_rows")).scalar()
+    return agg.filter(F.col("path").isNotNull()).withColumn("is_static", F.col("n_rows") == total)

@@ -1,0 +1,25 @@
+"""Consuming a full search result page by page on the client.
+
+A search result is a DataFrame (never truncated). A client that wants it in
+fixed-size pages pulls it with ``toLocalIterator``, which fetches one
+partition at a time, so the driver holds at most one partition plus a page.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+
+DEFAULT_PAGE = 10000
+
+
+def iter_pages(df: DataFrame, page_size: int = DEFAULT_PAGE) -> Iterator[list]:
+    page = []
+    for row in df.toLocalIterator():
+        page.append(row)
+        if len(page) == page_size:
+            yield page
+            page = []
+    if page:
+        yield page

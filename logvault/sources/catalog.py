@@ -42,3 +42,11 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_CATALOG_ROWS) -> DataFr
     """Broadcast hint only after proving the side is small (one bounded count)."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def lookup_catalog(df: DataFrame, catalog: DataFrame, dataset_col: str = "dataset",
+                   fields: tuple = ("timestamp_key", "normal_log")) -> DataFrame:
+    """Attach catalogue fields (time key, file) to rows by dataset name.
+    The catalogue side is size-checked, then broadcast."""
+    cat = checked_broadcast(catalog.select(F.col("dataset").alias(dataset_col), *fields))
+    return df.join(cat, dataset_col, "left")
