@@ -24,7 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from logvault.layouts import LAYOUTS, get_layout  # noqa: E402
-from logvault.operators.flatten import path_catalog  # noqa: E402
+from logvault.operators.flatten import path_catalog, path_catalog_pairwise  # noqa: E402
 from logvault.operators.normalize import normalize  # noqa: E402
 from logvault.operators.quality import archive_size  # noqa: E402
 from logvault.operators.report import read_results, report, report_long  # noqa: E402
@@ -78,6 +78,8 @@ def main() -> None:
 
     var = spark.read.parquet(f"{work}/archive_variant")
     timed("path_catalog", lambda: path_catalog(var, "j").collect())
+    pw = spark.read.parquet(f"{work}/archive_pairwise")
+    timed("path_catalog_pairwise", lambda: path_catalog_pairwise(pw).collect())
     timed("normalize", lambda: var.select(normalize(F.col("j")).alias("n"))
           .write.format("noop").mode("overwrite").save())
     timed("clean_lines_b64", lambda: clean_lines(read_lines(spark, raw), "b64")[0]

@@ -119,16 +119,29 @@ def leaf_paths(df: DataFrame, v: str = "j", keep: list[str] | None = None,
 def path_catalog(df: DataFrame, v: str = "j", depth: int = DEFAULT_DEPTH) -> DataFrame:
     """``(path, type, n_rows, is_static)``; static = present in every row.
 
-    One scan with map-side partial aggregation: each row contributes its
-    (path, type) pairs plus one row marker, so the shuffle carries at most one
-    record per distinct pair per input partition however skewed the paths
-    are. The row total is read from the (small) aggregate.
+    One pass over the documents with map-side partial aggregation: the
+    shuffle carries at most one record per distinct (path, type) per input
+    partition, however skewed the paths are. Leaf values are never extracted.
+    The row total is a scalar subquery over the input with no columns read
+    (Parquet answers it from row-group metadata).
     """
     leaves = with_leaves(df.select(v), v, "_leaves", depth)
-    marked = leaves.select(F.explode(F.concat(
-        F.transform("_leaves", lambda x: F.struct(x["p"].alias("path"), x["t"].alias("type"))),
-        F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("type")))
-    )).alias("l")).select("l.*")
-    agg = marked.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
-    total = agg.filter(F.col("path").isNull()).select(F.max("n_rows")).scalar()
-    return agg.filter(F.col("path").isNotNull()).withColumn("is_static", F.col("n_rows") == total)
+    pairs = leaves.select(F.explode(F.transform(
+        "_leaves", lambda x: F.struct(x["p"].alias("path"), x["t"].alias("type")))).alias("l")).select("l.*")
+    total = df.select(F.count(F.lit(1))).scalar()
+    return (pairs.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
+            .withColumn("is_static", F.col("n_rows") == total))
+
+
+def _tag(b: str):
+    return lambda p: F.struct(p.alias("path"), F.lit(b).alias("type"))
+
+
+def path_catalog_pairwise(df: DataFrame) -> DataFrame:
+    """N05 on a pairwise archive: its path arrays already hold every leaf,
+    so the catalogue is an explode + partial aggregation, no flattening."""
+    pairs = df.select(F.explode(F.concat(*[
+        F.transform(F.col(f"{b}_columns"), _tag(b)) for b in BUCKETS])).alias("l")).select("l.*")
+    total = df.select(F.count(F.lit(1))).scalar()
+    return (pairs.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
+            .withColumn("is_static", F.col("n_rows") == total))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logvault.layouts import get_layout
 from logvault.layouts.base import VariantResolver
-from logvault.operators.flatten import leaf_paths, path_catalog
+from logvault.operators.flatten import leaf_paths, path_catalog, path_catalog_pairwise
 from logvault.operators.keys import encode_keys_variant
 from logvault.operators.normalize import normalize
 from logvault.operators.project import from_pairwise
@@ -34,6 +34,12 @@ def q_path_catalog(spark, sf_dir):
     return path_catalog(_docs(spark, sf_dir), "j")
 
 
+def q_path_catalog_pairwise(spark, sf_dir):
+    """N05 read off a pairwise archive's path arrays."""
+    configure(spark)
+    return path_catalog_pairwise(get_layout("pairwise").build(event_log_lines(spark, sf_dir)))
+
+
 def _encoded_leaves(spark, sf_dir, mode):
     df = _docs(spark, sf_dir)
     df = df.select(VariantResolver(F.col("j")).integer("attr.event_id").alias("event_id"),
@@ -90,6 +96,7 @@ def q_normalize(spark, sf_dir):
 QUERIES = {
     "leaf_paths": q_leaf_paths,
     "path_catalog": q_path_catalog,
+    "path_catalog_pairwise": q_path_catalog_pairwise,
     "encode_keys_b64": q_encode_keys_b64,
     "encode_keys_hex": q_encode_keys_hex,
     "pairwise_lookup": q_pairwise_lookup,
@@ -103,6 +110,7 @@ def oracles() -> dict:
     return {
         "leaf_paths": oracle.leaf_rows(),
         "path_catalog": oracle.path_catalog(),
+        "path_catalog_pairwise": oracle.path_catalog(),
         "encode_keys_b64": oracle.leaf_rows(lambda k: encode_name(k, "b64")),
         "encode_keys_hex": oracle.leaf_rows(lambda k: encode_name(k, "hex")),
         "pairwise_lookup": oracle.pairwise_rows(),
