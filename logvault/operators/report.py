@@ -31,13 +31,15 @@ def read_results(docs: DataFrame, doc_col: str = "doc", tool_col: str = "tool")
     m = docs.select(F.col(tool_col).alias("tool"), F.from_json(F.col(doc_col), RESULT_SCHEMA).alias("m"))
     ds = m.select("tool", F.explode("m").alias("dataset", "cfgs"))
     cf = ds.select("tool", "dataset", F.explode("cfgs").alias("config", "r"))
-    ingest = cf.select("tool", "dataset", "config", F.lit("ingest").alias("phase"),
-                       F.lit(None).cast("int").alias("query_ind"), F.col("r.ingest").alias("kv"))
-    cold = cf.select("tool", "dataset", "config", F.lit("cold").alias("phase"),
-                     F.posexplode("r.query_cold").alias("query_ind", "kv"))
-    hot = cf.select("tool", "dataset", "config", F.lit("hot").alias("phase"),
-                    F.posexplode("r.query_hot").alias("query_ind", "kv"))
-    allp = ingest.unionByName(cold).unionByName(hot).filter(F.col("kv").isNotNull())
+    entries = F.concat(
+        F.array(F.struct(F.lit("ingest").alias("phase"), F.lit(None).cast("int").alias("query_ind"),
+                         F.col("r.ingest").alias("kv"))),
+        F.coalesce(F.transform("r.query_cold", lambda x, i: F.struct(
+            F.lit("cold").alias("phase"), i.alias("query_ind"), x.alias("kv"))), F.array()),
+        F.coalesce(F.transform("r.query_hot", lambda x, i: F.struct(
+            F.lit("hot").alias("phase"), i.alias("query_ind"), x.alias("kv"))), F.array()))
+    allp = (cf.select("tool", "dataset", "config", F.explode(entries).alias("e"))
+            .select("tool", "dataset", "config", "e.*").filter(F.col("kv").isNotNull()))
     return (allp.select("tool", "dataset", "config", "phase", "query_ind",
                         F.col("kv")["start_time"].alias("start_time"), F.explode("kv").alias("metric", "value"))
             .filter(F.col("metric") != "start_time"))
@@ -77,39 +79,45 @@ def report_long(results: DataFrame) -> DataFrame:
     """
     r = results.withColumn("methodology", methodology_label(F.col("tool"), F.col("config")))
     num = F.col("value").try_cast("double")
+    is_q = F.col("phase").isin("cold", "hot")
+    # (tool, dataset, config) with both cold and hot runs; queries of others are left out
+    both = (r.filter(is_q).groupBy("tool", "dataset", "config")
+            .agg(F.countDistinct("phase").alias("_np")).filter(F.col("_np") == 2)
+            .select("tool", "dataset", "config", F.lit(True).alias("_both")))
+    r = r.join(both, ["tool", "dataset", "config"], "left").filter(
+        (F.col("phase") == "ingest") | F.coalesce(F.col("_both"), F.lit(False)))
+    # cells read directly off one result row: ingest metrics, query time, query hits
+    mb_name, mb_val = unit_columns(F.col("metric"), num)
+    qlabel = query_metric_label(F.col("query_ind"), F.col("phase"))
+    direct = r.select(
+        F.when(F.col("phase") == "ingest", sheet_label(F.col("dataset"), "ingest"))
+        .when(F.col("metric") == "time_taken_s", sheet_label(F.col("dataset"), "search"))
+        .when(F.col("metric") == "result", sheet_label(F.col("dataset"), "result")).alias("sheet"),
+        "methodology",
+        F.when(F.col("phase") == "ingest", mb_name).otherwise(qlabel).alias("metric"),
+        F.when(F.col("phase") == "ingest", mb_val).otherwise(num).alias("value"),
+        "start_time").filter(F.col("sheet").isNotNull())
+    # cells aggregated over several rows: compression ratio (A04), query memory
     ing = r.filter(F.col("phase") == "ingest")
-    metric, val = unit_columns(F.col("metric"), num)
-    ingest_rows = ing.select(sheet_label(F.col("dataset"), "ingest").alias("sheet"), "methodology",
-                             metric.alias("metric"), val.alias("value"), "start_time")
-    latest = (ing.groupBy("dataset", "methodology", "metric")
+    latest = (ing.filter(F.col("metric").isin("decompressed_size_B", "compressed_size_B"))
+              .groupBy("dataset", "methodology", "metric")
               .agg(F.max_by(num, F.struct(F.col("start_time"), num)).alias("v"),
                    F.max("start_time").alias("start_time")))
-    sizes = (latest.groupBy("dataset", "methodology")
+    ratio = (latest.groupBy("dataset", "methodology")
              .agg(F.max(F.when(F.col("metric") == "decompressed_size_B", F.col("v"))).alias("d"),
                   F.max(F.when(F.col("metric") == "compressed_size_B", F.col("v"))).alias("c"),
-                  F.max("start_time").alias("start_time")))
-    ratio = sizes.select(sheet_label(F.col("dataset"), "ingest").alias("sheet"), "methodology",
-                         F.lit("compression_ratio").alias("metric"),
-                         F.try_divide(F.col("d"), F.when(F.col("c") != 0, F.col("c"))).alias("value"),
-                         "start_time")
-    q = r.filter(F.col("phase").isin("cold", "hot"))
-    both = (q.groupBy("tool", "dataset", "config").agg(F.countDistinct("phase").alias("_np"))
-            .filter(F.col("_np") == 2).drop("_np"))
-    q = q.join(both, ["tool", "dataset", "config"], "left_semi")
-    label = query_metric_label(F.col("query_ind"), F.col("phase"))
-    times = q.filter(F.col("metric") == "time_taken_s").select(
-        sheet_label(F.col("dataset"), "search").alias("sheet"), "methodology", label.alias("metric"),
-        num.alias("value"), "start_time")
-    hits = q.filter(F.col("metric") == "result").select(
-        sheet_label(F.col("dataset"), "result").alias("sheet"), "methodology", label.alias("metric"),
-        num.alias("value"), "start_time")
-    mem = (q.filter((F.col("metric") == "memory_average_B") & (num != -1))
+                  F.max("start_time").alias("start_time"))
+             .select(sheet_label(F.col("dataset"), "ingest").alias("sheet"), "methodology",
+                     F.lit("compression_ratio").alias("metric"),
+                     F.try_divide(F.col("d"), F.when(F.col("c") != 0, F.col("c"))).alias("value"),
+                     "start_time"))
+    mem = (r.filter(is_q & (F.col("metric") == "memory_average_B") & (num != -1))
            .groupBy("dataset", "methodology", "phase")
            .agg((F.avg(num) / F.lit(float(MIB))).alias("value"), F.max("start_time").alias("start_time"))
            .select(sheet_label(F.col("dataset"), "search").alias("sheet"), "methodology",
                    F.concat(F.lit("memory_average_"), F.col("phase"), F.lit("_MB")).alias("metric"),
                    "value", "start_time"))
-    return ingest_rows.unionByName(ratio).unionByName(times).unionByName(hits).unionByName(mem)
+    return direct.unionByName(ratio).unionByName(mem)
 
 
 def report(long: DataFrame, methodologies: list[str] | None = None) -> DataFrame:
