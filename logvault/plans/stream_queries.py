@@ -15,7 +15,9 @@ from logvault.session import configure, scratch_path
 from logvault.sinks.writers import write_raw
 from logvault.sources.archive import read_archive
 from logvault.sources.fixtures import event_log_lines
+from logvault.sources.fixtures import ps_samples, related_processes
 from logvault.streaming.ingest import ingest_stream, run_to_completion
+from logvault.streaming.metrics import stream_sample_total
 
 LAYOUTS = ("variant", "pairwise", "document")
 
@@ -33,9 +35,37 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str, layout_name: str):
     return count_hits_many(df, lay, preds)
 
 
+GRID, LATENESS = "1 hour", "1 hour"
+
+
+def q_stream_sample_total(spark: SparkSession, sf_dir: str):
+    """T03 on a stream: sample files arrive, related samples (J01, stream-static
+    semi join) are totalled per run and hourly slot with a watermark; the
+    windows the watermark has closed are appended to a Parquet sink."""
+    configure(spark)
+    src = scratch_path(spark, "samples-src")
+    ps_samples(spark, sf_dir).repartition(4).write.parquet(src)
+    dst, ckpt = scratch_path(spark, "samples-grid"), scratch_path(spark, "samples-ckpt")
+    # The sample files each span the whole period, so they are taken in one
+    # micro-batch: with several, rows older than the advanced watermark would
+    # be dropped as late (correct stream semantics, but order-dependent).
+    stream = spark.readStream.schema("run_id bigint, ts timestamp_ntz, ps_line string").parquet(src)
+    grid = stream_sample_total(stream, related_processes(spark), GRID, LATENESS, tool="sparksql")
+    q = (grid.writeStream.format("parquet").option("path", dst).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
+    run_to_completion(q)
+    return spark.read.parquet(dst)
+
+
 QUERIES = {f"stream_ingest_{n}": partial(q_stream_ingest, layout_name=n) for n in LAYOUTS}
+QUERIES["stream_sample_total"] = q_stream_sample_total
 
 
 def oracles() -> dict:
-    return {f"stream_ingest_{n}": oracle.search_counts({s: o for s, _, _, o in FORMS_OF_LAYOUT[n]})
-            for n in LAYOUTS}
+    from logvault.plans import run_oracle
+    out = {f"stream_ingest_{n}": oracle.search_counts({s: o for s, _, _, o in FORMS_OF_LAYOUT[n]})
+           for n in LAYOUTS}
+    out["stream_sample_total"] = (
+        run_oracle.SAMPLES + "SELECT run_id, sample_ts, total_rss_bytes FROM tot "
+        "WHERE sample_ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM rel) - INTERVAL 1 HOUR")
+    return out

@@ -10,14 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from logvault.operators.runs import parse_ps, related_samples
 
+EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_to_instant(c):
+    """Local time -> instant with the same wall clock in UTC (zone-free)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), c))
+
+
+def instant_to_ntz(c):
+    """Inverse of ``ntz_to_instant``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(EPOCH_NTZ))
+
 
 def stream_sample_total(samples: DataFrame, related: DataFrame, interval: str, lateness: str,
                         tool: str | None = None, ts: str = "ts") -> DataFrame:
-    """Streaming A06: ``(run_id, sample_ts, total_rss_bytes)`` per grid slot."""
+    """Streaming A06: ``(run_id, sample_ts, total_rss_bytes)`` per grid slot.
+
+    Watermarks need TIMESTAMP; a TIMESTAMP_NTZ time column is mapped to the
+    instant with the same UTC wall clock and back, so slots do not depend on
+    the session time zone."""
+    ntz = isinstance(samples.schema[ts].dataType, T.TimestampNTZType)
     s = related_samples(parse_ps(samples), related, tool)
+    if ntz:
+        s = s.withColumn(ts, ntz_to_instant(F.col(ts)))
+    start = instant_to_ntz(F.col("w.start")) if ntz else F.col("w.start")
     return (s.withWatermark(ts, lateness)
             .groupBy("run_id", F.window(F.col(ts), interval).alias("w"))
             .agg(F.sum("rss_bytes").alias("total_rss_bytes"))
-            .select("run_id", F.col("w.start").alias("sample_ts"), "total_rss_bytes"))
+            .select("run_id", start.alias("sample_ts"), "total_rss_bytes"))

@@ -41,3 +41,29 @@ def test_stream_sample_total(spark, tmp_path):
     out = sorted((r["sample_ts"].second, r["total_rss_bytes"]) for r in spark.table("grid_out").collect())
     # windows closed by the watermark (max event 20 s - 1 s) are emitted
     assert out == [(0, 30 * 1024), (4, 30 * 1024)]
+
+
+def test_watermark_survives_restart_and_drops_late_rows(spark, tmp_path):
+    schema = "run_id long, ts timestamp, ps_line string"
+    src, dst, ck = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "ck")
+    related = spark.createDataFrame([("t", "java")], "tool string, name string")
+    t = dt.datetime(2024, 1, 1)
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, schema).write.parquet(f"{src}/{name}")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        q = (stream_sample_total(stream, related, "10 seconds", "5 seconds").writeStream.format("parquet")
+             .option("path", dst).option("checkpointLocation", ck).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+
+    line = "root 1 0 0 1 {} ? S 0 0 java"
+    arrive("a", [(1, t, line.format(1)), (1, t + dt.timedelta(seconds=60), line.format(2))])
+    run()  # watermark now 55 s: window [0, 10) is final
+    arrive("b", [(1, t + dt.timedelta(seconds=3), line.format(4)), (1, t + dt.timedelta(seconds=90), line.format(8))])
+    run()  # restarted from the checkpoint: the row at 3 s is late and dropped
+    out = sorted((r["sample_ts"].second + 60 * r["sample_ts"].minute, r["total_rss_bytes"])
+                 for r in spark.read.parquet(dst).collect())
+    assert out == [(0, 1024), (60, 2 * 1024)]
