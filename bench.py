@@ -28,11 +28,12 @@ from logvault.operators.flatten import path_catalog, path_catalog_pairwise  # no
 from logvault.operators.normalize import normalize  # noqa: E402
 from logvault.operators.quality import archive_size  # noqa: E402
 from logvault.operators.report import read_results, report, report_long  # noqa: E402
-from logvault.operators.search import count_hits_many, search  # noqa: E402
+from logvault.operators.search import count_hits, count_hits_many  # noqa: E402
 from logvault.plans.queries import FORMS_OF_LAYOUT  # noqa: E402
 from logvault.plans.standard import DIALECT_OF_LAYOUT, FIXTURE, searches  # noqa: E402
 from logvault.session import get_spark  # noqa: E402
 from logvault.sinks.writers import write_layout, write_raw  # noqa: E402
+from logvault.sources.archive import read_archive  # noqa: E402
 from logvault.sources.fixtures import event_log_lines, result_documents  # noqa: E402
 from logvault.sources.lines import clean_lines, parse_lines, read_lines  # noqa: E402
 
@@ -69,10 +70,10 @@ def main() -> None:
         else:
             timed(f"ingest_{name}", lambda: write_layout(lay.build(read_lines(spark, raw)), lay, path))
         sizes[name] = archive_size(spark, path)
-        df = lay.read(spark, path)
+        df = read_archive(spark, path, name, require_data=True)
         preds = searches(DIALECT_OF_LAYOUT[name], FIXTURE)
         for q, pred in preds.items():
-            hits[f"{name}_{q}"] = timed(f"search_{name}_{q}", lambda: search(df, lay, pred).count())
+            hits[f"{name}_{q}"] = timed(f"search_{name}_{q}", lambda: count_hits(df, lay, pred))
         all_forms = {s: searches(d, FIXTURE)[k] for s, d, k, _ in FORMS_OF_LAYOUT[name]}
         timed(f"count_all_{name}", lambda: count_hits_many(df, lay, all_forms).collect())
 
@@ -93,6 +94,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""), "events": n_events,
         "raw_bytes": raw_bytes, "archive_bytes": sizes,
         "compression_ratio": {k: round(raw_bytes / v, 3) for k, v in sizes.items() if v},
+        "ingest_mb_per_s": {k: round(raw_bytes / 1048576 / times[f"ingest_{k}"], 2) for k in sizes},
         "hits": hits, "cpus": cpus,
     }))
     spark.stop()

@@ -123,3 +123,10 @@ def test_ordered_partitions_are_sorted(spark):
 def test_drop_blank_rejects_unknown_rule(lines_df):
     with pytest.raises(ValueError):
         drop_blank(lines_df(["a"]), "bogus")
+
+
+def test_read_archive_refuses_empty(spark, tmp_path):
+    p = str(tmp_path / "empty")
+    os.makedirs(p)
+    with pytest.raises(ValueError, match="nothing to search"):
+        read_archive(spark, p, "variant", require_data=True)
