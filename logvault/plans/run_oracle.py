@@ -22,7 +22,7 @@ st AS (
          sum(CAST(trunc(value * 100) AS BIGINT)) AS s, max(CAST(trunc(value * 100) AS BIGINT)) AS mx
   FROM events GROUP BY user_id),
 runs AS (
-  SELECT user_id AS run_id, ['sparksql', 'clickhouse', 'parquet', 'clp'][user_id % 4 + 1] AS tool,
+  SELECT user_id AS run_id, ['tool_a', 'tool_b', 'tool_c', 'tool_d'][user_id % 4 + 1] AS tool,
          'mongod' AS dataset,
          CASE WHEN user_id % 8 < 4 THEN '{}' ELSE '{"dataset_variation": "cleaned_log"}' END AS config,
          CASE WHEN (user_id // 8) % 13 = 0 THEN 'ingest' WHEN (user_id // 8) % 13 <= 6 THEN 'cold'
@@ -81,7 +81,7 @@ rep AS (
   GROUP BY dataset, methodology, phase)
 """
 
-TOOLS = ["sparksql", "clickhouse", "parquet", "clp"]
+TOOLS = ["tool_a", "tool_b", "tool_c", "tool_d"]
 METHODOLOGIES = sorted(f"{t} ({c})" for t in TOOLS for c in ("", "dataset_variation=cleaned_log"))
 
 

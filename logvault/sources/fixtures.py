@@ -101,7 +101,7 @@ COMMAND_BY_EVENT_TYPE = {
     "error": "jav",
 }
 RELATED_PROCESSES = {"sparksql": ["python3", "java", "/opt/java/openjdk/bin/java"]}
-TOOLS = ["sparksql", "clickhouse", "parquet", "clp"]
+TOOLS = ["tool_a", "tool_b", "tool_c", "tool_d"]
 
 
 def ps_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
