@@ -10,9 +10,13 @@ from logvault.functions.paths import json_path, path_text
 
 
 def to_event_time(text: Column, formats: tuple | list = ()) -> Column:
-    """Parse a timestamp text; ISO-8601 (with or without offset) first, then
-    each explicit format; NULL when nothing fits (the event is kept)."""
-    tries = [F.try_to_timestamp(text)] + [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+    """Parse a timestamp text; epoch milliseconds (13 digits) or seconds
+    (10 digits, optional fraction), then ISO-8601 (with or without offset),
+    then each explicit format; NULL when nothing fits (the event is kept)."""
+    epoch = (F.when(text.rlike(r"^\d{13}$"), F.timestamp_millis(text.try_cast("bigint")))
+             .when(text.rlike(r"^\d{10}(\.\d+)?$"),
+                   F.timestamp_micros((text.try_cast("decimal(20,6)") * 1000000).cast("bigint"))))
+    tries = [epoch, F.try_to_timestamp(text)] + [F.try_to_timestamp(text, F.lit(f)) for f in formats]
     return F.coalesce(*tries)
 
 
@@ -78,3 +82,22 @@ def json_extract_scalar(line: Column, path) -> Column:
 def cast_number(text: Column, typ: str = "bigint") -> Column:
     """Number from text; NULL instead of an error for non-numbers."""
     return text.try_cast(typ)
+
+
+def event_time_by_dataset(df: DataFrame, catalog: DataFrame, v: str = "j", dataset_col: str = "dataset",
+                          out: str = "event_time", formats: tuple | list = (), max_datasets: int = 1000) -> DataFrame:
+    """N15 + J04 for mixed datasets: each row's time key comes from its
+    dataset's catalogue row (``t.$date``, ``timestamp``, ``@timestamp`` ...).
+
+    Paths must be literals for ``variant_get``, so the (size-checked)
+    catalogue is turned into one CASE over its distinct keys; rows of unknown
+    datasets or without the key get NULL and are kept.
+    """
+    keys = (catalog.select("dataset", "timestamp_key").where(F.col("timestamp_key").isNotNull())
+            .distinct().limit(max_datasets + 1).collect())
+    if len(keys) > max_datasets:
+        raise ValueError(f"more than {max_datasets} datasets in the catalogue")
+    text = F.lit(None).cast("string")
+    for ds, key in sorted(keys):
+        text = F.when(F.col(dataset_col) == ds, V.vget(F.col(v), key, "string")).otherwise(text)
+    return df.withColumn(out, to_event_time(text, formats))

@@ -55,3 +55,20 @@ def test_size_bounds_and_report_sheets(spark, tmp_path, lines_df):
     out = str(tmp_path / "report")
     write_report(rep, out, fmt="csv")
     assert sorted(d for d in os.listdir(out) if d.startswith("sheet=")) == ["sheet=a (ingest)", "sheet=a (search)"]
+
+
+def test_event_time_by_dataset(spark):
+    from logvault.operators.project import event_time_by_dataset
+    cat = catalog_frame(spark, [("mongod", "mongod", 1, "t.$date", "a", None, None),
+                                ("es", "es", 1, "@timestamp", "b", None, None),
+                                ("sparkev", "sparkev", 2, "Timestamp", "c", None, None)])
+    rows = [("mongod", '{"t": {"$date": "2024-01-02T03:04:05.678+00:00"}}'),
+            ("es", '{"@timestamp": "2024-01-02T03:04:05Z", "timestamp": "ignored"}'),
+            ("sparkev", '{"Event": "x"}'),
+            ("sparkev", '{"Timestamp": 1704164645000}'),
+            ("unknown", '{"timestamp": "2024-01-02T03:04:05Z"}')]
+    df = spark.createDataFrame(rows, "dataset string, line string").select("dataset", F.parse_json("line").alias("j"))
+    out = [r["event_time"] for r in event_time_by_dataset(df, cat).collect()]
+    assert out[0] is not None and out[0].minute == 4 and out[1] is not None
+    assert out[2] is None and out[4] is None
+    assert out[3] is not None and out[3].minute == 4
