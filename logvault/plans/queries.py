@@ -44,9 +44,9 @@ FORMS_OF_LAYOUT = {
 }
 
 
-def layout_frame(spark: SparkSession, sf_dir: str, layout_name: str):
+def layout_frame(spark: SparkSession, sf_dir: str, layout_name: str, **layout_kw):
     configure(spark)
-    lay = get_layout(layout_name)
+    lay = get_layout(layout_name, **layout_kw)
     return lay, lay.build(event_log_lines(spark, sf_dir))
 
 
@@ -59,9 +59,9 @@ def search_query(spark: SparkSession, sf_dir: str, layout_name: str, dialect: st
                        r.text("ctx").alias("ctx"))
 
 
-def count_query(spark: SparkSession, sf_dir: str, layout_name: str) -> DataFrame:
+def count_query(spark: SparkSession, sf_dir: str, layout_name: str, **layout_kw) -> DataFrame:
     """Every search form of the layout counted in one scan."""
-    lay, df = layout_frame(spark, sf_dir, layout_name)
+    lay, df = layout_frame(spark, sf_dir, layout_name, **layout_kw)
     preds = {suffix: searches(d, FIXTURE)[k] for suffix, d, k, _ in FORMS_OF_LAYOUT[layout_name]}
     return count_hits_many(df, lay, preds)
 
@@ -75,6 +75,9 @@ def registry() -> tuple[dict, dict]:
             sql[name] = oracle.search_rows(oracle.SEARCH_SQL[oform])
         q[f"count_hits_{layout_name}"] = partial(count_query, layout_name=layout_name)
         sql[f"count_hits_{layout_name}"] = oracle.search_counts({s: o for s, _, _, o in forms})
+    # the pure-Catalyst pairwise engine stays under the same check
+    q["count_hits_pairwise_native"] = partial(count_query, layout_name="pairwise", engine="native")
+    sql["count_hits_pairwise_native"] = sql["count_hits_pairwise"]
     from logvault.plans import catalog_queries
     q.update(catalog_queries.QUERIES)
     sql.update(catalog_queries.oracles())

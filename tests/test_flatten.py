@@ -95,3 +95,21 @@ def test_path_catalog_static_flag(spark):
         F.parse_json("line").alias("j"))
     cat = {(r["path"], r["type"]): (r["n_rows"], r["is_static"]) for r in path_catalog(df, "j").collect()}
     assert cat == {("a", "int"): (3, True), ("b", "string"): (1, False), ("b", "int"): (1, False)}
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.dictionaries(st.text("xyz", min_size=1, max_size=2), json_docs, max_size=4),
+                min_size=1, max_size=6))
+def test_pairwise_engines_agree_with_brute_force(spark, docs):
+    lines = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, line string")
+    for engine in ("arrow", "native"):
+        rows = {r["i"]: r for r in get_layout("pairwise", engine=engine).build(lines).collect()}
+        for i, d in enumerate(docs):
+            got = sorted((p, b) for b in ("string", "int", "float", "bool") for p in rows[i][f"{b}_columns"])
+            assert got == sorted(walk(d)), engine
+
+
+def test_arrow_engine_rejects_non_json_constants(spark):
+    lines = spark.createDataFrame([('{"a": NaN}',)], "line string")
+    with pytest.raises(Exception):
+        get_layout("pairwise").build(lines).collect()
