@@ -104,6 +104,8 @@ class PairwiseLayout(Layout):
     def build(self, lines):
         if self.engine == "arrow":
             from logvault.operators.flatten_arrow import flatten_pairwise_arrow
+            from logvault.session import ship_package
+            ship_package(lines.sparkSession)
             return flatten_pairwise_arrow(lines, "line")
         if self.engine != "native":
             raise ValueError("engine must be 'arrow' or 'native'")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -57,9 +58,37 @@ def configure(spark: SparkSession) -> SparkSession:
         except Exception:  # static conf on a running session: already set at build
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``logvault`` importable in the Python workers (Arrow-batched
+    operators run there): zip the package once per application and add it
+    with ``addPyFile``, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    ck = ensure_checkpoint_dir(spark)
+    base = local_fs_path(ck) if is_local_path(ck) else tempfile.mkdtemp(prefix="logvault-pkg-")
+    os.makedirs(base, exist_ok=True)
+    target = os.path.join(base, f"logvault-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("logvault", os.path.relpath(full, pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
