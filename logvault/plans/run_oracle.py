@@ -15,7 +15,7 @@ rel AS (
     SELECT 1 FROM (VALUES ('python3'), ('java'), ('/opt/java/openjdk/bin/java')) r(name)
     WHERE starts_with(r.name, s.command))),
 tot AS (
-  SELECT run_id, date_trunc('hour', ts) AS sample_ts, sum(rss_bytes) AS total_rss_bytes
+  SELECT run_id, date_trunc('hour', ts) AS sample_ts, CAST(sum(rss_bytes) AS BIGINT) AS total_rss_bytes
   FROM rel GROUP BY run_id, date_trunc('hour', ts)),
 st AS (
   SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS result,
