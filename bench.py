@@ -32,7 +32,7 @@ from logvault.operators.search import count_hits, count_hits_many  # noqa: E402
 from logvault.plans.queries import FORMS_OF_LAYOUT  # noqa: E402
 from logvault.plans.standard import DIALECT_OF_LAYOUT, FIXTURE, searches  # noqa: E402
 from logvault.session import get_spark  # noqa: E402
-from logvault.sinks.writers import write_layout, write_raw  # noqa: E402
+from logvault.sinks.writers import ingest_files, write_raw  # noqa: E402
 from logvault.sources.archive import read_archive  # noqa: E402
 from logvault.sources.fixtures import event_log_lines, result_documents  # noqa: E402
 from logvault.sources.lines import clean_lines, parse_lines, read_lines  # noqa: E402
@@ -65,10 +65,7 @@ def main() -> None:
     for name in LAYOUTS:
         lay = get_layout(name)
         path = f"{work}/archive_{name}"
-        if name == "inferred":
-            timed(f"ingest_{name}", lambda: write_layout(lay.from_files(spark, raw), lay, path))
-        else:
-            timed(f"ingest_{name}", lambda: write_layout(lay.build(read_lines(spark, raw)), lay, path))
+        timed(f"ingest_{name}", lambda: ingest_files(spark, raw, lay, path))
         sizes[name] = archive_size(spark, path)
         df = read_archive(spark, path, name, require_data=True)
         preds = searches(DIALECT_OF_LAYOUT[name], FIXTURE)

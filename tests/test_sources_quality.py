@@ -130,3 +130,15 @@ def test_read_archive_refuses_empty(spark, tmp_path):
     os.makedirs(p)
     with pytest.raises(ValueError, match="nothing to search"):
         read_archive(spark, p, "variant", require_data=True)
+
+
+@pytest.mark.parametrize("layout", ["pairwise", "variant", "inferred", "static_dynamic"])
+def test_ingest_files_skip_policy(spark, tmp_path, layout):
+    from logvault.sinks.writers import ingest_files
+    src = str(tmp_path / "logs" / "a.log")
+    write_text(src, ['{"id": 1, "attr": {"x": 1}}', "garbage", "", '{"id": 2}'])
+    rejected = ingest_files(spark, src, layout, str(tmp_path / "out"), malformed="skip")
+    assert [r["line"] for r in rejected.collect()] == ["garbage"]
+    assert read_archive(spark, str(tmp_path / "out"), layout).count() == 2
+    with pytest.raises(Exception):
+        ingest_files(spark, src, layout, str(tmp_path / "out2"), malformed="fail")
