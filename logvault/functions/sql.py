@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 SQL_FUNCTIONS = {
+    # JSON path over a VARIANT document (path must be a literal, as in variant_get)
+    "lv_text": ("v VARIANT, p STRING", "STRING", "try_variant_get(v, p, 'string')"),
+    "lv_number": ("v VARIANT, p STRING", "DOUBLE", "try_variant_get(v, p, 'double')"),
+    "lv_exists": ("v VARIANT, p STRING", "BOOLEAN",
+                  "coalesce(try_variant_get(v, p) IS NOT NULL AND NOT is_variant_null(try_variant_get(v, p)), false)"),
     "pairwise_get_string": ("cols ARRAY<STRING>, vals ARRAY<STRING>, p STRING", "STRING",
                             "get(vals, CAST(array_position(cols, p) AS INT) - 1)"),
     "pairwise_get_int": ("cols ARRAY<STRING>, vals ARRAY<BIGINT>, p STRING", "BIGINT",

@@ -93,4 +93,7 @@ def registry() -> tuple[dict, dict]:
     from logvault.plans import more_queries
     q.update(more_queries.QUERIES)
     sql.update(more_queries.oracles())
+    from logvault.plans import sql_queries
+    q.update(sql_queries.QUERIES)
+    sql.update(sql_queries.oracles())
     return q, sql
