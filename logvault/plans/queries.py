@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logvault.layouts import get_layout
 from logvault.operators.search import count_hits_many, search

@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from logvault.layouts import get_layout
 from logvault.operators.predicates import Eq
