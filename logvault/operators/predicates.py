@@ -249,3 +249,22 @@ match, match_phrase, wildcard_token, at_least, array_has_path = Match, MatchPhra
 def compile_pred(pred: Pred, layout, df) -> Column:
     """The boolean Column of ``pred`` over ``df`` stored in ``layout``."""
     return pred.column(layout.resolver(df))
+
+
+def encode_paths(pred: Pred, mode: str) -> Pred:
+    """The same predicate addressed to an archive whose keys were encoded
+    (N01/N02): every key segment of every path is encoded, indices kept."""
+    from dataclasses import fields, replace
+
+    from logvault.functions.paths import parse_path
+    from logvault.operators.keys import encode_name
+    if isinstance(pred, (And, Or)):
+        return type(pred)(tuple(encode_paths(p, mode) for p in pred.preds))
+    if isinstance(pred, Not):
+        return Not(encode_paths(pred.pred, mode))
+    if isinstance(pred, AtLeast):
+        return AtLeast(pred.k, tuple(encode_paths(p, mode) for p in pred.preds))
+    if "path" in {f.name for f in fields(pred)}:
+        segs = tuple(s if isinstance(s, int) else encode_name(s, mode) for s in parse_path(pred.path))
+        return replace(pred, path=segs)
+    return pred

@@ -65,6 +65,18 @@ def count_query(spark: SparkSession, sf_dir: str, layout_name: str, **layout_kw)
     return count_hits_many(df, lay, preds)
 
 
+def variation_count_query(spark: SparkSession, sf_dir: str, variation: str) -> DataFrame:
+    """A02 on a dataset variation (cleaned / base32 keys) in the variant layout."""
+    from logvault.operators.predicates import encode_paths
+    from logvault.sources.lines import VARIATIONS, dataset_variation
+    configure(spark)
+    lay = get_layout("variant")
+    df = lay.build(dataset_variation(event_log_lines(spark, sf_dir), variation))
+    mode = VARIATIONS[variation]
+    preds = {s: encode_paths(searches(d, FIXTURE)[k], mode) for s, d, k, _ in FORMS_OF_LAYOUT["variant"]}
+    return count_hits_many(df, lay, preds)
+
+
 def registry() -> tuple[dict, dict]:
     q, sql = {}, {}
     for layout_name, forms in FORMS_OF_LAYOUT.items():
@@ -74,6 +86,11 @@ def registry() -> tuple[dict, dict]:
             sql[name] = oracle.search_rows(oracle.SEARCH_SQL[oform])
         q[f"count_hits_{layout_name}"] = partial(count_query, layout_name=layout_name)
         sql[f"count_hits_{layout_name}"] = oracle.search_counts({s: o for s, _, _, o in forms})
+    # dataset variations: keys encoded at read time, searches addressed to the encoded paths
+    for variation in ("cleaned_log", "base32_log"):
+        q[f"count_hits_variant_{variation}"] = partial(variation_count_query, variation=variation)
+        sql[f"count_hits_variant_{variation}"] = oracle.search_counts(
+            {s: o for s, _, _, o in FORMS_OF_LAYOUT["variant"]})
     # the pure-Catalyst pairwise engine stays under the same check
     q["count_hits_pairwise_native"] = partial(count_query, layout_name="pairwise", engine="native")
     sql["count_hits_pairwise_native"] = sql["count_hits_pairwise"]

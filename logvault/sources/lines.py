@@ -63,3 +63,19 @@ def clean_lines(lines: DataFrame, keys: str = "b64", col: str = "line") -> tuple
     parsed, rejected = parse_lines(kept, "skip")
     cleaned = parsed.select(F.to_json(encode_keys_variant(F.col("j"), keys)).alias("line"))
     return cleaned, rejected
+
+
+# Dataset variations and the key encoding each one applies.
+VARIATIONS = {"normal_log": None, "cleaned_log": "b64", "base32_log": "hex"}
+
+
+def dataset_variation(lines: DataFrame, variation: str = "normal_log", col: str = "line") -> DataFrame:
+    """A dataset variation computed from the normal lines (no second copy on
+    disk): ``cleaned_log`` base64-encodes keys with spaces or hyphens,
+    ``base32_log`` hex-encodes every key; malformed lines are skipped."""
+    if variation not in VARIATIONS:
+        raise ValueError(f"variation must be one of {sorted(VARIATIONS)}")
+    mode = VARIATIONS[variation]
+    if mode is None:
+        return lines.select(F.col(col).alias("line"))
+    return clean_lines(lines, mode, col)[0]

@@ -103,3 +103,16 @@ def test_normalize_matches_python_rules(spark):
     out = df.select(F.to_json(normalize(F.parse_json("line"))).alias("x")).collect()
     for d, r in zip(NORM_DOCS, out):
         assert json.loads(r["x"]) == norm_py(json.loads(json.dumps(d)))
+
+
+def test_encoded_paths_find_the_same_rows(spark):
+    from logvault.layouts import get_layout
+    from logvault.operators import predicates as P
+    from logvault.sources.lines import dataset_variation
+    lines = spark.createDataFrame([('{"bad key": {"x-y": [1, 2]}, "n": 1}',), ('{"n": 2}',)], "line string")
+    pred = P.all_of(P.Eq("bad key.x-y[1]", 2), P.Cmp("n", "lt", 2))
+    lay = get_layout("variant")
+    for variation, mode in [("cleaned_log", "b64"), ("base32_log", "hex")]:
+        df = lay.build(dataset_variation(lines, variation))
+        assert df.filter(pred.column(lay.resolver(df))).count() == 0  # original paths no longer exist
+        assert df.filter(P.encode_paths(pred, mode).column(lay.resolver(df))).count() == 1
