@@ -8,28 +8,25 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logvault.functions.paths import path_text
 from logvault.layouts import get_layout
 from logvault.operators.flatten import leaf_paths, path_catalog
 
 
-def walk(obj, prefix=""):
-    """Brute force: object key -> p.k, array -> p[i], typed scalar leaves."""
-    out = []
-    if isinstance(obj, dict):
-        for k, v in obj.items():
-            out += walk(v, f"{prefix}.{k}" if prefix else k)
-    elif isinstance(obj, list):
-        for i, v in enumerate(obj):
-            out += walk(v, f"{prefix}[{i}]")
-    elif isinstance(obj, str):
-        out.append((prefix, "string"))
-    elif isinstance(obj, bool):
-        out.append((prefix, "bool"))
-    elif isinstance(obj, int):
-        out.append((prefix, "int"))
-    elif isinstance(obj, float):
-        out.append((prefix, "float"))
-    return out
+BUCKET = {str: "string", bool: "bool", int: "int", float: "float"}
+
+
+def leaves_of(node, prefix=()):
+    """Independent statement of the rule: every scalar leaf with its key/index trail."""
+    if type(node) is dict:
+        return [x for k, v in node.items() for x in leaves_of(v, prefix + (k,))]
+    if type(node) is list:
+        return [x for i, v in enumerate(node) for x in leaves_of(v, prefix + (i,))]
+    return [(prefix, node)] if type(node) in BUCKET else []
+
+
+def walk(doc):
+    return [(path_text(p), BUCKET[type(v)]) for p, v in leaves_of(doc)]
 
 
 def spark_leaves(spark, docs):
