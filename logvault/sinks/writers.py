@@ -57,15 +57,16 @@ def ordered(df: DataFrame, keys: list, extra: list | None = None, timestamp_key=
     Range partitioning uses the whole sort order, so one hot key is spread
     over several ranges by its later sort columns instead of landing in one
     task; within a partition rows are sorted (NULLS FIRST) so Parquet
-    row-group min/max statistics can skip data on the keys.
+    row-group min/max statistics can skip data on the keys. Without an
+    explicit ``partitions`` the range count is the cluster's
+    ``spark.sql.shuffle.partitions`` and AQE may coalesce small ranges.
     """
     order = list(keys) + [c for c in (extra or []) if c not in keys]
     if timestamp_key is not None and timestamp_key not in order:
         order.append(timestamp_key)
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartitionByRange(n, *[c.asc_nulls_first() for c in cols]).sortWithinPartitions(
-        *[c.asc_nulls_first() for c in cols])
+    cols = [(F.col(c) if isinstance(c, str) else c).asc_nulls_first() for c in order]
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    return ranged.sortWithinPartitions(*cols)
 
 
 def write_ordered(df: DataFrame, layout: Layout | str, path: str, keys: list, extra: list | None = None,
