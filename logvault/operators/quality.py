@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvault.session import path_exists
 from logvault.sources.catalog import checked_broadcast
 
 
@@ -14,10 +14,13 @@ def archive_size(spark: SparkSession, path: str) -> int:
 
     File lengths come from the file listing (the content column is never read).
     """
-    if not path_exists(spark, path):
-        return 0
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("length"))
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                 .select("length"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return 0
+        raise
     return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
 
 

@@ -112,13 +112,3 @@ def is_local_path(p: str) -> bool:
 
 def local_fs_path(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") else p
-
-
-def path_exists(spark: SparkSession, p: str) -> bool:
-    """Existence check through Hadoop FS, so it works for any cluster store."""
-    if is_local_path(p):
-        return os.path.exists(local_fs_path(p))
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(p)
-    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hp)
