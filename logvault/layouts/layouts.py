@@ -191,11 +191,15 @@ class StructResolver(Resolver):
 class InferredLayout(Layout):
     """L3: struct schema inferred over the whole input (case-sensitive names).
 
-    ``sampling_ratio`` < 1 trades inference cost for the risk of missing rare
-    fields; the default reads everything, as the reference does.
+    Inference is a full extra pass over the input. ``sampling_ratio`` < 1
+    trades that cost for the risk of missing rare fields; ``schema`` (a DDL
+    string or StructType, e.g. inferred once from an earlier batch) skips
+    inference and makes ingest a single pass. The default reads everything,
+    as the reference does.
     """
     name: str = "inferred"
     sampling_ratio: float = 1.0
+    schema: object = None
 
     def build(self, lines):
         """Infer over the whole input with Spark's JSON reader.
@@ -212,8 +216,9 @@ class InferredLayout(Layout):
 
     def from_files(self, spark: SparkSession, path) -> DataFrame:
         spark.conf.set("spark.sql.caseSensitive", "true")
-        return (spark.read.option("samplingRatio", self.sampling_ratio)
-                .option("mode", "PERMISSIVE").json(path))
+        r = spark.read.option("mode", "PERMISSIVE")
+        r = r.schema(self.schema) if self.schema is not None else r.option("samplingRatio", self.sampling_ratio)
+        return r.json(path)
 
     def read(self, spark, path):
         spark.conf.set("spark.sql.caseSensitive", "true")

@@ -142,3 +142,12 @@ def test_ingest_files_skip_policy(spark, tmp_path, layout):
     assert read_archive(spark, str(tmp_path / "out"), layout).count() == 2
     with pytest.raises(Exception):
         ingest_files(spark, src, layout, str(tmp_path / "out2"), malformed="fail")
+
+
+def test_inferred_layout_with_known_schema(spark, tmp_path):
+    from logvault.layouts import InferredLayout
+    p = str(tmp_path / "k" / "x.log")
+    write_text(p, ['{"id": 1, "attr": {"n": 2}}', '{"id": 3}'])
+    df = InferredLayout(schema="id BIGINT, attr STRUCT<n: BIGINT>").from_files(spark, p)
+    assert df.schema.simpleString() == "struct<id:bigint,attr:struct<n:bigint>>"
+    assert sorted(r["id"] for r in df.collect()) == [1, 3]
