@@ -72,3 +72,14 @@ def test_event_time_by_dataset(spark):
     assert out[0] is not None and out[0].minute == 4 and out[1] is not None
     assert out[2] is None and out[4] is None
     assert out[3] is not None and out[3].minute == 4
+
+
+def test_rows_per_row_group(spark, tmp_path, lines_df):
+    import glob
+
+    import pyarrow.parquet as pq
+    lines = lines_df([f'{{"i": {i}}}' for i in range(2500)])
+    p = str(tmp_path / "rg")
+    write_layout(lines.coalesce(1), "json_string", p, row_group_rows=1000)
+    meta = pq.ParquetFile(glob.glob(p + "/*.parquet")[0]).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1000, 1000, 500]
