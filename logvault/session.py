@@ -69,8 +69,8 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``logvault`` importable in the Python workers (Arrow-batched
     operators run there): zip the package once per application and add it
     with ``addPyFile``, as ``--py-files`` would."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -85,18 +85,30 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("logvault", os.path.relpath(full, pkg)))
-    sc.addPyFile(target)
+    if sc is not None:
+        sc.addPyFile(target)
+    else:  # Spark Connect ships Python files as session artifacts
+        spark.addArtifacts(target, pyfile=True)
     _SHIPPED.add(app)
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="logvault-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    sc = _context(spark)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
