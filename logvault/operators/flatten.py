@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logvault.functions.variant import bucket_of_type, is_array, is_object
 
-DEFAULT_DEPTH = 8
+DEFAULT_DEPTH = 32
 BUCKETS = ("string", "int", "float", "bool")
 BUCKET_TYPES = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean"}
 
@@ -43,31 +43,31 @@ def _let(expr: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(expr), fn), 1)
 
 
-def _step(st: Column) -> Column:
-    """One level: expand pending containers; finished scalars move to ``done``."""
-    def split(s):
-        return _let(F.flatten(F.transform(s["todo"], _children)), lambda kids: F.struct(
-            F.concat(s["done"], F.filter(kids, lambda x: ~x["c"])).alias("done"),
-            F.filter(kids, lambda x: x["c"]).alias("todo")))
-    return _let(st, split)
+def _step(s: Column) -> Column:
+    """One level: expand pending containers; finished scalars move to ``done``.
+    A row with nothing pending passes its state through unchanged."""
+    expanded = _let(F.flatten(F.transform(s["todo"], _children)), lambda kids: F.struct(
+        F.concat(s["done"], F.filter(kids, lambda x: ~x["c"])).alias("done"),
+        F.filter(kids, lambda x: x["c"]).alias("todo")))
+    return F.when(F.size(s["todo"]) == 0, s).otherwise(expanded)
 
 
 def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int = DEFAULT_DEPTH) -> DataFrame:
     """Add ``out: array<struct<p string, t string, v variant>>`` of scalar leaves.
 
-    State per row: finished scalar leaves and pending containers. Each level
-    (one projection) expands only the pending containers, so scalars are
-    examined once and the plan grows linearly with ``depth``; after ``depth``
-    levels any pending container raises. JSON nulls are dropped at the end.
+    State per row: finished scalar leaves and pending containers. The levels
+    are one ``aggregate`` over ``1..depth`` whose accumulator is that state,
+    so the plan has one copy of the level logic whatever the depth, scalars
+    are examined once, and a finished row costs nothing per further level.
+    A container still pending after ``depth`` levels raises (no truncation;
+    ``leaf_paths(depth=None)`` handles any depth). JSON nulls are dropped.
     """
     vcol = F.col(v) if isinstance(v, str) else v
-    st = f"{out}_state"
     root = F.array(F.struct(F.lit("").alias("p"), vcol.alias("v"), (is_object(vcol) | is_array(vcol)).alias("c")))
-    df = df.withColumn(st, _let(root, lambda r: F.struct(F.filter(r, lambda x: ~x["c"]).alias("done"),
-                                                          F.filter(r, lambda x: x["c"]).alias("todo"))))
-    for _ in range(depth):
-        df = df.withColumn(st, _step(F.col(st)))
-    msg = F.lit(f"document nested deeper than {depth} levels; raise depth=")
+    start = _let(root, lambda r: F.struct(F.filter(r, lambda x: ~x["c"]).alias("done"),
+                                          F.filter(r, lambda x: x["c"]).alias("todo")))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, lambda s, _level: _step(s))
+    msg = F.lit(f"document nested deeper than {depth} levels; raise depth= or use depth=None")
 
     def finish(s):
         with_type = F.transform(s["done"], lambda x: F.struct(
@@ -78,7 +78,7 @@ def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int
             lambda x: x["t"].isNotNull())
         return F.when(F.size(s["todo"]) > 0,
                       F.raise_error(msg).cast("array<struct<p:string,t:string,v:variant>>")).otherwise(typed)
-    return df.withColumn(out, _let(F.col(st), finish)).drop(st)
+    return df.withColumn(out, _let(state, finish))
 
 
 def _is_bucket(b: str):
@@ -107,16 +107,22 @@ def flatten_pairwise(df: DataFrame, v: str = "j", keep: list[str] | None = None,
 
 
 def leaf_paths(df: DataFrame, v: str = "j", keep: list[str] | None = None,
-               depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """Long form ``(keep..., path, type, value)``; ``value`` is the leaf as text."""
+               depth: int | None = DEFAULT_DEPTH) -> DataFrame:
+    """Long form ``(keep..., path, type, value)``; ``value`` is the leaf as text.
+
+    ``depth=None`` uses the recursive form (any depth); a number uses the
+    in-row walk, which raises on deeper documents instead of truncating.
+    """
     keep = keep or []
+    if depth is None:
+        return leaf_paths_recursive(df, v, keep)
     return (with_leaves(df, v, "_leaves", depth)
             .select(*keep, F.explode("_leaves").alias("_l"))
             .select(*keep, F.col("_l.p").alias("path"), F.col("_l.t").alias("type"),
                     F.try_variant_get(F.col("_l.v"), "$", "string").alias("value")))
 
 
-def path_catalog(df: DataFrame, v: str = "j", depth: int = DEFAULT_DEPTH) -> DataFrame:
+def path_catalog(df: DataFrame, v: str = "j", depth: int | None = DEFAULT_DEPTH) -> DataFrame:
     """``(path, type, n_rows, is_static)``; static = present in every row.
 
     One pass over the documents with map-side partial aggregation: the
@@ -125,9 +131,12 @@ def path_catalog(df: DataFrame, v: str = "j", depth: int = DEFAULT_DEPTH) -> Dat
     The row total is a scalar subquery over the input with no columns read
     (Parquet answers it from row-group metadata).
     """
-    leaves = with_leaves(df.select(v), v, "_leaves", depth)
-    pairs = leaves.select(F.explode(F.transform(
-        "_leaves", lambda x: F.struct(x["p"].alias("path"), x["t"].alias("type")))).alias("l")).select("l.*")
+    if depth is None:
+        pairs = leaf_paths_recursive(df.select(v), v).select("path", "type")
+    else:
+        leaves = with_leaves(df.select(v), v, "_leaves", depth)
+        pairs = leaves.select(F.explode(F.transform(
+            "_leaves", lambda x: F.struct(x["p"].alias("path"), x["t"].alias("type")))).alias("l")).select("l.*")
     total = df.select(F.count(F.lit(1))).scalar()
     return (pairs.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
             .withColumn("is_static", F.col("n_rows") == total))
@@ -145,3 +154,36 @@ def path_catalog_pairwise(df: DataFrame) -> DataFrame:
     total = df.select(F.count(F.lit(1))).scalar()
     return (pairs.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
             .withColumn("is_static", F.col("n_rows") == total))
+
+
+RECURSIVE_LEAVES = """
+WITH RECURSIVE nodes({cols}_p, _v) AS (
+  SELECT {cols}'', {v} FROM {{src}}
+  UNION ALL
+  SELECT {ncols}CASE WHEN e.key IS NOT NULL
+              THEN CASE WHEN n._p = '' THEN e.key ELSE n._p || '.' || e.key END
+              ELSE n._p || '[' || CAST(e.pos AS STRING) || ']' END,
+         e.value
+  FROM nodes n, LATERAL variant_explode(n._v) e
+)
+SELECT {cols}_p AS path, _v AS v FROM nodes
+WHERE try_cast(_v AS MAP<STRING, VARIANT>) IS NULL AND try_cast(_v AS ARRAY<VARIANT>) IS NULL
+"""
+
+
+def leaf_paths_recursive(df: DataFrame, v: str = "j", keep: list[str] | None = None) -> DataFrame:
+    """N04 for documents of any depth: a recursive CTE that expands one level
+    per step with ``variant_explode`` (a generator, no shuffle), until no
+    container is left. Same output as ``leaf_paths``; no depth bound."""
+    keep = keep or []
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+    cols = "".join(f"`{c}`, " for c in keep)
+    ncols = "".join(f"n.`{c}`, " for c in keep)
+    sql = RECURSIVE_LEAVES.format(cols=cols, ncols=ncols, v=f"`{v}`")
+    raw = spark.sql(sql, src=df.select(*keep, v))
+    typed = raw.withColumn("type", F.element_at(F.transform(
+        F.array(F.schema_of_variant("v")), lambda t: bucket_of_type(t, F.col("v"))), 1))
+    return (typed.filter(F.col("type").isNotNull())
+            .select(*keep, "path", "type", F.try_variant_get(F.col("v"), "$", "string").alias("value")))

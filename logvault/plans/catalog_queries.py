@@ -29,6 +29,13 @@ def q_leaf_paths(spark, sf_dir):
     return leaf_paths(df, "j", keep=["event_id"]).select("event_id", "path", "type")
 
 
+def q_leaf_paths_recursive(spark, sf_dir):
+    """N04 with no depth bound (recursive CTE over variant_explode)."""
+    df = _docs(spark, sf_dir)
+    df = df.withColumn("event_id", VariantResolver(F.col("j")).integer("attr.event_id"))
+    return leaf_paths(df, "j", keep=["event_id"], depth=None).select("event_id", "path", "type")
+
+
 def q_path_catalog(spark, sf_dir):
     """Distinct path x type with row counts and the static flag."""
     return path_catalog(_docs(spark, sf_dir), "j")
@@ -95,6 +102,7 @@ def q_normalize(spark, sf_dir):
 
 QUERIES = {
     "leaf_paths": q_leaf_paths,
+    "leaf_paths_recursive": q_leaf_paths_recursive,
     "path_catalog": q_path_catalog,
     "path_catalog_pairwise": q_path_catalog_pairwise,
     "encode_keys_b64": q_encode_keys_b64,
@@ -109,6 +117,7 @@ def oracles() -> dict:
     from logvault.plans import oracle
     return {
         "leaf_paths": oracle.leaf_rows(),
+        "leaf_paths_recursive": oracle.leaf_rows(),
         "path_catalog": oracle.path_catalog(),
         "path_catalog_pairwise": oracle.path_catalog(),
         "encode_keys_b64": oracle.leaf_rows(lambda k: encode_name(k, "b64")),

@@ -29,10 +29,10 @@ def walk(doc):
     return [(path_text(p), BUCKET[type(v)]) for p, v in leaves_of(doc)]
 
 
-def spark_leaves(spark, docs):
+def spark_leaves(spark, docs, depth=8):
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, line string")
     df = df.select("i", F.parse_json("line").alias("j"))
-    rows = leaf_paths(df, "j", keep=["i"]).collect()
+    rows = leaf_paths(df, "j", keep=["i"], depth=depth).collect()
     out = {i: [] for i in range(len(docs))}
     for r in rows:
         out[r["i"]].append((r["path"], r["type"]))
@@ -81,9 +81,16 @@ json_docs = st.recursive(json_scalars, lambda ch: st.one_of(
 @given(st.lists(st.dictionaries(st.text("xyz", min_size=1, max_size=2), json_docs, max_size=4),
                 min_size=1, max_size=6))
 def test_flatten_matches_brute_force(spark, docs):
-    got = spark_leaves(spark, docs)
-    for i, d in enumerate(docs):
-        assert sorted(got[i]) == sorted(walk(d))
+    for depth in (8, None):
+        got = spark_leaves(spark, docs, depth)
+        for i, d in enumerate(docs):
+            assert sorted(got[i]) == sorted(walk(d)), depth
+
+
+def test_recursive_form_has_no_depth_bound(spark):
+    deep = {"a": [[[[[[[[[[{"b": [True, None, "x"]}]]]]]]]]]]}
+    got = spark_leaves(spark, [deep], None)[0]
+    assert sorted(got) == sorted(walk(deep)) and len(got) == 2
 
 
 def test_path_catalog_static_flag(spark):
