@@ -340,6 +340,11 @@ class VariantLayout(Layout):
         keep = _passthrough(lines)
         return lines.select(*keep, F.parse_json("line").alias(self.column))
 
+    def from_variant(self, df, j: str):
+        """Layout from an already parsed VARIANT column ``j`` (no second parse)."""
+        keep = [c for c in df.columns if c not in (j, "line")]
+        return df.select(*keep, F.col(j).alias(self.column))
+
     def resolver(self, df):
         return VariantResolver(F.col(self.column))
 
@@ -355,6 +360,11 @@ class DocumentLayout(VariantLayout):
         df = super().build(lines)
         return df.withColumn(self.column, normalize(F.col(self.column)))
 
+    def from_variant(self, df, j: str):
+        from logvault.operators.normalize import normalize
+        out = super().from_variant(df, j)
+        return out.withColumn(self.column, normalize(F.col(self.column)))
+
 
 LAYOUTS = {
     "json_string": JsonStringLayout,

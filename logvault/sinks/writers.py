@@ -116,9 +116,9 @@ def ingest_files(spark: SparkSession, src, layout: Layout | str, path: str, malf
                  blank: str = "empty", mode: str = "errorifexists", **kw) -> DataFrame:
     """Log files (path, directory or glob) -> archive, the way a dataset is loaded.
 
-    ``malformed``: ``fail`` (a bad line fails the job), ``skip`` (bad lines
-    are left out and returned), ``keep`` (stored as they are; only the
-    JSON-string layout can hold them). The inferred layout infers its schema
+    ``malformed``: ``fail`` (a bad line fails the job, on every layout),
+    ``skip`` (bad lines are left out and returned), ``keep`` (stored as they
+    are; only the JSON-string layout can hold them). The inferred layout infers its schema
     straight from the files. Returns the rejected lines (lazy; empty unless
     ``skip``).
     """
@@ -127,17 +127,23 @@ def ingest_files(spark: SparkSession, src, layout: Layout | str, path: str, malf
     lay = get_layout(layout) if isinstance(layout, str) else layout
     lines = read_lines(spark, src, blank=blank)
     rejected = lines.limit(0)
+    parsed = None
     if malformed == "skip":
         parsed, rejected = parse_lines(lines, "skip", out="_ok")
         lines = parsed.drop("_ok")
     elif malformed == "keep" and lay.name != "json_string":
         raise ValueError("only the json_string layout stores malformed lines as they are")
+    elif malformed == "fail" and lay.name == "json_string":
+        # the text layout never parses; validate so a bad line fails the job
+        lines = lines.filter(F.parse_json("line").isNotNull())
     elif malformed not in ("fail", "keep"):
         raise ValueError("malformed must be fail, skip or keep")
     if isinstance(lay, InferredLayout) and malformed != "skip":
         df = lay.from_files(spark, src)
         if malformed == "fail" and "_corrupt_record" in df.columns:
             raise ValueError("malformed lines found while inferring the schema; use malformed='skip'")
+    elif parsed is not None and hasattr(lay, "from_variant"):
+        df = lay.from_variant(parsed, "_ok")  # already parsed: no second parse
     else:
         df = lay.build(lines)
     write_layout(df, lay, path, mode=mode, **kw)

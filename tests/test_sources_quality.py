@@ -132,7 +132,7 @@ def test_read_archive_refuses_empty(spark, tmp_path):
         read_archive(spark, p, "variant", require_data=True)
 
 
-@pytest.mark.parametrize("layout", ["pairwise", "variant", "inferred", "static_dynamic"])
+@pytest.mark.parametrize("layout", ["pairwise", "variant", "inferred", "static_dynamic", "document", "json_string"])
 def test_ingest_files_skip_policy(spark, tmp_path, layout):
     from logvault.sinks.writers import ingest_files
     src = str(tmp_path / "logs" / "a.log")
