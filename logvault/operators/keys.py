@@ -28,7 +28,15 @@ from pyspark.sql import types as T
 from logvault.functions.variant import is_array, is_object
 
 MODES = ("b64", "hex")
-DEFAULT_DEPTH = 8
+DEFAULT_DEPTH = 16
+
+
+def allow_depth(spark, depth: int) -> None:
+    """Nested lambdas take analyzer iterations per level; raise the session's
+    limit for bounds beyond the default (resolution time grows with depth)."""
+    if depth > DEFAULT_DEPTH:
+        cur = int(spark.conf.get("spark.sql.analyzer.maxIterations", "100"))
+        spark.conf.set("spark.sql.analyzer.maxIterations", str(max(cur, 20 * depth)))
 
 
 def encode_name_column(k: Column, mode: str) -> Column:
@@ -117,5 +125,6 @@ def encode_keys(df: DataFrame, mode: str = "b64", column: str | None = None,
                 depth: int = DEFAULT_DEPTH) -> DataFrame:
     """N01/N02 on a DataFrame: VARIANT column ``column`` if given, else the struct schema."""
     if column is not None:
+        allow_depth(df.sparkSession, depth)
         return df.withColumn(column, encode_keys_variant(F.col(column), mode, depth))
     return encode_keys_struct(df, mode)

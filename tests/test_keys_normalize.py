@@ -101,3 +101,15 @@ def test_encoded_paths_find_the_same_rows(spark):
         df = lay.build(dataset_variation(lines, variation))
         assert df.filter(pred.column(lay.resolver(df))).count() == 0  # original paths no longer exist
         assert df.filter(P.encode_paths(pred, mode).column(lay.resolver(df))).count() == 1
+
+
+def test_deep_documents_raise_or_encode_with_a_larger_bound(spark):
+    from logvault.operators.keys import encode_keys
+    deep = {"a b": 1}
+    for _ in range(9):
+        deep = {"x-y": [deep]}  # 18 container levels below the root
+    df = spark.createDataFrame([(json.dumps(deep),)], "line string").select(F.parse_json("line").alias("j"))
+    with pytest.raises(Exception, match="deeper than 16"):
+        encode_keys(df, "b64", column="j").collect()
+    out = json.loads(encode_keys(df, "b64", column="j", depth=20).select(F.to_json("j")).first()[0])
+    assert list(out) == [encode_name("x-y", "b64")]
