@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logvault.functions.variant import bucket_of_type, is_array, is_object
 
-DEFAULT_DEPTH = 32
+DEFAULT_DEPTH = 16
 BUCKETS = ("string", "int", "float", "bool")
 BUCKET_TYPES = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean"}
 
