@@ -67,6 +67,20 @@ def q_line_count_check(spark, sf_dir):
     return line_count_check(read_lines(spark, path), cat, "events-log")
 
 
+def q_read_many(spark, sf_dir):
+    """A dataset spread over many files in several folders, read with one
+    glob; lines counted per source folder from each line's file path."""
+    configure(spark)
+    base = scratch_path(spark, "many")
+    lines = event_log_lines(spark, sf_dir)
+    # the folder a line lands in is only used as its provenance label
+    lines.withColumn("event_type", F.lower(F.get_json_object("line", "$.c"))).repartition(4) \
+        .write.partitionBy("event_type").text(base)
+    got = read_lines(spark, f"{base}/*/*.txt", provenance=True)
+    return (got.groupBy(F.element_at(F.split("source_file", "/"), -2).alias("source_dir"))
+            .agg(F.count(F.lit(1)).alias("n_lines")))
+
+
 def q_ordered_variant(spark, sf_dir):
     """Variant archive ordered by (c, ctx) then event time; Q5 read back."""
     configure(spark)
@@ -106,6 +120,7 @@ QUERIES.update({
     "roundtrip_json_string": q_roundtrip_json_string,
     "line_count_check": q_line_count_check,
     "ordered_variant_q5": q_ordered_variant,
+    "read_many_provenance": q_read_many,
     "archive_sizes": q_archive_sizes,
 })
 
@@ -121,5 +136,7 @@ def oracles() -> dict:
         "line_count_check": ("SELECT 'events-log' AS dataset, count(*) AS number_of_lines, "
                              "count(*) AS counted, true AS ok FROM events"),
         "ordered_variant_q5": oracle.search_rows(oracle.SEARCH_SQL["q5"]),
+        "read_many_provenance": ("SELECT 'event_type=' || event_type AS source_dir, count(*) AS n_lines "
+                                 "FROM events GROUP BY event_type"),
     })
     return out
