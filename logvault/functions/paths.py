@@ -57,8 +57,3 @@ def json_path(path) -> str:
         else:
             out += "['" + s.replace("'", "\\'") + "']"
     return out
-
-
-def split_first(path):
-    segs = parse_path(path)
-    return segs[0], segs[1:]

@@ -21,11 +21,6 @@ def present(v: Column) -> Column:
     return v.isNotNull() & ~F.is_variant_null(v)
 
 
-def type_name(v: Column) -> Column:
-    """Top-level type of a variant value: STRING, BIGINT, DECIMAL(p,s), OBJECT<..>, ..."""
-    return F.schema_of_variant(v)
-
-
 def is_object(v: Column) -> Column:
     return v.try_cast("map<string,variant>").isNotNull()
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvault.functions import variant as V
-from logvault.functions.paths import json_path, parse_path, path_text
 
 
 class Resolver:
@@ -111,14 +110,4 @@ class Layout:
         return spark.read.parquet(path)
 
 
-def key_value(resolver: Resolver, path, kind: str) -> Column:
-    """Helper for projections: typed value of a path through a resolver."""
-    if kind == "number":
-        return resolver.number(path)
-    if kind == "bigint":
-        return resolver.number(path).cast("bigint")
-    return resolver.text(path)
-
-
-__all__ = ["Resolver", "VariantResolver", "AbsentResolver", "Layout", "key_value",
-           "json_path", "parse_path", "path_text"]
+__all__ = ["Resolver", "VariantResolver", "AbsentResolver", "Layout"]

@@ -4,7 +4,7 @@ import json
 
 from logvault.layouts import get_layout
 from logvault.operators import predicates as P
-from logvault.operators.project import project_event
+from logvault.operators.project import project_event, select_all
 from logvault.operators.search import count_hits, count_hits_many, cross_check, layout_diff, search
 
 DOCS = [{"k": 1, "msg": "a"}, {"k": 2}, {"k": 3, "msg": "b", "t": {"$date": "x"}, "attr": {"z": [1]},
@@ -19,6 +19,7 @@ def frames(spark, *names):
 def test_count_hits(spark):
     (lay, df), = frames(spark, "variant")
     assert count_hits(df, lay, P.Exists("msg")) == 2
+    assert select_all(df) is df
 
 
 def test_cross_check(spark):
