@@ -3,7 +3,7 @@
     ingest  SRC DST --layout variant [--malformed skip] [--keys b64|hex]
     search  ARCHIVE --layout variant [--dialect sql|kql|pairwise|es] [--where SQL]
     catalog ARCHIVE --layout variant
-    report  RESULTS_DIR OUT [--format parquet|csv]
+    report  RESULTS OUT [--format parquet|csv]   (RESULTS: "<dir>/*/output.json" or Parquet)
 
 Every command prints one JSON line. ``search --where`` counts the rows of the
 archive view matching a Spark SQL condition (the archive is registered as
@@ -36,8 +36,8 @@ def _parser() -> argparse.ArgumentParser:
     c = sub.add_parser("catalog", help="path catalogue of an archive")
     c.add_argument("archive")
     c.add_argument("--layout", default="variant", choices=["variant", "document", "pairwise"])
-    r = sub.add_parser("report", help="result documents (tool, doc) in Parquet -> report sheets")
-    r.add_argument("results")
+    r = sub.add_parser("report", help="result files (<tool>/output.json glob) or (tool, doc) Parquet -> sheets")
+    r.add_argument("results", help="glob of JSON result files, or a Parquet folder of (tool, doc)")
     r.add_argument("out")
     r.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     return p
@@ -79,9 +79,11 @@ def main(argv: list[str] | None = None, spark=None) -> dict:
         cat = path_catalog_pairwise(df) if args.layout == "pairwise" else path_catalog(df, "j")
         out["paths"] = [r.asDict() for r in cat.orderBy("path", "type").toLocalIterator()]
     elif args.command == "report":
-        from logvault.operators.report import read_results, report, report_long
+        from logvault.operators.report import read_result_files, read_results, report, report_long
         from logvault.sinks.writers import write_report
-        wide = report(report_long(read_results(spark.read.parquet(args.results))))
+        docs = (read_result_files(spark, args.results) if args.results.endswith(".json")
+                else spark.read.parquet(args.results))
+        wide = report(report_long(read_results(docs)))
         write_report(wide, args.out, fmt=args.format)
         out.update(out=args.out)
     print(json.dumps(out, default=str))

@@ -45,6 +45,15 @@ def read_results(docs: DataFrame, doc_col: str = "doc", tool_col: str = "tool")
             .filter(F.col("metric") != "start_time"))
 
 
+def read_result_files(spark, glob: str) -> DataFrame:
+    """Result files (one JSON document per file, e.g. ``<tool>/output.json``)
+    -> ``(tool, doc)``; the tool is the name of the file's folder. Each file
+    is one small document, read whole."""
+    raw = spark.read.text(glob, wholetext=True)
+    return raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("tool"),
+                      F.col("value").alias("doc"))
+
+
 def methodology_label(tool: Column, config: Column) -> Column:
     """``tool (k=v, k=v)`` from the configuration JSON (source key order)."""
     m = F.from_json(config, "map<string,string>")

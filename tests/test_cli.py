@@ -27,3 +27,20 @@ def test_ingest_with_encoded_keys(spark, tmp_path):
     main(["ingest", str(src), dst, "--layout", "pairwise", "--keys", "b64"], spark)
     paths = {p["path"] for p in main(["catalog", dst, "--layout", "pairwise"], spark)["paths"]}
     assert paths == {"YmFkIGtleQ=="}
+
+
+def test_report_from_result_files(spark, tmp_path):
+    import json
+    for tool in ("toolA", "toolB"):
+        d = tmp_path / "assets" / tool
+        os.makedirs(d)
+        doc = {"mongod": {"{}": {"ingest": {"time_taken_s": 1.5, "memory_average_B": 1048576,
+                                            "compressed_size_B": 1048576, "decompressed_size_B": 2097152,
+                                            "start_time": "2024-01-01 00:00:00"}}}}
+        (d / "output.json").write_text(json.dumps(doc, indent=2))
+    out = str(tmp_path / "sheets")
+    main(["report", str(tmp_path / "assets" / "*" / "output.json"), out, "--format", "csv"], spark)
+    rows = spark.read.option("header", "true").csv(out).collect()
+    cells = {(r["sheet"], r["metric"]): (r["toolA ()"], r["toolB ()"]) for r in rows}
+    assert cells[("mongod (ingest)", "compression_ratio")] == ("2.0", "2.0")
+    assert cells[("mongod (ingest)", "memory_average_MB")] == ("1.0", "1.0")
