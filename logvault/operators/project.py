@@ -101,3 +101,9 @@ def event_time_by_dataset(df: DataFrame, catalog: DataFrame, v: str = "j", datas
     for ds, key in sorted(keys):
         text = F.when(F.col(dataset_col) == ds, V.vget(F.col(v), key, "string")).otherwise(text)
     return df.withColumn(out, to_event_time(text, formats))
+
+
+def epoch_to_text(seconds: Column) -> Column:
+    """Epoch seconds -> ``yyyy-MM-dd HH:mm:ss`` in the session time zone (the
+    run records' ``start_time`` text)."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")

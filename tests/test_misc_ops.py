@@ -83,3 +83,9 @@ def test_rows_per_row_group(spark, tmp_path, lines_df):
     write_layout(lines.coalesce(1), "json_string", p, row_group_rows=1000)
     meta = pq.ParquetFile(glob.glob(p + "/*.parquet")[0]).metadata
     assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1000, 1000, 500]
+
+
+def test_epoch_to_text(spark):
+    from logvault.operators.project import epoch_to_text
+    df = spark.createDataFrame([(1704067207.9,)], "s double")
+    assert df.select(epoch_to_text(F.col("s"))).first()[0] == "2024-01-01 00:00:07"
