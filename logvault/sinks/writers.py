@@ -30,19 +30,45 @@ def _size_opts(max_records_per_file=None, block_size=None, row_group_rows=None)
     return o
 
 
+CALIBRATION_ROWS = 20000
+
+
+def records_for_bytes(df: DataFrame, layout: Layout, target_bytes: int,
+                      sample_rows: int = CALIBRATION_ROWS) -> int:
+    """Rows per file that give files of about ``target_bytes``: a bounded
+    sample is written with the same layout under the shared scratch folder
+    and its stored bytes per row measured."""
+    from logvault.operators.quality import archive_size
+    from logvault.session import scratch_path
+    spark = df.sparkSession
+    probe = scratch_path(spark, "size-probe")
+    sample = df.limit(sample_rows)
+    layout.write(sample, probe, mode="errorifexists")
+    rows = spark.read.parquet(probe).count()
+    if rows == 0:
+        return 1
+    per_row = max(1.0, archive_size(spark, probe) / rows)
+    return max(1, int(target_bytes / per_row))
+
+
 def write_layout(df: DataFrame, layout: Layout | str, path: str, mode: str = "errorifexists",
                  max_records_per_file: int | None = None, block_size: int | None = None,
-                 row_group_rows: int | None = None, rebalance: bool = False) -> None:
+                 row_group_rows: int | None = None, rebalance: bool = False,
+                 target_file_bytes: int | None = None) -> None:
     """Write a built layout DataFrame.
 
-    S10 size bounds: ``max_records_per_file`` (rows per file), ``block_size``
-    (bytes per row group) and ``row_group_rows`` (rows per row group; the
-    reference's fixed batches of 10000 / 1000 rows). Large row groups scan
-    fastest, so the defaults leave them to Parquet.
+    S10 size bounds: ``max_records_per_file`` (rows per file),
+    ``target_file_bytes`` (rows per file calibrated on a written sample, e.g.
+    the reference's 256 MB archives), ``block_size`` (bytes per row group)
+    and ``row_group_rows`` (rows per row group; the reference's fixed batches
+    of 10000 / 1000 rows). Large row groups scan fastest, so the defaults
+    leave them to Parquet.
     """
     if mode not in WRITE_MODES:
         raise ValueError(f"mode must be one of {WRITE_MODES}")
     lay = get_layout(layout) if isinstance(layout, str) else layout
+    if target_file_bytes and not max_records_per_file:
+        max_records_per_file = records_for_bytes(df, lay, int(target_file_bytes))
     if rebalance:
         df = df.hint("rebalance")
     lay.write(df, path, mode=mode, **_size_opts(max_records_per_file, block_size, row_group_rows))

@@ -89,3 +89,14 @@ def test_epoch_to_text(spark):
     from logvault.operators.project import epoch_to_text
     df = spark.createDataFrame([(1704067207.9,)], "s double")
     assert df.select(epoch_to_text(F.col("s"))).first()[0] == "2024-01-01 00:00:07"
+
+
+def test_target_file_bytes(spark, tmp_path, lines_df):
+    import hashlib
+    pad = [hashlib.sha256(str(i).encode()).hexdigest() * 3 for i in range(3000)]
+    lines = lines_df([f'{{"i": {i}, "pad": "{pad[i]}"}}' for i in range(3000)])
+    p = str(tmp_path / "sized")
+    write_layout(lines.coalesce(1), "json_string", p, target_file_bytes=64 * 1024)
+    sizes = [os.path.getsize(os.path.join(p, f)) for f in os.listdir(p) if f.endswith(".parquet")]
+    assert len(sizes) >= 2
+    assert max(sizes) < 4 * 64 * 1024
