@@ -66,3 +66,17 @@ def test_watermark_survives_restart_and_drops_late_rows(spark, tmp_path):
     out = sorted((r["sample_ts"].second + 60 * r["sample_ts"].minute, r["total_rss_bytes"])
                  for r in spark.read.parquet(dst).collect())
     assert out == [(0, 1024), (60, 2 * 1024)]
+
+
+def test_ingest_stream_processing_time_trigger(spark, tmp_path):
+    src, dst, ck = str(tmp_path / "src"), str(tmp_path / "dst"), str(tmp_path / "ck")
+    os.makedirs(src)
+    with open(f"{src}/a.log", "w") as f:
+        f.write('{"id": 1, "attr": {"x": "a"}}\n{"id": 2}\n')
+    q = ingest_stream(spark, src, dst, "document", ck, available_now=False, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    lay = get_layout("document")
+    assert search(lay.read(spark, dst), lay, Eq("id", 2)).count() == 1
