@@ -320,6 +320,10 @@ class StaticDynamicLayout(Layout):
             if t == "timestamp":
                 from logvault.operators.project import to_event_time
                 c = to_event_time(V.vget(v, p, "string"), self.timestamp_formats)
+            elif t in ("bigint", "int", "smallint", "tinyint"):
+                # a variant cast to an integer truncates 1.5 to 1; keep only integral values
+                exact = V.vget(v, p, "decimal(38,6)")
+                c = F.when(exact == F.floor(exact), V.vget(v, p, t))
             else:
                 c = V.vget(v, p, t)
             cols.append(c.alias(_col_name(p)))

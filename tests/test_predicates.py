@@ -106,3 +106,10 @@ def test_variant_filter_reads_only_requested_field(spark, tmp_path, lines_df):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan
     assert q.count() == 1
+
+
+def test_static_integer_column_keeps_only_integral_values(spark, lines_df):
+    lay = get_layout("static_dynamic")
+    df = lay.build(lines_df(['{"id": 22419}', '{"id": 22419.5}', '{"id": "22419"}', '{"id": 1e3}']))
+    assert sorted((r["id"] for r in df.collect()), key=lambda x: (x is None, x)) == [1000, 22419, 22419, None]
+    assert search(df, lay, P.Eq("id", 22419)).count() == 2
