@@ -62,7 +62,8 @@ class VariantResolver(Resolver):
         return V.vget(self.v, path, "double")
 
     def integer(self, path):
-        return V.vget(self.v, path, "bigint")
+        exact = V.vget(self.v, path, "decimal(38,6)")  # a bigint cast would truncate 1.5
+        return F.when(exact == F.floor(exact), V.vget(self.v, path, "bigint"))
 
     def bucket_has(self, path, bucket):
         return F.coalesce(V.bucket(self.node(path)) == bucket, F.lit(False))

@@ -170,7 +170,11 @@ class StructResolver(Resolver):
         c, t = self._resolve(path)
         if c is None:
             return F.lit(None).cast("bigint")
-        return c.cast("bigint") if isinstance(t, T.IntegralType) else c.try_cast("bigint")
+        if isinstance(t, T.IntegralType):
+            return c.cast("bigint")
+        if isinstance(t, T.FractionalType):
+            return F.when(c == F.floor(c), c.try_cast("bigint"))
+        return c.try_cast("bigint")
 
     def numeric_operands(self, path, value):
         c, t = self._resolve(path)

@@ -113,3 +113,13 @@ def test_static_integer_column_keeps_only_integral_values(spark, lines_df):
     df = lay.build(lines_df(['{"id": 22419}', '{"id": 22419.5}', '{"id": "22419"}', '{"id": 1e3}']))
     assert sorted((r["id"] for r in df.collect()), key=lambda x: (x is None, x)) == [1000, 22419, 22419, None]
     assert search(df, lay, P.Eq("id", 22419)).count() == 2
+
+
+def test_integer_accessor_is_exact_on_every_layout(spark, lines_df):
+    docs = ['{"id": 1, "attr": {"n": 7}}', '{"id": 2, "attr": {"n": 7.5}}', '{"id": 3, "attr": {"n": "8"}}']
+    for name in LAYOUTS + ["static_dynamic"]:
+        lay = get_layout(name)
+        df = lay.build(lines_df(docs))
+        r = lay.resolver(df)
+        rows = df.select(r.integer("id").alias("k"), r.integer("attr.n").alias("n")).collect()
+        assert {row["k"]: row["n"] for row in rows} == {1: 7, 2: None, 3: 8}, name
