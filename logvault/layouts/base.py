@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from logvault.functions import variant as V
 
+EXACT = "decimal(38,6)"
+
 
 class Resolver:
     """Path -> Column for one DataFrame of one layout."""
@@ -38,6 +40,17 @@ class Resolver:
         stay in the column's own type and can be pushed into the scan."""
         return self.number(path), F.lit(float(value))
 
+    def exact_number(self, path) -> Column:
+        """The value as DECIMAL(38,6): exact for every 64-bit integer."""
+        return self.text(path).try_cast(EXACT)
+
+    def equality_operands(self, path, value) -> tuple[Column, Column]:
+        """Operands for numeric (in)equality: integer literals compare exactly
+        (a double cannot tell integers beyond 2^53 apart)."""
+        if isinstance(value, int) and not isinstance(value, bool):
+            return self.exact_number(path), F.lit(value).cast(EXACT)
+        return self.numeric_operands(path, value)
+
     def bucket_has(self, path, bucket: str) -> Column:  # leaf of the given pairwise bucket
         raise NotImplementedError
 
@@ -62,9 +75,12 @@ class VariantResolver(Resolver):
         return V.vget(self.v, path, "double")
 
     def integer(self, path):
-        exact = V.vget(self.v, path, "decimal(38,6)")  # a bigint cast would truncate 1.5
+        exact = V.vget(self.v, path, EXACT)  # a bigint cast would truncate 1.5
         return F.when(exact == F.floor(exact), V.vget(self.v, path, "bigint"))
 
+    def exact_number(self, path):
+        return V.vget(self.v, path, EXACT)
+
     def bucket_has(self, path, bucket):
         return F.coalesce(V.bucket(self.node(path)) == bucket, F.lit(False))
 
@@ -81,6 +97,9 @@ class AbsentResolver(Resolver):
     def number(self, path):
         return F.lit(None).cast("double")
 
+    def exact_number(self, path):
+        return F.lit(None).cast(EXACT)
+
     def bucket_has(self, path, bucket):
         return F.lit(False)
 

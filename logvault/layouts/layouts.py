@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from logvault.functions import variant as V
 from logvault.functions.paths import json_path, parse_path, path_text
-from logvault.layouts.base import AbsentResolver, Layout, Resolver, VariantResolver
+from logvault.layouts.base import EXACT, AbsentResolver, Layout, Resolver, VariantResolver
 from logvault.operators.flatten import BUCKETS, DEFAULT_DEPTH, pairwise_columns, with_leaves
 
 
@@ -84,6 +84,10 @@ class PairwiseResolver(Resolver):
     def integer(self, path):
         return F.coalesce(self.lookup(path, "int"), self.lookup(path, "string").try_cast("bigint"))
 
+    def exact_number(self, path):
+        return F.coalesce(self.lookup(path, "int").cast(EXACT), self.lookup(path, "float").try_cast(EXACT),
+                          self.lookup(path, "string").try_cast(EXACT))
+
     def bucket_has(self, path, bucket):
         return F.coalesce(F.array_contains(F.col(f"{bucket}_columns"), path_text(path)), F.lit(False))
 
@@ -182,6 +186,18 @@ class StructResolver(Resolver):
             return c, F.lit(int(value))
         return self.number(path), F.lit(float(value))
 
+    def exact_number(self, path):
+        c, t = self._resolve(path)
+        if c is None:
+            return F.lit(None).cast(EXACT)
+        return c.try_cast(EXACT)
+
+    def equality_operands(self, path, value):
+        c, t = self._resolve(path)
+        if c is not None and isinstance(t, T.IntegralType) and isinstance(value, int):
+            return c, F.lit(value)  # typed and exact: pushed as EqualTo
+        return super().equality_operands(path, value)
+
     def bucket_has(self, path, bucket):
         c, t = self._resolve(path)
         if c is None:
@@ -290,6 +306,20 @@ class StaticDynamicResolver(Resolver):
             return c.numeric_operands(extra, value)
         return self.number(path), F.lit(float(value))
 
+    def exact_number(self, path):
+        kind, c, extra = self._route(path)
+        if kind == "static":
+            return c.try_cast(EXACT)
+        return c.exact_number(extra) if kind == "dynamic" else F.lit(None).cast(EXACT)
+
+    def equality_operands(self, path, value):
+        kind, c, extra = self._route(path)
+        if kind == "static" and extra in ("bigint", "int") and isinstance(value, int):
+            return c, F.lit(value)
+        if kind == "dynamic":
+            return c.equality_operands(extra, value)
+        return super().equality_operands(path, value)
+
     def bucket_has(self, path, bucket):
         kind, c, extra = self._route(path)
         if kind == "static":

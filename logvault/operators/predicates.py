@@ -65,7 +65,7 @@ class Eq(Pred):  # P03 (number) / P04 (string)
 
     def column(self, r):
         if _is_num(self.value):
-            x, v = r.numeric_operands(self.path, self.value)
+            x, v = r.equality_operands(self.path, self.value)
             return x == v
         if isinstance(self.value, bool):
             return r.text(self.path) == F.lit("true" if self.value else "false")
@@ -80,7 +80,7 @@ class Ne(Pred):  # P05 / P06
 
     def column(self, r):
         if _is_num(self.value):
-            x, v = r.numeric_operands(self.path, self.value)
+            x, v = r.equality_operands(self.path, self.value)
         else:
             x, v = r.text(self.path), F.lit(self.value)
         if self.absent == "keep":
@@ -194,7 +194,7 @@ class Match(Pred):  # P12
 
     def column(self, r):
         if _is_num(self.query):
-            x, v = r.numeric_operands(self.path, self.query)
+            x, v = r.equality_operands(self.path, self.query)
             return F.coalesce(x == v, F.lit(False))
         q = text_tokens(self.query)
         if not q:

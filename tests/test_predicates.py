@@ -123,3 +123,15 @@ def test_integer_accessor_is_exact_on_every_layout(spark, lines_df):
         r = lay.resolver(df)
         rows = df.select(r.integer("id").alias("k"), r.integer("attr.n").alias("n")).collect()
         assert {row["k"]: row["n"] for row in rows} == {1: 7, 2: None, 3: 8}, name
+
+
+def test_integer_equality_is_exact_beyond_double_precision(spark, lines_df):
+    # integers only: inferring a schema over ints and floats stores DOUBLE (L3)
+    ints = ['{"k": 1, "big": 9007199254740993}', '{"k": 2, "big": 9007199254740992}']
+    mixed = ['{"k": 3, "big": 5.0}', '{"k": 4, "big": 6}']
+    for name in ["json_string", "pairwise", "inferred", "variant", "document"]:
+        lay = get_layout(name)
+        for docs, lit, want in ((ints, 9007199254740993, [1]), (mixed, 5, [3])):
+            df = lay.build(lines_df(docs))
+            hits = search(df, lay, P.Eq("big", lit))
+            assert sorted(r[0] for r in hits.select(lay.resolver(hits).integer("k")).collect()) == want, name
