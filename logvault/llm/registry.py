@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "packing", "sharding")
+MODULES = ("toxicity", "quality", "secrets", "packing", "sharding")
 
 
 def queries() -> dict:
