@@ -88,3 +88,45 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         if changed:
             return labels
     raise RuntimeError("connected components did not settle")
+
+
+#: Sides of up to this many bytes (rows times a stated row width) are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves it small, else as it is. For written tables: the count is cheap."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def runs(batches, keys: list[str]):
+    """Groups of consecutive rows with equal ``keys`` from sorted Arrow batches, as record batches.
+
+    Yields lists of (first row, row after the last) over one table at a time; a
+    group never spans two tables. Only groups of bounded size may be read so.
+    """
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        t = t.combine_chunks()
+        cuts = _cuts(t, keys)
+        last = cuts[-2]
+        if last:
+            head = t.slice(0, last)
+            yield head, cuts[:-1]
+        rest = t.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest, [0, rest.num_rows]
+
+
+def _cuts(t: pa.Table, keys: list[str]) -> list[int]:
+    new = np.zeros(t.num_rows, bool)
+    for k in keys:
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    new[0] = True
+    return [*np.flatnonzero(new).tolist(), t.num_rows]
