@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "near_dedup", "quality", "secrets", "packing", "sharding")
+MODULES = ("toxicity", "near_dedup", "quality", "decontaminate", "secrets", "packing", "sharding")
 
 
 def queries() -> dict:
