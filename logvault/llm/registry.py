@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "near_dedup", "class_lm", "quality", "decontaminate", "secrets", "packing", "sharding")
+MODULES = ("toxicity", "near_dedup", "class_lm", "quality", "license_scan", "packing", "decontaminate", "embed_dedup", "sharding", "secrets")
 
 
 def queries() -> dict:
