@@ -83,9 +83,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         up = labels.select(F.col("node").alias("new"), F.col("component").alias("top"))
         nxt = materialise(step.join(up, "new")
                           .select("node", "old", F.least("new", "top").alias("component")), "cc-labels")
-        changed = nxt.filter("old <> component").isEmpty()
+        settled = nxt.filter("old <> component").isEmpty()
         labels = nxt.select("node", "component")
-        if changed:
+        if settled:
             return labels
     raise RuntimeError("connected components did not settle")
 

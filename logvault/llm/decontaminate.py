@@ -148,8 +148,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
     leaks = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("th").alias("leak_th"))
                         .distinct(), "leaks")
-    same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_th"))
-    return docs.join(small_side(leaks, 32), same, "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("row.text") == F.col("leak_th"))
+    return rows.join(small_side(leaks, 32), same, "left_anti").select("row.*")
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,14 +261,13 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = (marked.groupBy("doc_id", "th").agg(F.max("keeper").alias("stays"), F.count("*").alias("n"))
              .select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), "stays", "n"))
     odd = materialise(pairs.filter("not stays or n > 1"), "dedup-odd")
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_th"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    side = small_side(odd, 32)
-    out = docs.join(side, same, "left").filter("stays is null or stays")
-    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("row.text") == F.col("k_th"))
+    out = src.join(small_side(odd, 32), same, "left").filter("stays is null or stays")
+    blank = ~F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     repeat = F.coalesce(F.col("n") > 1, F.lit(False)) & ~blank
-    once = out.filter(~repeat).select(*cols)
-    again = out.filter(repeat).select(*cols).dropDuplicates(["doc_id", "text"])
+    once = out.filter(~repeat).select("row.*")
+    again = out.filter(repeat).select("row.*").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)
 
 
