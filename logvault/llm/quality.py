@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvault.llm.common import crc_mod, pieces, read_table
+from logvault.llm.common import CHUNK_BYTES, crc_mod, pieces, read_table
 from logvault.llm.labelled import training_sample
 
 PASSAGE_WORDS = 64
@@ -165,14 +165,26 @@ class AttentionModel:
         return self
 
 
-def fit(sample: list[tuple[int, int, bytes]], rate_of_ones: float | None = None) -> tuple[AttentionModel | None, float]:
-    """(model, base rate). The sample is balanced; the bias is moved to the base rate afterwards."""
+def _encode_slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``encode_passages`` about ``CHUNK_BYTES`` at a time."""
+    done, starts, total = [], [], 0
+    at = np.cumsum([len(t) for t in texts]) // CHUNK_BYTES
+    for k in np.unique(at):
+        f, s = encode_passages(texts[int(np.searchsorted(at, k)):int(np.searchsorted(at, k, side="right"))])
+        done.append(f)
+        starts.append(s + total)
+        total += len(f)
+    return np.concatenate(done), np.concatenate(starts)
+
+
+def fit(sample: list[tuple[int, int, bytes]]) -> tuple[AttentionModel | None, float]:
+    """(model, base rate of the sample) from (label, draw, text) rows."""
     rows = sorted(sample, key=lambda r: (r[1], r[2]))
     y = np.array([r[0] for r in rows], np.float64)
     rate = float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
         return None, rate
-    feats, start = encode_passages([r[2] for r in rows])
+    feats, start = _encode_slices([r[2] for r in rows])
     model = AttentionModel(feats.mean(0), feats.std(0) + 0.05)
     return model.fit(feats, start, y), rate
 
