@@ -30,8 +30,8 @@ from logvault.llm.common import materialise, pieces, read_table
 
 CAPACITY = 2048
 END_ID = 0
-#: Words remembered by a Python worker; the memory bound of the word table.
-CACHE_WORDS = 300_000
+#: Words in each of the two generations a Python worker remembers; the memory bound of the word table.
+CACHE_WORDS = 100_000
 #: Branch-and-bound nodes for one filling; at the limit the incumbent is taken (never a lost piece).
 NODES = 20_000
 
@@ -60,6 +60,7 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -67,8 +68,12 @@ class WordIds(dict):
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS:  # words not used since the last time drop out with the older generation
+            self.older = dict(self)
             self.clear()
+        if word in self.older:
+            out = self[word] = self.older[word]
+            return out
         text = word.decode("utf-8", "replace")
         parts = self.PLAIN.findall(text)
         if sum(map(len, parts)) == len(text):

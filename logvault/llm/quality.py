@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvault.llm.common import CHUNK_BYTES, crc_mod, pieces, read_table
+from logvault.llm.common import crc_mod, pieces, read_table
 from logvault.llm.labelled import training_sample
 
 PASSAGE_WORDS = 64
@@ -30,6 +30,7 @@ FEATURES = STATS + HASHED
 ENCODING, GATE = 24, 12
 SAMPLE_ROWS = 3000  # of each class
 EPOCHS, BATCH = 14, 256
+SLICE_BYTES = 1 << 18  # text bytes encoded at a time; the arrays take some 100 times as much
 THRESHOLD = 0.3
 
 _SPACE = np.zeros(256, bool)
@@ -166,9 +167,9 @@ class AttentionModel:
 
 
 def _encode_slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """``encode_passages`` about ``CHUNK_BYTES`` at a time."""
+    """``encode_passages`` about ``SLICE_BYTES`` at a time."""
     done, starts, total = [], [], 0
-    at = np.cumsum([len(t) for t in texts]) // CHUNK_BYTES
+    at = np.cumsum([len(t) for t in texts]) // SLICE_BYTES
     for k in np.unique(at):
         f, s = encode_passages(texts[int(np.searchsorted(at, k)):int(np.searchsorted(at, k, side="right"))])
         done.append(f)
@@ -191,7 +192,7 @@ def fit(sample: list[tuple[int, int, bytes]]) -> tuple[AttentionModel | None, fl
 
 def _score(batches, model):
     net, rate = model.value
-    for part, texts in pieces(batches, "tx"):
+    for part, texts in pieces(batches, "tx", SLICE_BYTES):
         if net is None:
             prob, top = np.full(len(texts), rate), np.ones(len(texts))
         else:
