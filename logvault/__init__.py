@@ -7,8 +7,8 @@ Typical use::
 
     from logvault import get_spark, read_lines, ingest, read_archive, searches, count_hits_many, get_layout
     spark = get_spark()
-    ingest(read_lines(spark, "s3://logs/mongod/*.log"), "variant", "s3://archive/mongod")
-    df = read_archive(spark, "s3://archive/mongod", "variant")
+    ingest(read_lines(spark, "logs/mongod/*.log"), "variant", "archive/mongod")
+    df = read_archive(spark, "archive/mongod", "variant")
     count_hits_many(df, get_layout("variant"), searches("sql")).show()
 """
 

@@ -96,23 +96,12 @@ class PairwiseResolver(Resolver):
 class PairwiseLayout(Layout):
     """L2: fixed schema of four typed (path array, value array) pairs.
 
-    ``engine="arrow"`` (default) flattens each batch of lines in the task with
-    one pass over each document (measured ~3x faster); ``engine="native"`` is the pure
-    Catalyst form (VARIANT + higher-order functions, ``depth`` levels).
-    Both give the same leaves; order inside a row may differ.
+    Built with VARIANT and higher-order functions, documents of any depth.
     """
     name: str = "pairwise"
-    depth: int = DEFAULT_DEPTH
-    engine: str = "arrow"
+    depth: int | None = DEFAULT_DEPTH
 
     def build(self, lines):
-        if self.engine == "arrow":
-            from logvault.operators.flatten_arrow import flatten_pairwise_arrow
-            from logvault.session import ship_package
-            ship_package(lines.sparkSession)
-            return flatten_pairwise_arrow(lines, "line")
-        if self.engine != "native":
-            raise ValueError("engine must be 'arrow' or 'native'")
         keep = _passthrough(lines)
         df = lines.withColumn("_j", F.parse_json("line"))
         return with_leaves(df, "_j", "_leaves", self.depth).select(*keep, *pairwise_columns(F.col("_leaves")))
@@ -211,14 +200,12 @@ class StructResolver(Resolver):
 class InferredLayout(Layout):
     """L3: struct schema inferred over the whole input (case-sensitive names).
 
-    Inference is a full extra pass over the input. ``sampling_ratio`` < 1
-    trades that cost for the risk of missing rare fields; ``schema`` (a DDL
+    Inference is a full extra pass over the input; ``schema`` (a DDL
     string or StructType, e.g. inferred once from an earlier batch) skips
     inference and makes ingest a single pass. The default reads everything,
     as the reference does.
     """
     name: str = "inferred"
-    sampling_ratio: float = 1.0
     schema: object = None
 
     def build(self, lines):
@@ -237,7 +224,7 @@ class InferredLayout(Layout):
     def from_files(self, spark: SparkSession, path) -> DataFrame:
         spark.conf.set("spark.sql.caseSensitive", "true")
         r = spark.read.option("mode", "PERMISSIVE")
-        r = r.schema(self.schema) if self.schema is not None else r.option("samplingRatio", self.sampling_ratio)
+        r = r.schema(self.schema) if self.schema is not None else r.option("samplingRatio", 1.0)
         return r.json(path)
 
     def read(self, spark, path):

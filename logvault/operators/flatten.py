@@ -3,8 +3,8 @@
 Every step is a native projection over one row (no shuffle, no Python): a
 frontier ``array<struct<p, v>>`` starts at the root and is expanded one
 container level per step, objects to ``p.k`` and arrays to ``p[i]``; scalars
-stay. JSON null, ``{}`` and ``[]`` yield no leaf. After ``depth`` steps a
-remaining container raises, so results are never silently truncated.
+stay. JSON null, ``{}`` and ``[]`` yield no leaf. Documents may be nested to any
+depth; with ``depth=`` a deeper one raises, so nothing is silently truncated.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logvault.functions.variant import bucket_of_type, is_array, is_object
 
-DEFAULT_DEPTH = 16
+DEFAULT_DEPTH = None  # as many levels as the document has
 BUCKETS = ("string", "int", "float", "bool")
 BUCKET_TYPES = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean"}
 
@@ -52,22 +52,28 @@ def _step(s: Column) -> Column:
     return F.when(F.size(s["todo"]) == 0, s).otherwise(expanded)
 
 
-def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int = DEFAULT_DEPTH) -> DataFrame:
+def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int | None = DEFAULT_DEPTH) -> DataFrame:
     """Add ``out: array<struct<p string, t string, v variant>>`` of scalar leaves.
 
     State per row: finished scalar leaves and pending containers. The levels
-    are one ``aggregate`` over ``1..depth`` whose accumulator is that state,
-    so the plan has one copy of the level logic whatever the depth, scalars
-    are examined once, and a finished row costs nothing per further level.
-    A container still pending after ``depth`` levels raises (no truncation;
-    ``leaf_paths(depth=None)`` handles any depth). JSON nulls are dropped.
+    are one ``aggregate`` whose accumulator is that state, so the plan has one
+    copy of the level logic whatever the depth, scalars are examined once, and a
+    finished row costs nothing per further level. Without ``depth`` a document
+    gets as many levels as it has opening brackets, which no nesting exceeds;
+    with it, a container still pending after ``depth`` levels raises (no
+    truncation). JSON nulls are dropped.
     """
     vcol = F.col(v) if isinstance(v, str) else v
     root = F.array(F.struct(F.lit("").alias("p"), vcol.alias("v"), (is_object(vcol) | is_array(vcol)).alias("c")))
     start = _let(root, lambda r: F.struct(F.filter(r, lambda x: ~x["c"]).alias("done"),
                                           F.filter(r, lambda x: x["c"]).alias("todo")))
-    state = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, lambda s, _level: _step(s))
-    msg = F.lit(f"document nested deeper than {depth} levels; raise depth= or use depth=None")
+    if depth is None:
+        text = F.to_json(vcol)
+        levels = F.greatest(F.lit(1), F.length(text) - F.length(F.translate(text, "{[", "")))
+    else:
+        levels = F.lit(depth)
+    state = F.aggregate(F.sequence(F.lit(1), levels), start, lambda s, _level: _step(s))
+    msg = F.lit(f"document nested deeper than {depth} levels")
 
     def finish(s):
         with_type = F.transform(s["done"], lambda x: F.struct(
@@ -100,7 +106,7 @@ def pairwise_columns(leaves: Column) -> list[Column]:
 
 
 def flatten_pairwise(df: DataFrame, v: str = "j", keep: list[str] | None = None,
-                     depth: int = DEFAULT_DEPTH) -> DataFrame:
+                     depth: int | None = DEFAULT_DEPTH) -> DataFrame:
     """Variant column -> pairwise layout (plus ``keep`` passthrough columns)."""
     keep = keep or []
     return with_leaves(df, v, "_leaves", depth).select(*keep, *pairwise_columns(F.col("_leaves")))
@@ -110,12 +116,9 @@ def leaf_paths(df: DataFrame, v: str = "j", keep: list[str] | None = None,
                depth: int | None = DEFAULT_DEPTH) -> DataFrame:
     """Long form ``(keep..., path, type, value)``; ``value`` is the leaf as text.
 
-    ``depth=None`` uses the recursive form (any depth); a number uses the
-    in-row walk, which raises on deeper documents instead of truncating.
+    A ``depth`` raises on deeper documents instead of truncating.
     """
     keep = keep or []
-    if depth is None:
-        return leaf_paths_recursive(df, v, keep)
     return (with_leaves(df, v, "_leaves", depth)
             .select(*keep, F.explode("_leaves").alias("_l"))
             .select(*keep, F.col("_l.p").alias("path"), F.col("_l.t").alias("type"),
@@ -131,12 +134,9 @@ def path_catalog(df: DataFrame, v: str = "j", depth: int | None = DEFAULT_DEPTH)
     The row total is a scalar subquery over the input with no columns read
     (Parquet answers it from row-group metadata).
     """
-    if depth is None:
-        pairs = leaf_paths_recursive(df.select(v), v).select("path", "type")
-    else:
-        leaves = with_leaves(df.select(v), v, "_leaves", depth)
-        pairs = leaves.select(F.explode(F.transform(
-            "_leaves", lambda x: F.struct(x["p"].alias("path"), x["t"].alias("type")))).alias("l")).select("l.*")
+    leaves = with_leaves(df.select(v), v, "_leaves", depth)
+    pairs = leaves.select(F.explode(F.transform(
+        "_leaves", lambda x: F.struct(x["p"].alias("path"), x["t"].alias("type")))).alias("l")).select("l.*")
     total = df.select(F.count(F.lit(1))).scalar()
     return (pairs.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
             .withColumn("is_static", F.col("n_rows") == total))

@@ -74,7 +74,7 @@ def q_read_many(spark, sf_dir):
     base = scratch_path(spark, "many")
     lines = event_log_lines(spark, sf_dir)
     # the folder a line lands in is only used as its provenance label
-    lines.withColumn("event_type", F.lower(F.get_json_object("line", "$.c"))).repartition(4) \
+    lines.withColumn("event_type", F.lower(F.get_json_object("line", "$.c")))\
         .write.partitionBy("event_type").text(base)
     got = read_lines(spark, f"{base}/*/*.txt", provenance=True)
     return (got.groupBy(F.element_at(F.split("source_file", "/"), -2).alias("source_dir"))

@@ -91,8 +91,7 @@ def registry() -> tuple[dict, dict]:
         q[f"count_hits_variant_{variation}"] = partial(variation_count_query, variation=variation)
         sql[f"count_hits_variant_{variation}"] = oracle.search_counts(
             {s: o for s, _, _, o in FORMS_OF_LAYOUT["variant"]})
-    # the pure-Catalyst pairwise engine stays under the same check
-    q["count_hits_pairwise_native"] = partial(count_query, layout_name="pairwise", engine="native")
+    q["count_hits_pairwise_native"] = partial(count_query, layout_name="pairwise")
     sql["count_hits_pairwise_native"] = sql["count_hits_pairwise"]
     from logvault.plans import catalog_queries
     q.update(catalog_queries.QUERIES)

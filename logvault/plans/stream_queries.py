@@ -26,7 +26,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str, layout_name: str):
     """Log files arrive in a folder, a stream archives them, searches count."""
     configure(spark)
     src = scratch_path(spark, "stream-src")
-    write_raw(event_log_lines(spark, sf_dir).repartition(4), src, "none")
+    write_raw(event_log_lines(spark, sf_dir), src, "none")
     dst, ckpt = scratch_path(spark, f"stream-{layout_name}"), scratch_path(spark, "stream-ckpt")
     run_to_completion(ingest_stream(spark, src, dst, layout_name, ckpt, max_files_per_trigger=1))
     lay = get_layout(layout_name)
@@ -44,7 +44,7 @@ def q_stream_sample_total(spark: SparkSession, sf_dir: str):
     windows the watermark has closed are appended to a Parquet sink."""
     configure(spark)
     src = scratch_path(spark, "samples-src")
-    ps_samples(spark, sf_dir).repartition(4).write.parquet(src)
+    ps_samples(spark, sf_dir).write.parquet(src)
     dst, ckpt = scratch_path(spark, "samples-grid"), scratch_path(spark, "samples-ckpt")
     # The sample files each span the whole period, so they are taken in one
     # micro-batch: with several, rows older than the advanced watermark would

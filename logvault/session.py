@@ -104,6 +104,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        sc = _context(spark)
+        if sc is None or not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="logvault-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = _context(spark)

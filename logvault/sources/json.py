@@ -8,10 +8,10 @@ from logvault.layouts import InferredLayout, StaticDynamicLayout, VariantLayout
 from logvault.sources.lines import parse_lines, read_lines
 
 
-def read_json_inferred(spark: SparkSession, path, sampling_ratio: float = 1.0) -> DataFrame:
+def read_json_inferred(spark: SparkSession, path) -> DataFrame:
     """Struct schema inferred over the whole input, case-sensitive names.
     Conflicting types become STRING holding the JSON text."""
-    return InferredLayout(sampling_ratio=sampling_ratio).from_files(spark, path)
+    return InferredLayout().from_files(spark, path)
 
 
 def read_json_declared(spark: SparkSession, path, static=None, dynamic: str = "attr",

@@ -44,8 +44,9 @@ def ingest_stream(spark: SparkSession, src: str, dst: str, layout: Layout | str,
     return w.start()
 
 
-def run_to_completion(q: StreamingQuery, timeout_s: int = 600) -> None:
-    """Wait for an availableNow stream; raise its error if it failed."""
+def run_to_completion(q: StreamingQuery, timeout_s: int | None = None) -> None:
+    """Wait for an availableNow stream, as long as it takes unless ``timeout_s``
+    is given; raise its error if it failed."""
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()

@@ -1,5 +1,5 @@
-"""N03-N05 against a brute-force Python walk (the reference rule), plus the
-documented example and edge cases."""
+"""Documents with their expected leaves written out, the documented
+example, edge cases and agreement of the two forms on generated documents."""
 
 import json
 
@@ -8,25 +8,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logvault.functions.paths import path_text
 from logvault.layouts import get_layout
-from logvault.operators.flatten import leaf_paths, path_catalog
-
-
-BUCKET = {str: "string", bool: "bool", int: "int", float: "float"}
-
-
-def leaves_of(node, prefix=()):
-    """Independent statement of the rule: every scalar leaf with its key/index trail."""
-    if type(node) is dict:
-        return [x for k, v in node.items() for x in leaves_of(v, prefix + (k,))]
-    if type(node) is list:
-        return [x for i, v in enumerate(node) for x in leaves_of(v, prefix + (i,))]
-    return [(prefix, node)] if type(node) in BUCKET else []
-
-
-def walk(doc):
-    return [(path_text(p), BUCKET[type(v)]) for p, v in leaves_of(doc)]
+from logvault.operators.flatten import leaf_paths, leaf_paths_recursive, path_catalog
 
 
 def spark_leaves(spark, docs, depth=8):
@@ -49,11 +32,15 @@ def test_documented_example(spark, lines_df):
 
 
 def test_edge_leaves(spark):
-    docs = [{"a": None}, {"a": {}}, {"a": []}, {"b": True, "c": 1, "d": 1.0, "e": 1e3, "f": "x"},
-            {"g": [[1, {"h": [False]}]], "k y": {"$z": 2}}]
-    got = spark_leaves(spark, docs)
-    for i, d in enumerate(docs):
-        assert sorted(got[i]) == sorted(walk(d)), d
+    cases = [({"a": None}, []), ({"a": {}}, []), ({"a": []}, []),
+             ({"b": True, "c": 1, "d": 1.0, "e": 1e3, "f": "x"},
+              [("b", "bool"), ("c", "int"), ("d", "float"), ("e", "float"), ("f", "string")]),
+             ({"g": [[1, {"h": [False]}]], "k y": {"$z": 2}}, [("g[0][0]", "int"), ("g[0][1].h[0]", "bool"), ("k y.$z", "int")]),
+             ({"a": [{"b": "{[{["}, None, "t"]}, [("a[0].b", "string"), ("a[2]", "string")])]
+    for depth in (8, None):
+        got = spark_leaves(spark, [d for d, _ in cases], depth)
+        for i, (d, want) in enumerate(cases):
+            assert sorted(got[i]) == want, d
 
 
 def test_int_beyond_64_bits_raises(spark):
@@ -80,17 +67,22 @@ json_docs = st.recursive(json_scalars, lambda ch: st.one_of(
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.dictionaries(st.text("xyz", min_size=1, max_size=2), json_docs, max_size=4),
                 min_size=1, max_size=6))
-def test_flatten_matches_brute_force(spark, docs):
-    for depth in (8, None):
-        got = spark_leaves(spark, docs, depth)
-        for i, d in enumerate(docs):
-            assert sorted(got[i]) == sorted(walk(d)), depth
+def test_forms_agree(spark, docs):
+    """The in-row walk, the recursive query and the pairwise layout find the same leaves."""
+    lines = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, line string")
+    rows = {r["i"]: r for r in get_layout("pairwise").build(lines).collect()}
+    query = leaf_paths_recursive(lines.select("i", F.parse_json("line").alias("j")), "j", ["i"]).collect()
+    got = spark_leaves(spark, docs, None)
+    for i in range(len(docs)):
+        assert sorted(got[i]) == sorted((r["path"], r["type"]) for r in query if r["i"] == i)
+        assert sorted(got[i]) == sorted((p, b) for b in ("string", "int", "float", "bool") for p in rows[i][f"{b}_columns"])
 
 
-def test_recursive_form_has_no_depth_bound(spark):
-    deep = {"a": [[[[[[[[[[{"b": [True, None, "x"]}]]]]]]]]]]}
-    got = spark_leaves(spark, [deep], None)[0]
-    assert sorted(got) == sorted(walk(deep)) and len(got) == 2
+def test_no_depth_bound(spark, lines_df):
+    deep = "[" * 64 + '{"b": [true, null, "x"]}' + "]" * 64
+    line = '{"a": ' + deep + "}"
+    row = get_layout("pairwise").build(lines_df([line])).collect()[0]
+    assert row["bool_columns"] == ["a" + "[0]" * 64 + ".b[0]"] and row["string_columns"] == ["a" + "[0]" * 64 + ".b[2]"]
 
 
 def test_path_catalog_static_flag(spark):
@@ -101,19 +93,7 @@ def test_path_catalog_static_flag(spark):
     assert cat == {("a", "int"): (3, True), ("b", "string"): (1, False), ("b", "int"): (1, False)}
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.dictionaries(st.text("xyz", min_size=1, max_size=2), json_docs, max_size=4),
-                min_size=1, max_size=6))
-def test_pairwise_engines_agree_with_brute_force(spark, docs):
-    lines = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, line string")
-    for engine in ("arrow", "native"):
-        rows = {r["i"]: r for r in get_layout("pairwise", engine=engine).build(lines).collect()}
-        for i, d in enumerate(docs):
-            got = sorted((p, b) for b in ("string", "int", "float", "bool") for p in rows[i][f"{b}_columns"])
-            assert got == sorted(walk(d)), engine
-
-
-def test_arrow_engine_rejects_non_json_constants(spark):
+def test_non_json_constants_are_malformed(spark):
     lines = spark.createDataFrame([('{"a": NaN}',)], "line string")
     with pytest.raises(Exception):
         get_layout("pairwise").build(lines).collect()

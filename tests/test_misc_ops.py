@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from logvault.functions.sql import register_sql_functions
 from logvault.layouts import get_layout
 from logvault.operators.project import cast_number, from_pairwise, json_extract, json_extract_scalar
-from logvault.plans.results import iter_pages
 from logvault.sinks.writers import write_layout, write_report
 from logvault.sources.catalog import catalog_frame, lookup_catalog
 
@@ -38,12 +37,6 @@ def test_catalog_lookup(spark):
     assert out == {"mongod": "t.$date", "other": None}
 
 
-def test_pages(spark):
-    pages = list(iter_pages(spark.range(25).repartition(3), 10))
-    assert [len(p) for p in pages] == [10, 10, 5]
-    assert sorted(r[0] for p in pages for r in p) == list(range(25))
-
-
 def test_size_bounds_and_report_sheets(spark, tmp_path, lines_df):
     lines = lines_df([f'{{"i": {i}}}' for i in range(10)])
     p = str(tmp_path / "bounded")
