@@ -67,7 +67,8 @@ class Itq:
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.mean = x.mean(0)
         bits = min(bits, x.shape[1])
-        _, _, axes = np.linalg.svd(x - self.mean, full_matrices=True)
+        _, axes = np.linalg.eigh((x - self.mean).T @ (x - self.mean))
+        axes = axes.T[::-1]  # principal directions, the largest first
         v = (x - self.mean) @ axes[:bits].T
         rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
         for _ in range(rounds):
