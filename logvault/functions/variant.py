@@ -62,6 +62,8 @@ def py_str(v: Column) -> Column:
         F.when(v.isNull(), F.lit(None).cast("string"))
         .when(t == "VOID", F.lit("None"))
         .when(t == "BOOLEAN", F.when(v.try_cast("boolean"), F.lit("True")).otherwise(F.lit("False")))
+        # an integer beyond 64 bits arrives as DECIMAL(p>=19,0) and keeps its digits
+        .when(t.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), v.try_cast("string"))
         .when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"), v.try_cast("double").cast("string"))
         .otherwise(v.try_cast("string"))
     )

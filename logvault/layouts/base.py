@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from logvault.functions import variant as V
 
-EXACT = "decimal(38,6)"
+#: Holds every 64-bit integer, and fractions far below what tells them apart.
+EXACT = "decimal(38,18)"
 
 
 class Resolver:
@@ -41,13 +42,13 @@ class Resolver:
         return self.number(path), F.lit(float(value))
 
     def exact_number(self, path) -> Column:
-        """The value as DECIMAL(38,6): exact for every 64-bit integer."""
+        """The value as a wide DECIMAL: exact for every 64-bit integer."""
         return self.text(path).try_cast(EXACT)
 
     def equality_operands(self, path, value) -> tuple[Column, Column]:
-        """Operands for numeric (in)equality: integer literals compare exactly
-        (a double cannot tell integers beyond 2^53 apart)."""
-        if isinstance(value, int) and not isinstance(value, bool):
+        """Operands for numeric (in)equality. A double tells an integer below
+        2^53 from every other number; larger 64-bit literals compare exactly."""
+        if isinstance(value, int) and 1 << 53 <= abs(value) < 1 << 63:
             return self.exact_number(path), F.lit(value).cast(EXACT)
         return self.numeric_operands(path, value)
 
@@ -71,15 +72,19 @@ class VariantResolver(Resolver):
     def text(self, path):
         return V.vget(self.v, path, "string")
 
+    def _unless_bool(self, path, value: Column) -> Column:
+        """A variant cast turns booleans into 1 and 0; they are no numbers here."""
+        return F.when(~self.text(path).isin("true", "false"), value)
+
     def number(self, path):
-        return V.vget(self.v, path, "double")
+        return self._unless_bool(path, V.vget(self.v, path, "double"))
 
     def integer(self, path):
-        exact = V.vget(self.v, path, EXACT)  # a bigint cast would truncate 1.5
-        return F.when(exact == F.floor(exact), V.vget(self.v, path, "bigint"))
+        exact = self.exact_number(path)  # a bigint cast would truncate 1.5
+        return F.when(exact == exact.try_cast("bigint"), V.vget(self.v, path, "bigint"))
 
     def exact_number(self, path):
-        return V.vget(self.v, path, EXACT)
+        return self._unless_bool(path, V.vget(self.v, path, EXACT))
 
     def bucket_has(self, path, bucket):
         return F.coalesce(V.bucket(self.node(path)) == bucket, F.lit(False))

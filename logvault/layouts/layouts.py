@@ -157,11 +157,13 @@ class StructResolver(Resolver):
             return F.lit(None).cast("double")
         if isinstance(t, T.NumericType):
             return c.cast("double")
+        if not isinstance(t, T.StringType):
+            return F.lit(None).cast("double")
         return c.try_cast("double")
 
     def integer(self, path):
         c, t = self._resolve(path)
-        if c is None:
+        if c is None or not isinstance(t, (T.NumericType, T.StringType)):
             return F.lit(None).cast("bigint")
         if isinstance(t, T.IntegralType):
             return c.cast("bigint")
@@ -177,7 +179,7 @@ class StructResolver(Resolver):
 
     def exact_number(self, path):
         c, t = self._resolve(path)
-        if c is None:
+        if c is None or not isinstance(t, (T.NumericType, T.StringType)):
             return F.lit(None).cast(EXACT)
         return c.try_cast(EXACT)
 
@@ -247,81 +249,94 @@ def _col_name(path) -> str:
     return path_text(path).replace(".", "_").replace("$", "").replace("@", "")
 
 
+#: VARIANT object of the top-level fields that have no column of their own.
+REST = "rest_fields"
+
+
+def _in_column(path, typ: str) -> bool:
+    """A static field that its typed column holds whole: searches read that
+    column. Timestamps keep their source text, and parents of nested fields
+    their other members, in ``REST``."""
+    return typ != "timestamp" and len(parse_path(path)) == 1
+
+
 class StaticDynamicResolver(Resolver):
-    def __init__(self, static: tuple, dynamic: str):
+    """Typed columns for static paths, else the dynamic column or ``REST``."""
+
+    def __init__(self, static: tuple, dynamic: str, has_rest: bool = True):
         self.static = {path_text(p): (p, t) for p, t in static}
         self.dynamic = dynamic
+        self.rest = VariantResolver(F.col(REST)) if has_rest else AbsentResolver()
 
     def _route(self, path):
+        """(typed column, its type) or (resolver, path in it)."""
         p = path_text(path)
-        if p in self.static:
-            return "static", F.col(_col_name(p)), self.static[p][1]
+        if p in self.static and self.static[p][1] != "timestamp":
+            return F.col(_col_name(p)), self.static[p][1]
         segs = parse_path(path)
         if segs and segs[0] == self.dynamic:
-            return "dynamic", VariantResolver(F.col(self.dynamic)), segs[1:]
-        return "absent", AbsentResolver(), None
+            return VariantResolver(F.col(self.dynamic)), segs[1:]
+        return self.rest, path
 
     def exists(self, path):
-        kind, c, extra = self._route(path)
-        if kind == "static":
-            return c.isNotNull()
-        return c.exists(extra) if kind == "dynamic" else F.lit(False)
+        c, extra = self._route(path)
+        return c.exists(extra) if isinstance(c, Resolver) else c.isNotNull()
 
     def text(self, path):
-        kind, c, extra = self._route(path)
-        if kind == "static":
-            return c.cast("string")
-        return c.text(extra) if kind == "dynamic" else F.lit(None).cast("string")
+        c, extra = self._route(path)
+        return c.text(extra) if isinstance(c, Resolver) else c.cast("string")
 
     def number(self, path):
-        kind, c, extra = self._route(path)
-        if kind == "static":
-            return c.try_cast("double")
-        return c.number(extra) if kind == "dynamic" else F.lit(None).cast("double")
+        c, extra = self._route(path)
+        if isinstance(c, Resolver):
+            return c.number(extra)
+        return F.lit(None).cast("double") if extra == "boolean" else c.try_cast("double")
 
     def integer(self, path):
-        kind, c, extra = self._route(path)
-        if kind == "static":
-            return c.try_cast("bigint")
-        return c.integer(extra) if kind == "dynamic" else F.lit(None).cast("bigint")
+        c, extra = self._route(path)
+        if isinstance(c, Resolver):
+            return c.integer(extra)
+        exact = self.exact_number(path)
+        return F.when(exact == exact.try_cast("bigint"), exact.try_cast("bigint"))
 
     def numeric_operands(self, path, value):
-        kind, c, extra = self._route(path)
-        if kind == "static" and extra in ("bigint", "int") and float(value).is_integer():
-            return c, F.lit(int(value))
-        if kind == "dynamic":
+        c, extra = self._route(path)
+        if isinstance(c, Resolver):
             return c.numeric_operands(extra, value)
+        if extra in ("bigint", "int") and float(value).is_integer():
+            return c, F.lit(int(value))
         return self.number(path), F.lit(float(value))
 
     def exact_number(self, path):
-        kind, c, extra = self._route(path)
-        if kind == "static":
-            return c.try_cast(EXACT)
-        return c.exact_number(extra) if kind == "dynamic" else F.lit(None).cast(EXACT)
+        c, extra = self._route(path)
+        if isinstance(c, Resolver):
+            return c.exact_number(extra)
+        return F.lit(None).cast(EXACT) if extra == "boolean" else c.try_cast(EXACT)
 
     def equality_operands(self, path, value):
-        kind, c, extra = self._route(path)
-        if kind == "static" and extra in ("bigint", "int") and isinstance(value, int):
-            return c, F.lit(value)
-        if kind == "dynamic":
+        c, extra = self._route(path)
+        if isinstance(c, Resolver):
             return c.equality_operands(extra, value)
+        if extra in ("bigint", "int") and isinstance(value, int):
+            return c, F.lit(value)
         return super().equality_operands(path, value)
 
     def bucket_has(self, path, bucket):
-        kind, c, extra = self._route(path)
-        if kind == "static":
-            t = {"string": "string", "bigint": "int", "double": "float",
-                 "boolean": "bool"}.get(self.static[path_text(path)][1])
-            return c.isNotNull() & F.lit(t == bucket)
-        return c.bucket_has(extra, bucket) if kind == "dynamic" else F.lit(False)
+        c, extra = self._route(path)
+        if isinstance(c, Resolver):
+            return c.bucket_has(extra, bucket)
+        t = {"string": "string", "bigint": "int", "double": "float", "boolean": "bool"}.get(extra)
+        return c.isNotNull() & F.lit(t == bucket)
 
 
 @dataclass
 class StaticDynamicLayout(Layout):
-    """L4: declared typed columns plus one VARIANT for the dynamic rest.
+    """L4: declared typed columns, one VARIANT for the dynamic field and one
+    (``REST``) for every undeclared field, the source text of timestamps and
+    the parents of nested static fields.
 
-    Fields outside the declaration are dropped. Static values that do not
-    convert to the declared type become NULL (the event is kept).
+    Top-level static values that do not convert to the declared type become
+    NULL (the event is kept).
     """
     name: str = "static_dynamic"
     static: tuple = MONGOD_STATIC
@@ -343,15 +358,17 @@ class StaticDynamicLayout(Layout):
                 c = to_event_time(V.vget(v, p, "string"), self.timestamp_formats)
             elif t in ("bigint", "int", "smallint", "tinyint"):
                 # a variant cast to an integer truncates 1.5 to 1; keep only integral values
-                exact = V.vget(v, p, "decimal(38,6)")
-                c = F.when(exact == F.floor(exact), V.vget(v, p, t))
+                exact = V.vget(v, p, EXACT)
+                c = F.when(exact == exact.try_cast("bigint"), V.vget(v, p, t))
             else:
                 c = V.vget(v, p, t)
             cols.append(c.alias(_col_name(p)))
-        return df.select(*keep, *cols, V.vget(v, self.dynamic).alias(self.dynamic))
+        stored = [self.dynamic, *(parse_path(p)[0] for p, t in self.static if _in_column(p, t))]
+        rest = F.to_variant_object(F.map_filter(v.try_cast("map<string,variant>"), lambda k, _: ~k.isin(*stored)))
+        return df.select(*keep, *cols, V.vget(v, self.dynamic).alias(self.dynamic), rest.alias(REST))
 
     def resolver(self, df):
-        return StaticDynamicResolver(self.static, self.dynamic)
+        return StaticDynamicResolver(self.static, self.dynamic, REST in df.columns)
 
 
 # --------------------------------------------------------------------- L5

@@ -51,7 +51,7 @@ def project_event(df: DataFrame, resolver, fields=EVENT_FIELDS) -> DataFrame:
     for p, kind in fields:
         name = path_text(p).replace(".", "_").replace("$", "")
         if kind == "bigint":
-            c = resolver.number(p).cast("bigint")
+            c = resolver.integer(p)
         else:
             c = resolver.text(p)
         cols.append(c.alias(name))

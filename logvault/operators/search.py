@@ -32,17 +32,22 @@ def cross_check(counts: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def layout_diff(left: DataFrame, left_layout: Layout, left_pred: Pred, right: DataFrame,
-                right_layout: Layout, right_pred: Pred, key_path: str) -> DataFrame:
-    """Events found in one layout/search and not in the other
-    -> ``(key, side)`` with side ``left_only`` / ``right_only``.
-
-    ``key_path`` identifies an event in both layouts. Only the key column is
-    shuffled (one left-anti join each way, planned by Spark).
+                right_layout: Layout, right_pred: Pred, key_path: str, key_type: str = "bigint") -> DataFrame:
+    """Events found more often in one layout/search than in the other
+    -> ``(key, side)``, one row a key, side ``left_only`` / ``right_only``.
+
+    ``key_path`` identifies an event in both layouts. Keys meet as text
+    (integers in one spelling) and a missing key is a key too; ``key_type`` is
+    only the type shown, ``"string"`` for text ids. One scan a side and one
+    aggregate: hot or missing keys are combined before the shuffle.
     """
-    lk = search(left, left_layout, left_pred)
-    lk = lk.select(left_layout.resolver(lk).integer(key_path).alias("key"))
-    rk = search(right, right_layout, right_pred)
-    rk = rk.select(right_layout.resolver(rk).integer(key_path).alias("key"))
-    only_l = lk.join(rk, "key", "left_anti").withColumn("side", F.lit("left_only"))
-    only_r = rk.join(lk, "key", "left_anti").withColumn("side", F.lit("right_only"))
-    return only_l.unionByName(only_r)
+    def keys(df, layout, pred, sign):
+        hits = search(df, layout, pred)
+        r = layout.resolver(hits)
+        key = F.coalesce(r.integer(key_path).cast("string"), r.text(key_path))
+        return hits.select(key.alias("key"), F.lit(sign).alias("sign"))
+
+    both = keys(left, left_layout, left_pred, 1).unionByName(keys(right, right_layout, right_pred, -1))
+    more = both.groupBy("key").agg(F.sum("sign").alias("more")).filter("more <> 0")
+    return more.select(F.col("key").try_cast(key_type).alias("key"),
+                       F.when(F.col("more") > 0, F.lit("left_only")).otherwise(F.lit("right_only")).alias("side"))

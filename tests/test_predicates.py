@@ -125,6 +125,45 @@ def test_integer_accessor_is_exact_on_every_layout(spark, lines_df):
         assert {row["k"]: row["n"] for row in rows} == {1: 7, 2: None, 3: 8}, name
 
 
+EDGE_DOCS = [
+    '{"k": 1, "id": 1, "f": 1.0000001, "ok": true, "attr": {"f": 1.0000001, "ok": true, "s": "1.0000004"}, "tags": ["q"]}',
+    '{"k": 2, "id": 2, "f": 1.0, "ok": false, "attr": {"f": 1.0, "ok": false, "s": "1"}, "t": {"$date": "2024-01-01T00:00:00.000+01:00"}}',
+    '{"k": 3, "id": 3, "f": 2, "ok": true, "attr": {"f": 2, "ok": true, "s": "x"}, "extra": {"deep": {"n": 7}}}',
+]
+EDGE_CASES = [
+    (P.Eq("f", 1), [2]),                        # no rounding
+    (P.Eq("attr.f", 1), [2]),
+    (P.Eq("attr.s", 1), [2]),
+    (P.Ne("attr.f", 1), [1, 3]),
+    (P.Eq("attr.ok", 1), []),                   # a boolean is no number
+    (P.Eq("ok", 1), []),
+    (P.Cmp("ok", "ge", 0), []),
+    (P.Eq("ok", True), [1, 3]),
+    (P.Exists("tags"), [1]),                    # undeclared fields are kept
+    (P.not_(P.Exists("tags")), [2, 3]),
+    (P.Eq("extra.deep.n", 7), [3]),
+    (P.Exists("t"), [2]),                       # parent of a static field
+    (P.Eq("t.$date", "2024-01-01T00:00:00.000+01:00"), [2]),
+    (P.Cmp("t.$date", "gt", 5), []),
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS + ["static_dynamic"])
+def test_edge_values_agree_on_every_layout(spark, lines_df, layout):
+    lay = get_layout(layout)
+    df = lay.build(lines_df(EDGE_DOCS))
+    r = lay.resolver(df)
+    flags = [F.coalesce(pred.column(r), F.lit(False)).alias(f"c{i}") for i, (pred, _) in enumerate(EDGE_CASES)]
+    rows = df.select(r.integer("k").alias("k"), *flags).collect()
+    for i, (pred, want) in enumerate(EDGE_CASES):
+        assert sorted(int(row["k"]) for row in rows if row[f"c{i}"]) == want, (layout, pred)
+
+
+def test_static_dynamic_has_buckets_of_undeclared_and_timestamp_fields(spark, lines_df):
+    assert keys(spark, lines_df, "static_dynamic", P.HasBucket("t.$date", "string")) == [1]
+    assert keys(spark, lines_df, "static_dynamic", P.HasBucket("a.n", "float")) == [2]
+
+
 def test_integer_equality_is_exact_beyond_double_precision(spark, lines_df):
     # integers only: inferring a schema over ints and floats stores DOUBLE (L3)
     ints = ['{"k": 1, "big": 9007199254740993}', '{"k": 2, "big": 9007199254740992}']

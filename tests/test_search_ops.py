@@ -37,6 +37,25 @@ def test_layout_diff_explains_absent_semantics(spark):
     assert layout_diff(pw, pl, drop, var, vl, drop, "k").count() == 0
 
 
+def test_layout_diff_of_text_and_missing_keys(spark):
+    docs = [{"n": "a", "m": 1}, {"n": "b", "m": 2}, {"m": 1}, {"m": 3}]
+    lines = spark.createDataFrame([(json.dumps(d),) for d in docs], "line string")
+    pl, vl = get_layout("pairwise"), get_layout("variant")
+    pw, var = pl.build(lines), vl.build(lines)
+    every, small = P.Cmp("m", "gt", 0), P.Cmp("m", "lt", 3)
+    assert layout_diff(pw, pl, every, var, vl, every, "n", "string").count() == 0
+    assert [tuple(r) for r in layout_diff(pw, pl, every, var, vl, small, "n", "string").collect()] == [(None, "left_only")]
+    rows = layout_diff(pw, pl, P.Eq("n", "a"), var, vl, P.Eq("n", "b"), "n", "string").collect()
+    assert sorted(map(tuple, rows)) == [("a", "left_only"), ("b", "right_only")]
+
+
+def test_project_event_keeps_large_ids(spark):
+    lines = spark.createDataFrame([('{"id": 9007199254740993}',)], "line string")
+    lay = get_layout("variant")
+    df = lay.build(lines)
+    assert project_event(df, lay.resolver(df)).first()["id"] == 9007199254740993
+
+
 def test_project_event(spark):
     (lay, df), = frames(spark, "variant")
     hits = search(df, lay, P.Eq("k", 3))
