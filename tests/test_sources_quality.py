@@ -51,7 +51,7 @@ def test_json_sources(spark, tmp_path):
     inf = read_json_inferred(spark, p)
     assert {"Err", "err", "attr", "_corrupt_record"} <= set(inf.columns)
     dec = read_json_declared(spark, p)
-    assert dec.columns == ["t_date", "s", "c", "id", "ctx", "msg", "attr"]
+    assert dec.columns == ["t_date", "s", "c", "id", "ctx", "msg", "attr", "rest_fields"]
     assert dec.filter(F.col("id") == 1).count() == 1
     var, rej = read_json_variant(spark, p)
     assert var.count() == 2 and rej.count() == 1
