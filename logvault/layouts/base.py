@@ -8,12 +8,14 @@ tree searches every layout with the same semantics.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvault.functions import variant as V
+from logvault.functions.paths import path_text
 
 #: Holds every 64-bit integer, and fractions far below what tells them apart.
 EXACT = "decimal(38,18)"
@@ -90,6 +92,67 @@ class VariantResolver(Resolver):
         return F.coalesce(V.bucket(self.node(path)) == bucket, F.lit(False))
 
 
+#: Kinds of declared hot columns: what the resolver says of the path, stored.
+HOT_KINDS = ("text", "number")
+
+
+def hot_name(path, kind: str) -> str:
+    """Column of a hot path: ``hot_number_attr_message_ts_sec``."""
+    return f"hot_{kind}_" + re.sub(r"\W", "_", path_text(path))
+
+
+def hot_columns(resolver: Resolver, hot) -> list[Column]:
+    """Columns of the hot paths ``((path, kind), ...)`` as ``resolver`` reads them."""
+    if any(kind not in HOT_KINDS for _, kind in hot) or len({hot_name(*h) for h in hot}) < len(hot):
+        raise ValueError(f"hot paths need distinct column names and a kind in {HOT_KINDS}")
+    return [getattr(resolver, kind)(p).alias(hot_name(p, kind)) for p, kind in hot]
+
+
+class HotResolver(Resolver):
+    """Reads declared hot paths from top-level columns beside the document.
+
+    A hot column holds exactly what ``base`` computes for its path, so the rows
+    found are the same; being plain Parquet columns, their statistics let scans
+    skip row groups, which fields inside a VARIANT do not.
+    """
+
+    def __init__(self, base: Resolver, hot, columns):
+        self.base = base
+        self.hot = {(path_text(p), k): F.col(hot_name(p, k)) for p, k in hot if hot_name(p, k) in columns}
+
+    def _hot(self, path, kind):
+        return self.hot.get((path_text(path), kind))
+
+    def exists(self, path):
+        return self.base.exists(path)
+
+    def text(self, path):
+        c = self._hot(path, "text")
+        return self.base.text(path) if c is None else c
+
+    def number(self, path):
+        c = self._hot(path, "number")
+        return self.base.number(path) if c is None else c
+
+    def integer(self, path):
+        return self.base.integer(path)
+
+    def exact_number(self, path):
+        return self.base.exact_number(path)
+
+    def numeric_operands(self, path, value):
+        c = self._hot(path, "number")
+        return self.base.numeric_operands(path, value) if c is None else (c, F.lit(float(value)))
+
+    def equality_operands(self, path, value):
+        if self._hot(path, "number") is None:
+            return self.base.equality_operands(path, value)
+        return super().equality_operands(path, value)
+
+    def bucket_has(self, path, bucket):
+        return self.base.bucket_has(path, bucket)
+
+
 class AbsentResolver(Resolver):
     """A path that the layout does not store at all."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from logvault.functions import variant as V
 from logvault.functions.paths import json_path, parse_path, path_text
-from logvault.layouts.base import EXACT, AbsentResolver, Layout, Resolver, VariantResolver
+from logvault.layouts.base import EXACT, AbsentResolver, HotResolver, Layout, Resolver, VariantResolver, hot_columns
 from logvault.operators.flatten import BUCKETS, DEFAULT_DEPTH, pairwise_columns, with_leaves
 
 
@@ -336,12 +336,14 @@ class StaticDynamicLayout(Layout):
     the parents of nested static fields.
 
     Top-level static values that do not convert to the declared type become
-    NULL (the event is kept).
+    NULL (the event is kept). ``hot`` paths of the dynamic part get columns of
+    their own (see ``VariantLayout``).
     """
     name: str = "static_dynamic"
     static: tuple = MONGOD_STATIC
     dynamic: str = MONGOD_DYNAMIC
     timestamp_formats: tuple = ()
+    hot: tuple = ()
 
     def build(self, lines):
         keep = _passthrough(lines)
@@ -365,30 +367,46 @@ class StaticDynamicLayout(Layout):
             cols.append(c.alias(_col_name(p)))
         stored = [self.dynamic, *(parse_path(p)[0] for p, t in self.static if _in_column(p, t))]
         rest = F.to_variant_object(F.map_filter(v.try_cast("map<string,variant>"), lambda k, _: ~k.isin(*stored)))
-        return df.select(*keep, *cols, V.vget(v, self.dynamic).alias(self.dynamic), rest.alias(REST))
+        out = df.select(*keep, *cols, V.vget(v, self.dynamic).alias(self.dynamic), rest.alias(REST))
+        return out.select("*", *hot_columns(StaticDynamicResolver(self.static, self.dynamic), self.hot))
 
     def resolver(self, df):
-        return StaticDynamicResolver(self.static, self.dynamic, REST in df.columns)
+        base = StaticDynamicResolver(self.static, self.dynamic, REST in df.columns)
+        return HotResolver(base, self.hot, df.columns) if self.hot else base
 
 
 # --------------------------------------------------------------------- L5
 @dataclass
 class VariantLayout(Layout):
-    """One VARIANT column ``j`` (shredded into typed Parquet columns)."""
+    """One VARIANT column ``j`` (shredded into typed Parquet columns).
+
+    ``hot`` declares paths that searches need most, as ``(path, "text")`` or
+    ``(path, "number")``: each gets a plain column beside the document, which
+    searches read, sort orders can use (``write_ordered``) and scans skip row
+    groups by. Fields inside a VARIANT carry no statistics for that.
+    """
     name: str = "variant"
     column: str = "j"
+    hot: tuple = ()
 
     def build(self, lines):
         keep = _passthrough(lines)
-        return lines.select(*keep, F.parse_json("line").alias(self.column))
+        return self._with_hot(lines.select(*keep, self._document(F.parse_json("line")).alias(self.column)))
 
     def from_variant(self, df, j: str):
         """Layout from an already parsed VARIANT column ``j`` (no second parse)."""
         keep = [c for c in df.columns if c not in (j, "line")]
-        return df.select(*keep, F.col(j).alias(self.column))
+        return self._with_hot(df.select(*keep, self._document(F.col(j)).alias(self.column)))
+
+    def _document(self, v: Column) -> Column:
+        return v
+
+    def _with_hot(self, df):
+        return df.select("*", *hot_columns(VariantResolver(F.col(self.column)), self.hot))
 
     def resolver(self, df):
-        return VariantResolver(F.col(self.column))
+        base = VariantResolver(F.col(self.column))
+        return HotResolver(base, self.hot, df.columns) if self.hot else base
 
 
 # --------------------------------------------------------------------- L6
@@ -397,15 +415,9 @@ class DocumentLayout(VariantLayout):
     """Normalised documents (N12) in a VARIANT, searched with token predicates."""
     name: str = "document"
 
-    def build(self, lines):
-        from logvault.operators.normalize import normalize
-        df = super().build(lines)
-        return df.withColumn(self.column, normalize(F.col(self.column)))
-
-    def from_variant(self, df, j: str):
+    def _document(self, v):
         from logvault.operators.normalize import normalize
-        out = super().from_variant(df, j)
-        return out.withColumn(self.column, normalize(F.col(self.column)))
+        return normalize(v)
 
 
 LAYOUTS = {

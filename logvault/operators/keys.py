@@ -7,7 +7,9 @@ become safe names.
 
 Values and other keys are untouched, through objects and arrays.
 
-Two native forms:
+Three native forms:
+* ``encode_keys_text`` rewrites the keys of JSON text in one pass over its
+  tokens: documents of any depth, other bytes untouched. Lines use this one.
 * ``encode_keys_variant`` rewrites a VARIANT per row up to ``depth`` levels
   (objects via ``MAP<STRING,VARIANT>``, arrays via ``ARRAY<VARIANT>``); the
   expression grows linearly with depth because each level binds its rewritten
@@ -56,6 +58,36 @@ def encode_name(k: str, mode: str) -> str:
     raise ValueError(f"mode must be one of {MODES}")
 
 
+# A string with the colon that makes it a key, or a run outside strings. The
+# quantifiers are possessive: no backtracking and no recursion on long strings.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[^"]++'
+_INTEGRAL_FLOAT = r"(-?\d+\.0+)(?![\deE])"
+
+
+def _encode_key_token(token: Column, mode: str) -> Column:
+    quoted = F.regexp_replace(token, r"\s*:$", "")
+    name = F.when(quoted.contains("\\"), F.get_json_object(F.concat(F.lit("["), quoted, F.lit("]")), "$[0]")).otherwise(
+        F.substr(quoted, F.lit(2), F.length(quoted) - 2))
+    coded = F.concat(F.lit('"'), encode_name_column(name, mode), F.lit('":'))
+    return coded if mode == "hex" else F.when(name.contains(" ") | name.contains("-"), coded).otherwise(token)
+
+
+def encode_keys_text(line: Column, mode: str = "b64") -> Column:
+    """Valid JSON text with encoded keys (VARIANT), at any depth.
+
+    Keys that become equal follow the duplicate-key rule of the session (the
+    last one wins). ``6.0`` stays a float: an exponent keeps the parser from
+    reading it as a DECIMAL that prints as ``6``.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    tokens = F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0))
+    coded = F.transform(tokens, lambda t: F.when(t.startswith('"'), F.when(t.endswith(":"), _encode_key_token(t, mode))
+                                                 .otherwise(t))
+                        .otherwise(F.regexp_replace(t, _INTEGRAL_FLOAT, "$1E0")))
+    return F.parse_json(F.array_join(coded, ""))
+
+
 def _float_leaf(x: Column) -> Column:
     """A float written with an integral value (``6.0``) parses to DECIMAL(p,0)
     and would print as ``6``; store it as DOUBLE so JSON text keeps ``6.0``.

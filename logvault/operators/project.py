@@ -84,23 +84,28 @@ def cast_number(text: Column, typ: str = "bigint") -> Column:
     return text.try_cast(typ)
 
 
+def _json_path_column(path: Column) -> Column:
+    """JSON path of a dotted path text held in a column (see ``json_path``)."""
+    steps = F.transform(F.split(path, r"\."), lambda p: F.concat(
+        F.lit("['"), F.regexp_replace(F.regexp_replace(p, r"(\[\d+\])+$", ""), "'", r"\\\\'"), F.lit("']"),
+        F.regexp_extract(p, r"((?:\[\d+\])*)$", 1)))
+    return F.concat(F.lit("$"), F.array_join(steps, ""))
+
+
 def event_time_by_dataset(df: DataFrame, catalog: DataFrame, v: str = "j", dataset_col: str = "dataset",
-                          out: str = "event_time", formats: tuple | list = (), max_datasets: int = 1000) -> DataFrame:
+                          out: str = "event_time", formats: tuple | list = ()) -> DataFrame:
     """N15 + J04 for mixed datasets: each row's time key comes from its
     dataset's catalogue row (``t.$date``, ``timestamp``, ``@timestamp`` ...).
 
-    Paths must be literals for ``variant_get``, so the (size-checked)
-    catalogue is turned into one CASE over its distinct keys; rows of unknown
-    datasets or without the key get NULL and are kept.
+    An equi-join brings the path to the row, so any number of datasets works;
+    of several keys of one dataset the largest counts. Rows of unknown datasets
+    or without the key get NULL and are kept.
     """
-    keys = (catalog.select("dataset", "timestamp_key").where(F.col("timestamp_key").isNotNull())
-            .distinct().limit(max_datasets + 1).collect())
-    if len(keys) > max_datasets:
-        raise ValueError(f"more than {max_datasets} datasets in the catalogue")
-    text = F.lit(None).cast("string")
-    for ds, key in sorted(keys):
-        text = F.when(F.col(dataset_col) == ds, V.vget(F.col(v), key, "string")).otherwise(text)
-    return df.withColumn(out, to_event_time(text, formats))
+    keys = (catalog.where(F.col("timestamp_key").isNotNull()).groupBy(F.col("dataset").alias(dataset_col))
+            .agg(_json_path_column(F.max("timestamp_key")).alias("_time_path")))
+    text = F.try_variant_get(F.col(v), F.col("_time_path"), "string")
+    joined = df.join(keys, dataset_col, "left").withColumn(out, to_event_time(text, formats))
+    return joined.select(*df.columns, out) if out not in df.columns else joined.select(*df.columns)
 
 
 def epoch_to_text(seconds: Column) -> Column:

@@ -3,7 +3,7 @@
 Result documents have the shape ``{dataset: {config_json: {"ingest": {...},
 "query_cold": [{...}, ...], "query_hot": [...]}}}`` (one per tool run or
 file). Everything stays in long form until the final pivot, whose column set
-(one per methodology) is bounded and checked first.
+has one column per methodology.
 """
 
 from __future__ import annotations
@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 
 RESULT_SCHEMA = ("map<string, map<string, struct<ingest: map<string,string>, "
                  "query_cold: array<map<string,string>>, query_hot: array<map<string,string>>>>>")
-# Ingest metrics reported in MB (bytes / 1048576) and the
-# report's label for a zero compressed size.
+# Ingest metrics reported in MB (bytes / 1048576).
 MB_METRICS = {"memory_average_B": "memory_average_MB", "compressed_size_B": "compressed_size_MB",
               "decompressed_size_B": "decompressed_size_MB"}
 MIB = 1024 * 1024
-ZERO_SIZE_LABEL = "compression failed: compressed size is 0"
-MAX_METHODOLOGIES = 1000
 
 
 def read_results(docs: DataFrame, doc_col: str = "doc", tool_col: str = "tool") -> DataFrame:
@@ -72,9 +69,10 @@ def query_metric_label(query_ind: Column, phase: Column) -> Column:
 
 
 def unit_columns(metric: Column, value: Column) -> tuple[Column, Column]:
-    """A10: bytes -> MB for the three named ingest metrics; others unchanged."""
+    """A10: bytes -> MB for the three named ingest metrics (-1, "no sample", has
+    no MB value: NULL); others unchanged."""
     name = F.coalesce(*[F.when(metric == k, F.lit(v)) for k, v in MB_METRICS.items()], metric)
-    val = F.when(metric.isin(*MB_METRICS), value / F.lit(float(MIB))).otherwise(value)
+    val = F.when(metric.isin(*MB_METRICS), F.nullif(value, F.lit(-1.0)) / F.lit(float(MIB))).otherwise(value)
     return name, val
 
 
@@ -133,13 +131,9 @@ def report(long: DataFrame, methodologies: list[str] | None = None) -> DataFrame
     """One row per (sheet, metric), one column per methodology.
 
     A cell recorded more than once keeps the latest value (by start time).
-    The methodology list is read with a bounded query when not given.
+    Without a methodology list Spark's pivot finds the columns; the long form
+    serves readers that want no wide one.
     """
-    if methodologies is None:
-        vals = long.select("methodology").distinct().limit(MAX_METHODOLOGIES + 1).collect()
-        if len(vals) > MAX_METHODOLOGIES:
-            raise ValueError(f"more than {MAX_METHODOLOGIES} methodologies; keep the report long")
-        methodologies = sorted(v[0] for v in vals)
     cell = F.max_by(F.col("value"), F.struct(F.col("start_time"), F.col("value")))
     return (long.groupBy("sheet", "metric").pivot("methodology", methodologies).agg(cell)
             .orderBy("sheet", "metric"))

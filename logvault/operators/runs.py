@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvault.sources.catalog import checked_broadcast
 
 KB = 1024
 # The six golden hit counts of the reference's standard searches.
@@ -31,10 +30,12 @@ def parse_ps(df: DataFrame, col: str = "ps_line") -> DataFrame:
 def related_samples(samples: DataFrame, related: DataFrame, tool: str | None = None) -> DataFrame:
     """Keep a sample if some configured process name starts with its
     command; a sample counts once however many names match (left semi join).
-    The configuration side is size-checked before it is broadcast."""
+    The prefixes of every configured name, the empty one included, make it a
+    hash semi join: no sample meets every name, whatever the two sides' sizes."""
     rp = related if tool is None else related.filter(F.col("tool") == tool)
-    rp = checked_broadcast(rp.select(F.col("name").alias("_rp_name")))
-    return samples.join(rp, F.col("_rp_name").startswith(F.col("command")), "left_semi")
+    prefixes = rp.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("name")),
+                                               lambda n: F.substr("name", F.lit(1), n))).alias("command")).distinct()
+    return samples.join(prefixes, "command", "left_semi").select(*samples.columns)
 
 
 def sample_grid(ts: Column, interval: str) -> Column:
@@ -72,8 +73,7 @@ def run_latency(runs: DataFrame) -> DataFrame:
 
 def golden_check(results: DataFrame, golden: DataFrame) -> DataFrame:
     """Result per query index vs the expected count (bounded table)."""
-    g = checked_broadcast(golden)
-    return (results.join(g, "query_ind", "left")
+    return (results.join(golden, "query_ind", "left")
             .withColumn("ok", F.coalesce(F.col("result") == F.col("expected"), F.lit(False))))
 
 

@@ -1,9 +1,8 @@
-"""Layout choice from a path catalogue.
+"""Facts for choosing a layout, from a path catalogue.
 
-An inferred struct schema grows with every distinct path: past a few
-thousand paths its metadata, planning and wide scans cost more than reading
-the requested fields out of a shredded VARIANT. The catalogue is aggregated
-already, so its size check is one bounded count.
+An inferred struct schema grows with every distinct path, and keeps a path seen
+with several types only as JSON text; a shredded VARIANT does neither. The
+counts are reported; where to draw the line is the user's choice.
 """
 
 from __future__ import annotations
@@ -11,20 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STRUCT_PATHS = 2000
-MAX_CONFLICTS = 50
 
-
-def recommend_layout(catalog: DataFrame, max_struct_paths: int = MAX_STRUCT_PATHS,
-                     max_conflicts: int = MAX_CONFLICTS) -> str:
-    """``inferred`` for narrow, mostly single-typed data; ``variant`` otherwise.
-
-    Conflicts are paths seen with more than one type (the struct form keeps
-    them as JSON text and loses their typing)."""
-    paths = catalog.select("path").distinct()
-    n_paths = paths.limit(max_struct_paths + 1).count()
-    if n_paths > max_struct_paths:
-        return "variant"
-    conflicts = (catalog.groupBy("path").agg(F.countDistinct("type").alias("n"))
-                 .filter(F.col("n") > 1).limit(max_conflicts + 1).count())
-    return "variant" if conflicts > max_conflicts else "inferred"
+def layout_facts(catalog: DataFrame) -> DataFrame:
+    """One row: ``n_paths`` distinct paths, ``n_conflicts`` of them with more than one type."""
+    types = catalog.groupBy("path").agg(F.countDistinct("type").alias("n"))
+    return types.agg(F.count(F.lit(1)).alias("n_paths"), F.count_if(F.col("n") > 1).alias("n_conflicts"))

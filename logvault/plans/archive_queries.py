@@ -12,13 +12,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from logvault.layouts import LAYOUTS, get_layout
+from logvault.layouts.base import hot_name
 from logvault.operators.quality import (
     archive_size, compression_ratio, line_count_check, roundtrip_report,
 )
 from logvault.operators.search import count_hits_many, search
 from logvault.plans import oracle
 from logvault.plans.queries import EVENT_ID, FORMS_OF_LAYOUT
-from logvault.plans.standard import FIXTURE, searches
+from logvault.plans.standard import FIXTURE, TS_SEC, searches
 from logvault.session import configure, scratch_path
 from logvault.sinks.writers import ingest, restore, write_ordered, write_raw
 from logvault.sources.archive import read_archive
@@ -98,6 +99,19 @@ def q_ordered_variant(spark, sf_dir):
                        rr.text("ctx").alias("ctx"))
 
 
+def q_ordered_hot(spark, sf_dir, layout_name: str, form: str, keys: tuple):
+    """S15 with hot columns: an archive sorted by typed columns beside the
+    VARIANT, read back by a search that skips row groups on them."""
+    configure(spark)
+    lay = get_layout(layout_name, hot=HOT_PATHS)
+    path = scratch_path(spark, f"hot-{layout_name}")
+    write_ordered(lay.build(event_log_lines(spark, sf_dir)), lay, path, keys=[hot_name(*k) for k in keys])
+    hits = search(read_archive(spark, path, layout_name), lay, searches("sql", FIXTURE)[form])
+    rr = lay.resolver(hits)
+    return hits.select(rr.integer(EVENT_ID).alias("event_id"), rr.integer("id").alias("id"),
+                       rr.text("ctx").alias("ctx"))
+
+
 def q_archive_sizes(spark, sf_dir):
     """A03 + A04: stored bytes per layout archive and the ratio to raw text."""
     configure(spark)
@@ -114,7 +128,13 @@ def q_archive_sizes(spark, sf_dir):
     return df.withColumn("compression_ratio", compression_ratio(F.col("raw_bytes"), F.col("stored_bytes")))
 
 
+# the paths that the standard searches Q2, Q4, Q5 and Q6 compare
+HOT_PATHS = (("id", "number"), ("c", "text"), ("ctx", "text"), (TS_SEC, "number"))
+HOT_ORDER = {"q2": (("id", "number"),), "q5": (("c", "text"), (TS_SEC, "number"))}
+
 QUERIES = {f"archive_roundtrip_{n}": partial(q_archive_roundtrip, layout_name=n) for n in LAYOUTS}
+QUERIES.update({f"ordered_hot_{n}_{q}": partial(q_ordered_hot, layout_name=n, form=q, keys=k)
+                for n in ("variant", "static_dynamic") for q, k in HOT_ORDER.items()})
 QUERIES.update({
     "roundtrip_gzip": q_roundtrip_gzip,
     "roundtrip_json_string": q_roundtrip_json_string,
@@ -130,6 +150,8 @@ ROUNDTRIP_SQL = "SELECT count(*) AS n_original, count(*) AS n_restored, true AS
 def oracles() -> dict:
     out = {f"archive_roundtrip_{n}": oracle.search_counts({s: o for s, _, _, o in FORMS_OF_LAYOUT[n]})
            for n in LAYOUTS}
+    out.update({f"ordered_hot_{n}_{q}": oracle.search_rows(oracle.SEARCH_SQL[q])
+                for n in ("variant", "static_dynamic") for q in HOT_ORDER})
     out.update({
         "roundtrip_gzip": ROUNDTRIP_SQL,
         "roundtrip_json_string": ROUNDTRIP_SQL,

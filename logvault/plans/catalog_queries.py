@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logvault.layouts import get_layout
 from logvault.layouts.base import VariantResolver
 from logvault.operators.flatten import leaf_paths, path_catalog, path_catalog_pairwise
-from logvault.operators.keys import encode_keys_variant
+from logvault.operators.keys import encode_keys_text
 from logvault.operators.normalize import normalize
 from logvault.operators.project import from_pairwise
 from logvault.session import configure
@@ -48,9 +48,10 @@ def q_path_catalog_pairwise(spark, sf_dir):
 
 
 def _encoded_leaves(spark, sf_dir, mode):
-    df = _docs(spark, sf_dir)
-    df = df.select(VariantResolver(F.col("j")).integer("attr.event_id").alias("event_id"),
-                   encode_keys_variant(F.col("j"), mode).alias("j"))
+    configure(spark)
+    df = event_log_lines(spark, sf_dir)
+    df = df.select(VariantResolver(F.parse_json("line")).integer("attr.event_id").alias("event_id"),
+                   encode_keys_text(F.col("line"), mode).alias("j"))
     return leaf_paths(df, "j", keep=["event_id"]).select("event_id", "path", "type")
 
 

@@ -55,7 +55,7 @@ rep AS (
                      WHEN 'compressed_size_B' THEN 'compressed_size_MB'
                      WHEN 'decompressed_size_B' THEN 'decompressed_size_MB' ELSE metric END AS metric,
          CASE WHEN metric IN ('memory_average_B', 'compressed_size_B', 'decompressed_size_B')
-              THEN value / 1048576.0 ELSE value END AS value, start_time
+              THEN nullif(value, -1.0) / 1048576.0 ELSE value END AS value, start_time
   FROM lab WHERE phase = 'ingest'
   UNION ALL
   SELECT dataset || ' (ingest)', methodology, 'compression_ratio',

@@ -30,25 +30,17 @@ def _size_opts(max_records_per_file=None, block_size=None, row_group_rows=None)
     return o
 
 
-CALIBRATION_ROWS = 20000
-
-
-def records_for_bytes(df: DataFrame, layout: Layout, target_bytes: int,
-                      sample_rows: int = CALIBRATION_ROWS) -> int:
-    """Rows per file that give files of about ``target_bytes``: a bounded
-    sample is written with the same layout under the shared scratch folder
-    and its stored bytes per row measured."""
+def _staged(df: DataFrame, layout: Layout, target_bytes: int) -> tuple[DataFrame, int]:
+    """``df`` written once under the shared scratch folder, and the rows per
+    file that give ``target_bytes``: its stored bytes over all its rows."""
     from logvault.operators.quality import archive_size
     from logvault.session import scratch_path
     spark = df.sparkSession
-    probe = scratch_path(spark, "size-probe")
-    sample = df.limit(sample_rows)
-    layout.write(sample, probe, mode="errorifexists")
-    rows = spark.read.parquet(probe).count()
-    if rows == 0:
-        return 1
-    per_row = max(1.0, archive_size(spark, probe) / rows)
-    return max(1, int(target_bytes / per_row))
+    stage = scratch_path(spark, "sized")
+    layout.write(df, stage)
+    staged = layout.read(spark, stage)
+    per_row = archive_size(spark, stage) / max(1, staged.count())
+    return staged, max(1, int(target_bytes / max(1.0, per_row)))
 
 
 def write_layout(df: DataFrame, layout: Layout | str, path: str, mode: str = "errorifexists",
@@ -58,8 +50,9 @@ def write_layout(df: DataFrame, layout: Layout | str, path: str, mode: str = "er
     """Write a built layout DataFrame.
 
     S10 size bounds: ``max_records_per_file`` (rows per file),
-    ``target_file_bytes`` (rows per file calibrated on a written sample, e.g.
-    the reference's 256 MB archives), ``block_size`` (bytes per row group)
+    ``target_file_bytes`` (an upper size, e.g. the reference's 256 MB archives:
+    the archive is staged once, its bytes per row set the rows per file, then
+    it is copied), ``block_size`` (bytes per row group)
     and ``row_group_rows`` (rows per row group; the reference's fixed batches
     of 10000 / 1000 rows). Large row groups scan fastest, so the defaults
     leave them to Parquet.
@@ -68,7 +61,7 @@ def write_layout(df: DataFrame, layout: Layout | str, path: str, mode: str = "er
         raise ValueError(f"mode must be one of {WRITE_MODES}")
     lay = get_layout(layout) if isinstance(layout, str) else layout
     if target_file_bytes and not max_records_per_file:
-        max_records_per_file = records_for_bytes(df, lay, int(target_file_bytes))
+        df, max_records_per_file = _staged(df, lay, int(target_file_bytes))
     if rebalance:
         df = df.hint("rebalance")
     lay.write(df, path, mode=mode, **_size_opts(max_records_per_file, block_size, row_group_rows))
@@ -88,9 +81,9 @@ def ordered(df: DataFrame, keys: list, extra: list | None = None, timestamp_key=
             partitions: int | None = None) -> DataFrame:
     """S15 ordering: ``order_by = keys + extras not in keys`` (+ time key).
 
-    Range partitioning uses the whole sort order, so one hot key is spread
-    over several ranges by its later sort columns instead of landing in one
-    task; within a partition rows are sorted (NULLS FIRST) so Parquet
+    Range partitioning uses the whole sort order and then a hash of the row and
+    the input partition, so one hot key is spread over several ranges, with or
+    without later sort columns and even among equal rows; within a partition rows are sorted (NULLS FIRST) so Parquet
     row-group min/max statistics can skip data on the keys. Without an
     explicit ``partitions`` the range count is the cluster's
     ``spark.sql.shuffle.partitions`` and AQE may coalesce small ranges.
@@ -99,8 +92,11 @@ def ordered(df: DataFrame, keys: list, extra: list | None = None, timestamp_key=
     if timestamp_key is not None and timestamp_key not in order:
         order.append(timestamp_key)
     cols = [(F.col(c) if isinstance(c, str) else c).asc_nulls_first() for c in order]
-    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
-    return ranged.sortWithinPartitions(*cols)
+    # both are the same when a lost input partition is computed again
+    tied = df.withColumn("_tie", F.xxhash64(F.to_json(F.struct("*")))).withColumn("_part", F.spark_partition_id())
+    by = [*cols, F.col("_tie"), F.col("_part")]
+    ranged = tied.repartitionByRange(partitions, *by) if partitions else tied.repartitionByRange(*by)
+    return ranged.sortWithinPartitions(*cols).drop("_tie", "_part")
 
 
 def write_ordered(df: DataFrame, layout: Layout | str, path: str, keys: list, extra: list | None = None,

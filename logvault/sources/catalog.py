@@ -2,8 +2,8 @@
 
 A dataset directory holds the log file(s) and a ``metadata.yaml`` of flat
 ``key: value`` lines (source, number_of_lines, timestamp, normal_log,
-cleaned_log, base32_log). The catalogue is tiny (one row per dataset), so
-joins against it are broadcast.
+cleaned_log, base32_log). Joins against it carry no broadcast hint: Spark
+broadcasts by measured bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 CATALOG_SCHEMA = ("dataset string, source string, number_of_lines bigint, timestamp_key string, "
                   "normal_log string, cleaned_log string, base32_log string")
-MAX_CATALOG_ROWS = 10_000
 
 
 def read_catalog(spark: SparkSession, glob: str) -> DataFrame:
@@ -38,15 +37,9 @@ def catalog_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_CATALOG_ROWS) -> DataFrame:
-    """Broadcast hint only after proving the side is small (one bounded count)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def lookup_catalog(df: DataFrame, catalog: DataFrame, dataset_col: str = "dataset",
                    fields: tuple = ("timestamp_key", "normal_log")) -> DataFrame:
     """Attach catalogue fields (time key, file) to rows by dataset name.
-    The catalogue side is size-checked, then broadcast."""
-    cat = checked_broadcast(catalog.select(F.col("dataset").alias(dataset_col), *fields))
+    An equi-join: Spark broadcasts the catalogue while its bytes allow it."""
+    cat = catalog.select(F.col("dataset").alias(dataset_col), *fields)
     return df.join(cat, dataset_col, "left")

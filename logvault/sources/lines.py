@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvault.operators.keys import DEFAULT_DEPTH as KEY_DEPTH
-from logvault.operators.keys import allow_depth, encode_keys_variant
+from logvault.operators.keys import encode_keys_text
 
 BLANK_RULES = ("empty", "whitespace", "newline")
 
@@ -57,16 +56,14 @@ def parse_lines(lines: DataFrame, mode: str = "skip", col: str = "line",
     raise ValueError("mode must be skip, fail or keep")
 
 
-def clean_lines(lines: DataFrame, keys: str = "b64", col: str = "line",
-                depth: int = KEY_DEPTH) -> tuple[DataFrame, DataFrame]:
+def clean_lines(lines: DataFrame, keys: str = "b64", col: str = "line") -> tuple[DataFrame, DataFrame]:
     """Dataset preparation: strip-blank lines dropped, malformed lines skipped
-    (and returned), keys encoded, each event written back as one JSON line.
-    Documents nested deeper than ``depth`` levels raise."""
-    allow_depth(lines.sparkSession, depth)
+    (and returned), keys encoded at every depth, each event written back as one
+    JSON line. Of repeated keys, or keys that encode alike, the last one stays."""
     kept = drop_blank(lines.select(F.col(col).alias("line")), "whitespace")
-    parsed, rejected = parse_lines(kept, "skip")
-    cleaned = parsed.select(F.to_json(encode_keys_variant(F.col("j"), keys, depth)).alias("line"))
-    return cleaned, rejected
+    valid = F.try_parse_json("line").isNotNull()
+    cleaned = kept.filter(valid).select(F.to_json(encode_keys_text(F.col("line"), keys)).alias("line"))
+    return cleaned, kept.filter(~valid)
 
 
 # Dataset variations and the key encoding each one applies.

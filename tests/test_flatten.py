@@ -114,12 +114,8 @@ def test_documented_static_and_dynamic_fields(spark):
     assert [r["utc"] for r in times] == ["2023-03-22 03:34:54.576", "2023-03-22 03:35:12.123"]
 
 
-def test_recommend_layout(spark):
-    from logvault.plans.advice import recommend_layout
-    narrow = spark.createDataFrame([("a", "int", 3, True), ("b", "string", 1, False)],
-                                   "path string, type string, n_rows long, is_static boolean")
-    assert recommend_layout(narrow) == "inferred"
-    wide = spark.range(0, 30).selectExpr("concat('p', id) AS path", "'int' AS type")
-    assert recommend_layout(wide, max_struct_paths=20) == "variant"
+def test_layout_facts(spark):
+    from logvault.plans.advice import layout_facts
     mixed = spark.createDataFrame([("a", "int"), ("a", "string"), ("b", "int")], "path string, type string")
-    assert recommend_layout(mixed, max_conflicts=0) == "variant"
+    assert layout_facts(mixed).first().asDict() == {"n_paths": 2, "n_conflicts": 1}
+    assert layout_facts(mixed.limit(0)).first().asDict() == {"n_paths": 0, "n_conflicts": 0}

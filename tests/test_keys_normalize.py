@@ -113,3 +113,33 @@ def test_deep_documents_raise_or_encode_with_a_larger_bound(spark):
         encode_keys(df, "b64", column="j").collect()
     out = json.loads(encode_keys(df, "b64", column="j", depth=20).select(F.to_json("j")).first()[0])
     assert list(out) == [encode_name("x-y", "b64")]
+
+
+def test_lines_encode_at_any_depth(spark):
+    deep = {"a b": 6.0}
+    for _ in range(40):
+        deep = {"x-y": [deep]}  # 80 container levels
+    df = spark.createDataFrame([(json.dumps(deep),)], "line string")
+    got = clean_lines(df, "b64")[0].first()["line"]
+    assert got.count(encode_name("x-y", "b64")) == 40 and f'{{"{encode_name("a b", "b64")}":6.0}}' in got
+
+
+def test_text_form_agrees_with_the_variant_form(spark):
+    from logvault.operators.keys import encode_keys_text
+    tricky = [*DOCS, {"a:b": 'x": y', 'q"k': "\\", "t-\tz": "\\\"", "u -\u00e9": [{"": "a-b:"}], "v": "1.0, 2.00"},
+              {"n": [1.0, -2.50, 3e5, 10, 100.0, 1.05]}, [], {}, "a b:", 3, {"k " * 3: "y" * 100000 + '\\" '}]
+    df = spark.createDataFrame([(json.dumps(d),) for d in tricky], "line string")
+    spaced = df.select(F.regexp_replace("line", '": ', '"  : ').alias("line"))
+    for mode in ["b64", "hex"]:
+        want = [r[0] for r in df.select(F.to_json(encode_keys_variant(F.parse_json("line"), mode))).collect()]
+        assert [r[0] for r in df.select(F.to_json(encode_keys_text(F.col("line"), mode))).collect()] == want
+    assert [r[0] for r in spaced.limit(2).select(F.to_json(encode_keys_text(F.col("line"), "hex"))).collect()] == [
+        r[0] for r in df.limit(2).select(F.to_json(encode_keys_text(F.col("line"), "hex"))).collect()]
+
+
+def test_clean_lines_of_repeated_and_colliding_keys(spark):
+    k = encode_name("a b", "b64")
+    rows = [('{"x": 1, "x": 2}',), (f'{{"a b": 1, "{k}": 2}}',), ('{"a": 1"',), (None,), ("  ",), ('{"a',)]
+    cleaned, rejected = clean_lines(spark.createDataFrame(rows, "line string"))
+    assert [r["line"] for r in cleaned.collect()] == ['{"x":2}', f'{{"{k}":2}}']
+    assert rejected.count() == 2

@@ -52,8 +52,68 @@ def test_no_shuffle_in_searches(spark, tmp_path, lines_df):
         assert "Exchange" not in plan(search(df, lay, Eq("id", 1))), name
 
 
-def test_related_join_broadcasts_only_the_config_side(spark):
-    samples = spark.createDataFrame([(1, "java"), (2, "bash")], "run_id long, command string")
-    related = spark.createDataFrame([("t", "java")], "tool string, name string")
-    p = plan(related_samples(samples, related, "t"))
-    assert "BroadcastNestedLoopJoin BuildRight, LeftSemi" in p
+def test_related_join_is_a_hash_semi_join(spark):
+    # no nested loop over samples and names, and no forced broadcast
+    samples = spark.createDataFrame([(1, "java"), (2, "bash"), (3, "ja"), (4, ""), (5, None), (6, "javax")],
+                                    "run_id long, command string")
+    related = spark.createDataFrame([("t", "java"), ("u", "bash"), ("t", None)], "tool string, name string")
+    got = related_samples(samples, related, "t")
+    assert sorted(r["run_id"] for r in got.collect()) == [1, 3, 4]
+    assert got.columns == samples.columns
+    p = plan(got)
+    assert "NestedLoop" not in p and "LeftSemi" in p
+
+
+def test_hot_key_without_a_time_key_is_split(spark):
+    # every row has the same key, half of them are equal in every column
+    df = spark.range(0, 2000, numPartitions=4).select(
+        F.lit("hot").alias("k"), F.greatest(F.col("id"), F.lit(1000)).alias("v"))
+    sizes = ordered(df, ["k"], partitions=4).rdd.glom().map(len).collect()
+    assert sum(sizes) == 2000 and max(sizes) < 1000
+
+
+HOT = (("id", "number"), ("c", "text"), ("attr.ts", "number"))
+
+
+def scanned_rows(df):
+    """Rows that left the Parquet scan of a collected query."""
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan()
+    leaves = p.collectLeaves() if not p.getClass().getSimpleName().startswith("AdaptiveSpark") else \
+        p.executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_hot_columns_skip_row_groups(spark, tmp_path):
+    from logvault.operators.predicates import all_of, gt
+    from logvault.sinks.writers import write_ordered
+    n = 20000
+    lines = spark.range(0, n, numPartitions=4).select(F.to_json(F.struct(
+        F.col("id"), F.concat(F.lit("c"), (F.col("id") % 20).cast("string")).alias("c"),
+        F.struct((F.col("id") * 7 % n).alias("ts")).alias("attr"))).alias("line"))
+    for name in ["variant", "static_dynamic"]:
+        lay = get_layout(name, hot=HOT)
+        for keys, pred, want in [(["hot_number_id"], Eq("id", 7777), 1),
+                                 (["hot_text_c", "hot_number_attr_ts"],
+                                  all_of(Eq("c", "c3"), gt("attr.ts", n - 2000)), None)]:
+            p = str(tmp_path / f"{name}-{len(keys)}")
+            write_ordered(lay.build(lines), lay, p, keys=keys, row_group_rows=200)
+            plain = get_layout(name)
+            expect = search(plain.build(lines), plain, pred).count()
+            hits = search(lay.read(spark, p), lay, pred)
+            rows = scanned_rows(hits)
+            assert hits.count() == expect and (want is None or expect == want), name
+            assert 0 < expect <= rows < n / 10, (name, rows)
+
+
+def test_hot_columns_change_no_result(spark, lines_df):
+    from logvault.operators.predicates import Exists, Ne, ge
+    docs = ['{"id": 1, "c": "x", "attr": {"ts": 1.0000001}}', '{"id": "1", "c": {"a": 1}}', '{"id": true, "c": null}',
+            '{"id": 9007199254740993, "attr": {"ts": "5"}}', '{}', '{"id": 9007199254740992, "c": "1"}']
+    preds = [Eq("id", 1), Eq("id", 9007199254740993), Eq("c", "x"), Eq("c", 1), Ne("c", "x"), Ne("c", "x", absent="keep"),
+             Prefix("c", "{"), ge("attr.ts", 1), Eq("attr.ts", 1), Exists("c"), Exists("attr")]
+    for name in ["variant", "static_dynamic", "document"]:
+        plain, hot = get_layout(name), get_layout(name, hot=HOT)
+        a, b = plain.build(lines_df(docs)), hot.build(lines_df(docs))
+        for pred in preds:
+            assert search(a, plain, pred).count() == search(b, hot, pred).count(), (name, pred)
