@@ -73,7 +73,8 @@ def _encode_key_token(token: Column, mode: str) -> Column:
 
 
 def encode_keys_text(line: Column, mode: str = "b64") -> Column:
-    """Valid JSON text with encoded keys (VARIANT), at any depth.
+    """JSON text as a VARIANT with encoded keys, at any depth; NULL where it does
+    not parse (a filter on validity may run after this expression).
 
     Keys that become equal follow the duplicate-key rule of the session (the
     last one wins). ``6.0`` stays a float: an exponent keeps the parser from
@@ -85,7 +86,7 @@ def encode_keys_text(line: Column, mode: str = "b64") -> Column:
     coded = F.transform(tokens, lambda t: F.when(t.startswith('"'), F.when(t.endswith(":"), _encode_key_token(t, mode))
                                                  .otherwise(t))
                         .otherwise(F.regexp_replace(t, _INTEGRAL_FLOAT, "$1E0")))
-    return F.parse_json(F.array_join(coded, ""))
+    return F.try_parse_json(F.array_join(coded, ""))
 
 
 def _float_leaf(x: Column) -> Column:
