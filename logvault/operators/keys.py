@@ -69,7 +69,13 @@ def _encode_key_token(token: Column, mode: str) -> Column:
     name = F.when(quoted.contains("\\"), F.get_json_object(F.concat(F.lit("["), quoted, F.lit("]")), "$[0]")).otherwise(
         F.substr(quoted, F.lit(2), F.length(quoted) - 2))
     coded = F.concat(F.lit('"'), encode_name_column(name, mode), F.lit('":'))
-    return coded if mode == "hex" else F.when(name.contains(" ") | name.contains("-"), coded).otherwise(token)
+    if mode == "hex":
+        plain = F.substr(token, F.lit(2), F.length(token) - 3)
+        return F.when(token.endswith('":') & ~token.contains("\\"),
+                      F.concat(F.lit('"'), encode_name_column(plain, mode), F.lit('":'))).otherwise(coded)
+    # most keys stay; an escape may stand for a space or a hyphen
+    return (F.when(~(token.contains(" ") | token.contains("-") | token.contains("\\")), token)
+            .when(name.contains(" ") | name.contains("-"), coded).otherwise(token))
 
 
 def encode_keys_text(line: Column, mode: str = "b64") -> Column:
@@ -85,7 +91,7 @@ def encode_keys_text(line: Column, mode: str = "b64") -> Column:
     tokens = F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0))
     coded = F.transform(tokens, lambda t: F.when(t.startswith('"'), F.when(t.endswith(":"), _encode_key_token(t, mode))
                                                  .otherwise(t))
-                        .otherwise(F.regexp_replace(t, _INTEGRAL_FLOAT, "$1E0")))
+                        .when(t.contains(".0"), F.regexp_replace(t, _INTEGRAL_FLOAT, "$1E0")).otherwise(t))
     return F.try_parse_json(F.array_join(coded, ""))
 
 
