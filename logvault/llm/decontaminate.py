@@ -110,9 +110,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     out_schema = ["doc_id", "th", "item_id", "n_tokens", "covered", "n_slots", "n_changed"]
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     if rows is None:
-        none = d.limit(0).select("doc_id", F.xxhash64("text").alias("th")).crossJoin(
-            benchmark.limit(0).select(F.col(item_id).alias("item_id")))
-        return none.select("*", *[F.lit(0).cast("int").alias(c) for c in out_schema[3:]])
+        no_item = F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id")
+        return d.limit(0).select("doc_id", F.xxhash64("text").alias("th"), no_item,
+                                 *[F.lit(0).cast("int").alias(c) for c in out_schema[3:]])
     wins = materialise(rows, "benchmark-windows")
     side = small_side(wins.select("row", "size", "item_pos", "hash", "n_tokens"), 48)
     hashed = d.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), template(F.col("text")).alias("tokens"))

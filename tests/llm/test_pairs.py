@@ -82,6 +82,8 @@ def test_empty_tables(docs_of, spark):
     assert N.near_duplicates(none).count() == 0
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert D.contaminated(none, bench).count() == 0
+    some = D.contaminated(docs_of(["a text of some words"]), bench)
+    assert some.count() == 0 and some.columns == ["doc_id", "th", "item_id", "n_tokens", "covered", "n_slots", "n_changed"]
     assert E.embedding_links(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
