@@ -2,7 +2,7 @@
 
     ingest  SRC DST --layout variant [--malformed skip] [--keys b64|hex]
     search  ARCHIVE --layout variant [--dialect sql|kql|pairwise|es] [--where SQL]
-    catalog ARCHIVE --layout variant
+    catalog ARCHIVE OUT --layout variant
     report  RESULTS OUT [--format parquet|csv]   (RESULTS: "<dir>/*/output.json" or Parquet)
 
 Every command prints one JSON line. ``search --where`` counts the rows of the
@@ -35,6 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--where", default=None, help="Spark SQL condition over view `logs`")
     c = sub.add_parser("catalog", help="path catalogue of an archive")
     c.add_argument("archive")
+    c.add_argument("out", help="folder of the catalogue (Parquet)")
     c.add_argument("--layout", default="variant", choices=["variant", "document", "pairwise"])
     r = sub.add_parser("report", help="result files (<tool>/output.json glob) or (tool, doc) Parquet -> sheets")
     r.add_argument("results", help="glob of JSON result files, or a Parquet folder of (tool, doc)")
@@ -77,7 +78,8 @@ def main(argv: list[str] | None = None, spark=None) -> dict:
         from logvault.sources.archive import read_archive
         df = read_archive(spark, args.archive, args.layout)
         cat = path_catalog_pairwise(df) if args.layout == "pairwise" else path_catalog(df, "j")
-        out["paths"] = [r.asDict() for r in cat.orderBy("path", "type").toLocalIterator()]
+        cat.orderBy("path", "type").write.parquet(args.out)
+        out.update(out=args.out)
     elif args.command == "report":
         from logvault.operators.report import read_result_files, read_results, report, report_long
         from logvault.sinks.writers import write_report

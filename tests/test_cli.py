@@ -15,7 +15,7 @@ def test_ingest_search_catalog(spark, tmp_path):
     hits = main(["search", dst, "--layout", "variant"], spark)["hits"]
     assert hits["q1"] == 1 and hits["q2"] == 1
     assert main(["search", dst, "--where", "lv_text(j, '$.ctx') = 'y'"], spark)["hits"] == 1
-    paths = {p["path"] for p in main(["catalog", dst], spark)["paths"]}
+    paths = {r["path"] for r in spark.read.parquet(main(["catalog", dst, dst + "-paths"], spark)["out"]).collect()}
     assert paths == {"id", "ctx", "attr.tickets"}
 
 
@@ -25,7 +25,8 @@ def test_ingest_with_encoded_keys(spark, tmp_path):
     (src / "a.log").write_text('{"bad key": 1}\n')
     dst = str(tmp_path / "enc")
     main(["ingest", str(src), dst, "--layout", "pairwise", "--keys", "b64"], spark)
-    paths = {p["path"] for p in main(["catalog", dst, "--layout", "pairwise"], spark)["paths"]}
+    out = main(["catalog", dst, dst + "-paths", "--layout", "pairwise"], spark)["out"]
+    paths = {r["path"] for r in spark.read.parquet(out).collect()}
     assert paths == {"YmFkIGtleQ=="}
 
 
