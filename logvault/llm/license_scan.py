@@ -1,15 +1,20 @@
 """Operator 5: licence scans by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (lower case, words of
-letters, digits and dots inside numbers) and looked up in a table of known
-licence sentences, which gives each an identifier and captures parameters such
-as a version. The sequence of identifiers of a document is then matched against
-ordered rules: all identifiers of a rule in order, with at most ``MAX_GAP``
-unknown sentences between them. Longer rules win over rules inside them.
-
-Defined cases: null and empty texts have no licence; a sentence that occurs
-again starts another match; repeated rows are scanned one by one; sentences that
-belong to no complete rule are reported by their identifiers only.
+Texts are cut into sentences at full stops and blank lines (a line of comment
+marks only is blank); single line breaks, colons and semicolons cut nothing, so
+wrapped and commented licence texts stay whole. Sentences are normalised to
+their words (lower case, letters, digits and dots inside numbers) and searched
+for a table of known licence phrases, with any words before and after. Each
+phrase gives an identifier and captures parameters such as a version; a
+sentence may hold several. The sequence of identifiers of a document is then
+matched against ordered rules: all identifiers of a rule in order, with at most
+``MAX_GAP`` unknown sentences between them. Longer rules win over rules inside
+them. Spans are those of the phrases.
+
+Defined cases: null and empty texts have no licence; a phrase that occurs again
+starts another match; a phrase behind "not" is none; sentences without letters
+(list numbers) count as no sentence; repeated rows are scanned one by one;
+phrases that belong to no complete rule are reported by their identifiers only.
 """
 
 from __future__ import annotations
@@ -25,47 +30,77 @@ from logvault.llm.common import pieces, read_table
 
 MAX_GAP = 2
 
-# Known licence sentences, normalised (the sentence's text, as a pattern over its words).
+_UNDER = (r"(?<!not )(?:released|licen[sc]ed|distributed|available|provided|published|redistributed|used|covered|governed|made available)"
+          r"(?: (?!not )\S+){0,4}? (?:under|by)(?: (?!not )\S+){0,9}? ")
+_V = r"(?:(?: version| ver| v)? ?v?(?P<v>[0-9]+(?:\.[0-9]+)*))"
+_FREE = r"is free software(?: you can| you may)?(?: redistribute it and or modify it| redistribute and or modify it| modify it and or redistribute it) under the terms of the "
+_FSF = r"(?: gpl| lgpl| agpl)?(?: as published by the free software foundation(?: inc)?(?: either)?)?"
+_GNU = {"gpl": r"(?:gnu )?(?:general public licen[sc]e|gpl)", "lgpl": r"(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)",
+        "agpl": r"(?:gnu )?(?:affero general public licen[sc]e|agpl)"}
+
+# Known licence phrases, as patterns over the normalised words of a sentence.
 SENTENCES = {
-    "mit-short": r"(?:released|licensed|distributed) under the (?:terms of the )?mit license",
-    "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software.*",
-    "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies.*",
-    "as-is": r"the software is provided as is without warranty of any kind.*",
-    "apache-short": r"(?:released|licensed|distributed) under the apache license(?: version)? (?P<v>[0-9.]+)(?: the license)?",
-    "apache-compliance": r"you may not use this file except in compliance with the license",
-    "apache-copy": r"you may obtain a copy of the license at.*",
-    "apache-basis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*",
-    "gpl-short": r"this (?:work|program|software|file) is (?:licensed|released|distributed) under the gnu general public license(?: version)? (?P<v>[0-9.]+)",
-    "gpl-free": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*",
-    "gpl-hope": r"this program is distributed in the hope that it will be useful but without any warranty.*",
-    "cc-short": r"(?:released|licensed|distributed) under (?:a )?(?:cc|creative commons) (?P<k>by(?: nc)?(?: sa| nd)?) (?P<v>[0-9.]+)",
-    "bsd-redistribute": r"redistribution and use in source and binary forms with or without modification are permitted.*",
-    "bsd-source": r"redistributions of source code must retain the above copyright notice.*",
-    "bsd-binary": r"redistributions in binary form must reproduce the above copyright notice.*",
-    "bsd-endorse": r"neither the name of.*may be used to endorse or promote products.*",
-    "public-domain": r"(?:this work|this software|this file) is (?:released|placed|dedicated) (?:in|into|to) the public domain",
-    "rights-reserved": r"(?:copyright .*)?all rights reserved",
+    "mit-short": _UNDER + r"(?:mit|expat)(?: x11| expat| style)? licen[sc]es?\b",
+    "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software",
+    "mit-notice": r"the above copyright notice and this permission notice (?:\S+ ){0,8}?shall be included in all copies",
+    "as-is": r"the software is provided as is without warranty of any kind",
+    "isc-grant": r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted",
+    "apache-short": _UNDER + r"apache(?: software)?(?: licen[sc]e)?" + _V + "?",
+    "apache-title": r"apache license version (?P<v>[0-9.]+) [a-z]+ [0-9]{4}\b",
+    "apache-compliance": r"you may not use this (?:file|work|software) except in compliance with the license",
+    "apache-copy": r"you may obtain a copy of the license at",
+    "apache-basis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    **{f"{k}-short": _UNDER + rf"{g}\b{_V}?" if k != "gpl" else _UNDER + rf"(?<!affero )(?<!lesser )(?<!library ){g}{_V}?" for k, g in _GNU.items()},
+    **{f"{k}-free": _FREE + g + _FSF + _V + "?" for k, g in _GNU.items()},
+    **{f"{k}-title": r"gnu " + w + r"general public license version (?P<v>[0-9.]+) [0-9]+ [a-z]+ [0-9]{4}\b"
+       for k, w in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero "))},
+    "gpl-hope": r"is distributed in the hope that it will be useful but without any warranty",
+    "mpl-short": r"subject to the terms of the mozilla public license" + _V + "|" + _UNDER.replace("(?:under|by)", "under") + r"mozilla public license" + _V.replace("?P<v>", "?P<w>"),
+    "cc-short": _UNDER + r"(?:cc|creative commons) (?P<k>by(?: nc)?(?: sa| nd)?)(?: licen[sc]e)?" + _V + "?",
+    "cc-long": r"creative commons (?P<k>attribution(?: non ?commercial)?(?: share ?alike| no ?deriv(?:ative)?s)?)(?: (?P<v>[0-9]+(?:\.[0-9]+)*))?",
+    "cc0": r"\bcc0\b(?: (?P<v>[0-9]+\.[0-9]+))?",
+    "bsd-short": _UNDER + r"(?:the )?(?P<k>[234]|two|three|four)(?: clause)(?: \S+)? bsd\b|" + _UNDER + r"bsd (?P<w>[234]|two|three|four) clause\b",
+    "bsd-redistribute": r"redistribution and use in source and binary forms(?: with or without modification)? are permitted",
+    "bsd-source": r"redistributions of source code must retain the (?:above )?copyright notice",
+    "bsd-binary": r"redistributions in binary form must reproduce the (?:above )?copyright notice",
+    "bsd-advertising": r"all advertising materials mentioning features or use of this software must display",
+    "bsd-endorse": r"neither the names? of(?:(?! neither the name).)*? may be used to endorse or promote products"
+                   r"|the names? of(?:(?! the names? of).)*? may not be used to endorse or promote products",
+    "public-domain": r"(?:is|are) (?:hereby )?(?:released|placed|dedicated) (?:in|into|to) the public domain",
+    "unlicense": r"this is free and unencumbered software released into the public domain",
+    "rights-reserved": r"all rights reserved",
 }
-# Licence rules, an ordered sequence of sentence identifiers each.
-RULES = {
+_BSD = ("bsd-redistribute", "bsd-source", "bsd-binary")
+_GRANTS = {
     "MIT": (("mit-short",), ("mit-grant", "mit-notice", "as-is"), ("mit-grant", "mit-notice")),
-    "Apache": (("apache-short", "apache-compliance", "apache-copy", "apache-basis"), ("apache-short", "apache-compliance"), ("apache-short",)),
-    "GPL": (("gpl-free", "gpl-hope"), ("gpl-short",), ("gpl-free",)),
-    "CC": (("cc-short",),),
-    "BSD-3-Clause": (("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"),),
-    "BSD-2-Clause": (("bsd-redistribute", "bsd-source", "bsd-binary"),),
+    "ISC": (("isc-grant", "as-is"), ("isc-grant",)),
+    "Apache": (("apache-short", "apache-compliance", "apache-copy", "apache-basis"), ("apache-short", "apache-compliance"), ("apache-short",),
+               ("apache-title",)),
+    "GPL": (("gpl-free", "gpl-hope"), ("gpl-short",), ("gpl-free",), ("gpl-title",)),
+    "LGPL": (("lgpl-free", "gpl-hope"), ("lgpl-short",), ("lgpl-free",), ("lgpl-title",)),
+    "AGPL": (("agpl-free", "gpl-hope"), ("agpl-short",), ("agpl-free",), ("agpl-title",)),
+    "MPL": (("mpl-short",),),
+    "CC": (("cc-short",), ("cc-long",)),
+    "CC0": (("cc0",),),
+    "BSD": (("bsd-short",),),
+    "BSD-4-Clause": ((*_BSD, "bsd-advertising", "bsd-endorse"),),
+    "BSD-3-Clause": ((*_BSD, "bsd-endorse"),),
+    "BSD-2-Clause": (_BSD,),
     "Public-Domain": (("public-domain",),),
-    "Proprietary": (("rights-reserved",),),
+    "Unlicense": (("unlicense",),),
 }
-
-# Every known sentence holds one of these words: texts without any have no licence.
-ANCHORS = (b"licen", b"permission", b"copyright", b"copies", b"warranty", b"gnu", b"redistribution", b"endorse", b"public domain", b"rights",
-           b"software", b"creative")
-_FIRST = re.compile(r"^(?:" + "|".join(f"(?P<s{i}>{re.sub('[?]P<[a-z]>', '?:', p)})" for i, p in enumerate(SENTENCES.values())) + r")$")
-_IDS = list(SENTENCES)
-_EACH = {k: re.compile(f"^{p}$") for k, p in SENTENCES.items()}
-_END = re.compile(r"(?<=[^0-9\s][.!?])\s+|(?<=[0-9][.!?])\s+(?=[A-Z\n]|$)|[\n;:]+|(?<=[.!?])$")
-_WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+# Licence rules, an ordered sequence of identifiers each. "All rights reserved" before a grant belongs to it.
+RULES = {**{k: (*rs, *(("rights-reserved", *r) for r in rs)) for k, rs in _GRANTS.items()}, "Proprietary": (("rights-reserved",),)}
+
+# Every known phrase holds one of these words: texts without any have no licence.
+ANCHORS = (b"licen", b"permission", b"copyright", b"copies", b"warranty", b"gnu", b"redistribution", b"endorse", b"domain", b"rights",
+           b"software", b"creative", b"cc0", b"under", b"gpl", b"advertising")
+_ANCHOR_WORDS = [a.decode() for a in ANCHORS]
+_PHRASES = {k: re.compile(rf"(?<![^ ])(?:{p})(?![a-z0-9])") for k, p in SENTENCES.items()}
+_END = re.compile(r"(?<=[^0-9\s][.!?])(?<!\bv\.)(?<!\bver\.)\s+|(?<=[0-9][.!?])\s+(?=[A-Z\n]|$)|\n(?:[^A-Za-z0-9\n]*\n)+")
+_WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+_NAMES = {"attribution": "by", "non": "", "noncommercial": "nc", "commercial": "nc", "share": "", "sharealike": "sa", "alike": "sa", "no": "",
+          "noderivs": "nd", "noderivatives": "nd", "derivs": "nd", "derivatives": "nd", "two": "2", "three": "3", "four": "4"}
 _ORDERED = sorted(((r, name) for name, rs in RULES.items() for r in rs), key=lambda x: (-len(x[0]), x[1]))
 
 
@@ -80,26 +115,31 @@ def sentences(text: str):
         yield at, len(text)
 
 
-def normalise(sentence: str) -> str:
-    return " ".join(_WORD.findall(sentence.lower()))
-
-
-def identify(sentence: str) -> tuple[str, str] | None:
-    """(identifier, parameters) of a sentence, None for an unknown one."""
-    n = normalise(sentence)
-    m = _FIRST.match(n)
-    if not m:
-        return None
-    k = _IDS[int(m.lastgroup[1:])]
-    got = _EACH[k].match(n).groupdict()
-    return k, "-".join(x.replace(" ", "-").rstrip(".").upper() for x in (got.get("k"), got.get("v")) if x)
+def phrases(sentence: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, identifier, parameters) of the known phrases of a sentence, in order."""
+    words = list(_WORD.finditer(sentence))
+    text = " ".join(w[0] for w in words).lower()
+    first, last, at = {}, {}, 0
+    for w in words:
+        first[at] = w.start()
+        at += len(w[0])
+        last[at] = w.end()
+        at += 1
+    out = []
+    for k, p in _PHRASES.items():
+        for m in p.finditer(text):
+            got = m.groupdict()
+            named = [" ".join(filter(None, (_NAMES.get(x, x) for x in (got.get(g) or "").split()))) for g in ("k", "v", "w")]
+            detail = "-".join(x.replace(" ", "-").rstrip(".").upper() for x in named if x)
+            out.append((first[m.start()], last[m.end()], k, f"{detail}-Clause" if k == "bsd-short" else detail))
+    return sorted(out)
 
 
 def match_rules(seq: list[tuple[int, str, str]], gap: int = MAX_GAP) -> list[tuple[str, int, int]]:
     """(licence, first, last) matches in a sequence of (sentence number, identifier, parameters).
 
-    From left to right; at each sentence the longest rule that starts there and
-    whose identifiers follow in order within the gap. Used sentences are not
+    From left to right; at each phrase the longest rule that starts there and
+    whose identifiers follow in order within the gap. Used phrases are not
     used again.
     """
     out, used = [], set()
@@ -131,12 +171,15 @@ def scan_text(text: bytes) -> tuple[list[str], list[str], list[tuple[int, int]]]
     if not any(a in low for a in ANCHORS):
         return [], [], []
     t = text.decode("utf-8", "replace")
-    seq, place = [], []
-    for n, (a, z) in enumerate(sentences(t)):
+    seq, place, n = [], [], 0
+    for a, z in sentences(t):
         s = t[a:z]
-        if len(s) >= 8 and any(x.decode() in s.lower() for x in ANCHORS) and (hit := identify(s)):
-            seq.append((n, *hit))
-            place.append((a, z))
+        small = s.lower()
+        if len(s) >= 8 and any(x in small for x in _ANCHOR_WORDS):
+            for b, e, k, detail in phrases(s):
+                seq.append((n, k, detail))
+                place.append((a + b, a + e))
+        n += any(c.isalpha() for c in s)
     found = match_rules(seq)
     return [f[0] for f in found], [s[1] for s in seq], [(place[f[1]][0], place[f[2]][1]) for f in found]
 

@@ -260,6 +260,75 @@ def test_license_rules(docs_of, odd_texts):
     assert C.license_scan(docs_of([])).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD_TEXT = """Copyright (c) 2019, The Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+  * Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer.
+  * Redistributions in binary form must reproduce the above copyright
+    notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution.
+  * Neither the name of the copyright holder nor the names of its
+    contributors may be used to endorse or promote products derived from
+    this software without specific prior written permission.
+"""
+APACHE_TEXT = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL_TEXT = """/*
+ * This program is free software%s you can redistribute it and/or modify
+ * it under the terms of the GNU %sGeneral Public License as published by
+ * the Free Software Foundation%s either version %s of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */
+"""
+
+
+def test_wrapped_license_texts(docs_of):
+    texts = [MIT_TEXT, BSD_TEXT, APACHE_TEXT, GPL_TEXT % (":", "", ",", "3"), GPL_TEXT % (";", "", ";", "2"), GPL_TEXT % (";", "Lesser ", ";", "2.1"),
+             "This project is licensed under the MIT License.", "Foo may be distributed under the terms of the\nGNU General Public License v3 or later",
+             "Dual-licensed under either of Apache License, Version 2.0 or MIT license at your option.", "This is not licensed under the MIT License.",
+             "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.", "Released under CC BY 4.0",
+             "The parser uses the tree by Mitchell; rights and copies are discussed under the heading."]
+    got = {r["doc_id"]: r for r in C.license_scan(docs_of(texts)).collect()}
+    assert [got[i]["licenses"] for i in range(len(texts))] == [
+        ["MIT"], ["BSD-3-Clause"], ["Apache-2.0"], ["GPL-3"], ["GPL-2"], ["LGPL-2.1"], ["MIT"], ["GPL-3"], ["Apache-2.0", "MIT"], [],
+        ["CC-BY-NC-4.0"], ["CC-BY-4.0"], []]
+    assert got[0]["sentences"] == ["mit-grant", "mit-notice", "as-is"]
+    a, z = got[0]["spans"][0]
+    assert MIT_TEXT[a:z].startswith("Permission is hereby") and MIT_TEXT[a:z].endswith("ANY KIND")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipe
     docs = spark.read.parquet(f"{SF}/documents.parquet")
