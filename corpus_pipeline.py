@@ -17,6 +17,8 @@ from logvault.llm.packing import pack, tokenizer_path
 from logvault.llm.quality import THRESHOLD, quality_scores
 from logvault.llm.secrets import redact
 
+NEAR_PERCENT = 80  # the 85 % of op2 are that query's own
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -25,8 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return deduplicate(docs)
+    """One document of each group of near-duplicates, linked from a similarity of ``NEAR_PERCENT`` on."""
+    return deduplicate(docs, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

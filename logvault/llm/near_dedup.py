@@ -17,7 +17,9 @@
    with 100 * intersection >= 85 * union remains; its components are the result.
 
 A pair at exactly 85 % misses all keys with a probability below 1e-5 and the
-signature filter with one below 1e-6.
+signature filter with one below 2e-6. Lower thresholds get longer signatures and
+a larger distance (``index_for``), so that the same bounds hold: 11 chunks, 66
+symbols, at 80 %.
 
 Defined cases: null, empty and blank texts have the empty set and are linked
 with nothing; texts under five words are one shingle; repeated rows and equal
@@ -29,7 +31,8 @@ unless the component has no other; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+import math
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +50,32 @@ PERCENT = 85
 BUCKET_ROWS = 4096
 GROUP_ROWS, GROUP_BYTES = 512, 8 << 20
 
-_rng = np.random.default_rng(20)
-_MULTIPLIERS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MISS_KEYS, MISS_DISTANCE = 1e-5, 2e-6
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def index_for(percent: int) -> tuple[int, int]:
+    """(symbols, max_distance) with which a pair at exactly ``percent`` is missed no more often than the bounds.
+
+    A symbol differs with the probability of different minima with different low bytes.
+    """
+    p = (1 - percent / 100) * 255 / 256
+    missed = 1 - (1 - p) ** CHUNK - CHUNK * p * (1 - p) ** (CHUNK - 1)
+    n = CHUNK * max(CHUNKS, math.ceil(math.log(MISS_KEYS) / math.log(missed)) if missed else 0)
+    tail, d = 1.0, -1
+    while tail > MISS_DISTANCE and d < n:
+        d += 1
+        tail = sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(d + 1, n + 1))
+    return n, max(d, MAX_DISTANCE)
+
+
+@cache
+def _multipliers(n: int) -> np.ndarray:
+    """The first ``n`` odd multipliers of one sequence."""
+    rng = np.random.default_rng(20)
+    return np.array([rng.integers(1, 1 << 63, dtype=np.uint64) for _ in range(n)], np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -71,20 +95,20 @@ def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(s + np.uint64(k)))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of ``SYMBOLS`` bytes for each non-empty set."""
+def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
+    """One row of ``symbols`` bytes for each non-empty set."""
     flat, start = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), SYMBOLS), np.uint8)
-    for i, a in enumerate(_MULTIPLIERS):
+    out = np.empty((len(sets), symbols), np.uint8)
+    for i, a in enumerate(_multipliers(symbols)):
         out[:, i] = (np.minimum.reduceat(flat * a, start) >> np.uint64(20)).astype(np.uint8)
     return out
 
 
-def _sign(batches):
+def _sign(batches, symbols):
     for part, texts in pieces(batches, "tx"):
         sets = [shingle_set(t) for t in texts]
         full = [s for s in sets if len(s)]
-        sig = iter(signatures(full)) if full else iter(())
+        sig = iter(signatures(full, symbols)) if full else iter(())
         rows = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(sig).tobytes()) if len(s) else (None, None) for s in sets]
         keep = [n for n in part.schema.names if n != "tx"]
         yield pa.RecordBatch.from_arrays(
@@ -93,22 +117,22 @@ def _sign(batches):
             [*keep, "n_shingles", "digest", "sig"])
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """rid, doc_id, text hash, n_shingles, set digest and signature of each row; written once, without texts."""
     src = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("tx"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    out = src.mapInArrow(_sign, f"doc_id {kind}, th bigint, n_shingles bigint, digest binary, sig binary")
+    out = src.mapInArrow(partial(_sign, symbols=symbols), f"doc_id {kind}, th bigint, n_shingles bigint, digest binary, sig binary")
     return materialise(out.withColumn("rid", F.monotonically_increasing_id()), "signatures")
 
 
 def _grid(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
 
 
 def mask_keys(sig: np.ndarray) -> np.ndarray:
-    """(rows, SYMBOLS) keys: chunk c without its symbol j has key number c * CHUNK + j."""
+    """(rows, symbols) keys: chunk c without its symbol j has key number c * CHUNK + j."""
     out = np.empty(sig.shape, np.int64)
-    for c in range(CHUNKS):
+    for c in range(sig.shape[1] // CHUNK):
         part = sig[:, c * CHUNK:(c + 1) * CHUNK].astype(np.int64)
         for j in range(CHUNK):
             key = np.full(len(sig), c * CHUNK + j, np.int64)
@@ -124,7 +148,7 @@ def _keyed(batches):
         for a in range(0, b.num_rows, 4096):
             s = b.slice(a, 4096)
             keys = mask_keys(_grid(s.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(s.column(0).to_numpy(), SYMBOLS))],
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(s.column(0).to_numpy(), keys.shape[1]))],
                                              ["key", "rep"])
 
 
@@ -231,9 +255,10 @@ def links(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int =
             .mapInArrow(partial(_link_edges, percent=percent), "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """rid, doc_id, th, n_shingles, component_id, kept, keeper (the one row of its component that stays)."""
-    rows = signed(docs)
+    symbols, max_distance = index_for(percent)
+    rows = signed(docs, symbols)
     # one class for each distinct set; partial minima, so a set that a third of the rows share is a row a task
     classes = materialise(rows.filter("digest is not null").groupBy("digest").agg(
         F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"),

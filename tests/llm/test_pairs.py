@@ -42,6 +42,31 @@ def test_near_duplicates_on_the_tables(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_index_keeps_its_bounds():
+    """Signatures of sets at exactly the threshold share a key and lie within the distance."""
+    assert N.index_for(85) == (48, 20)
+    symbols, far = N.index_for(80)
+    rng = np.random.default_rng(3)
+    pairs = [rng.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(2000)]
+    a = N.signatures([p[:90] for p in pairs], symbols)
+    b = N.signatures([p[10:] for p in pairs], symbols)  # 80 of 100 in common
+    assert ((a != b).sum(1) <= far).all() and (N.mask_keys(a) == N.mask_keys(b)).any(1).all()
+
+
+def test_pipeline_links_from_80_percent(spark, docs_of):
+    """Of two texts with 8 of 10 to 81 of 100 shingles in common the pipeline keeps one, of less similar ones both."""
+    import corpus_pipeline as pipe
+    rows, near = [], 0
+    for k in range(40):
+        a = [f"w{k}_{i}" for i in range(104)]  # 100 shingles; a tail of n other words replaces n of them
+        n = 11 if k % 2 else 12
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:-n] + [f"x{k}_{i}" for i in range(n)]))]
+        near += 100 * (100 - n) >= 80 * (100 + n)
+    assert near == 20
+    left = {r["doc_id"] for r in pipe.dedup_stage(spark, docs_of(rows), SF).collect()}
+    assert left == {2 * k for k in range(40)} | {2 * k + 1 for k in range(0, 40, 2)}
+
+
 def test_dense_group_of_near_copies(docs_of, monkeypatch):
     """Variants of one text around the threshold, with buckets and groups small enough to be split into blocks."""
     rng = random.Random(4)
