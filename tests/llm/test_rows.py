@@ -245,6 +245,18 @@ def test_ownership_separates_copies(docs_of, odd_texts):
     assert S.secret_report(docs_of([]), F.col("lang"), F.col("source")).count() == 0
 
 
+def test_mirrored_documents_count_once(docs_of):
+    """A token in mirrors of one document is live, whatever their sources; one in texts of three owners is copied."""
+    page = lambda k, v: f"{' '.join(f'{k}{i}' for i in range(60))} key {v} end"
+    rows = [(i, page("m", KEY) + (f" mirror{i}" if i % 2 else "")) for i in range(8)]  # exact and near copies, four sources
+    rows += [(20 + i, page(f"own{i}_", COPIED)) for i in range(3)]  # a text each of three sources
+    rows += [(30 + i, page(f"two{i}_", "Qw1Er2Ty3Ui4Op5As6Df")) for i in range(2)]
+    got = {r["doc_id"]: r for r in S.secret_report(docs_of(rows), F.concat_ws("/", "source", "lang"), F.col("source")).collect()}
+    assert all(got[i]["n_live"] == 1 for i in [*range(8), 30, 31]) and all(got[20 + i]["spans"] == "" for i in range(3))
+    red = {r["doc_id"]: r["text"] for r in S.redact(docs_of(rows), F.col("lang"), F.col("source")).collect()}
+    assert not any(KEY in red[i] for i in range(8)) and "[SECRET]" in red[30]
+
+
 def test_license_rules(docs_of, odd_texts):
     bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that. "
            "Redistributions of source code must retain the above copyright notice. Unknown words between. "
