@@ -4,7 +4,9 @@ Texts become templates: numbers, units after a number and names (capitalised
 words inside a sentence) are replaced by the typed placeholders 0, 2 and 1,
 everything else is lower-cased words without punctuation. Windows of eight
 template tokens are hashed and joined with those of the benchmark, so a
-question with other numbers, names or units still matches. Matches of a
+question with other numbers, names or units still matches. Windows of the plain
+lower-cased words at the same places are joined next to them, so a verbatim item
+matches whatever its case, line breaks or the word before it. Matches of a
 document with an item are collected by their offset; on each offset the slots
 must be consistent: a value of the item stands for one value of the document
 wherever it occurs. A document is contaminated by an item if the consistent
@@ -15,8 +17,9 @@ DataFrame functions only. The documents are read twice: once to hash windows
 values of the few candidates.
 
 Defined cases: null and empty texts match nothing; items of 5 to 7 tokens are
-one window of their length, shorter ones match nothing; windows with fewer than
-half literal words are no evidence (tables of numbers); repeated rows give one
+one window of their length, shorter ones match nothing; template windows with
+fewer than half literal words are no evidence (tables of numbers), unless the
+plain words are equal; repeated rows give one
 result for each (doc_id, item_id); a null doc_id or item_id is a value like any
 other; equal items are reported each. Empty tables give no rows.
 """
@@ -40,7 +43,7 @@ UNITS = ("%", "km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "i
 
 def template(text: Column) -> Column:
     """The template tokens of a text, as an array."""
-    t = F.regexp_replace(text, r"\p{N}+(?:[.,]\p{N}+)*", "0")
+    t = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\p{N}+(?:[.,]\p{N}+)*", "0")
     t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+", "1")
     t = F.regexp_replace(t, rf"(?i)(?<=0)( ?)(?:{'|'.join(UNITS)})(?!\p{{L}})", "$12")
     return _tokens(t)
@@ -98,7 +101,9 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFra
     for s in sizes:
         w = _windows(items.filter(F.col("size") == s), s, ["row", "item_id", "item_text", "n_tokens", "size", "tokens"])
         literal = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, F.lit(s)), lambda x: ~x.rlike("^[0-9]+$")))
-        w = w.filter(F.col("hash").isNotNull() & (literal * 2 >= s)).select("row", "item_id", "item_text", "n_tokens", "size", F.col("pos").alias("item_pos"), "hash")
+        plain = _windows(items.filter(F.col("size") == s).withColumn("tokens", values(F.col("item_text"))), s,
+                         ["row", "item_id", "item_text", "n_tokens", "size", "tokens"])
+        w = w.filter(literal * 2 >= s).unionByName(plain).filter("hash is not null").distinct().select("row", "item_id", "item_text", "n_tokens", "size", F.col("pos").alias("item_pos"), "hash")
         rows = w if rows is None else rows.unionByName(w)
     return rows, sizes
 
@@ -115,7 +120,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                                  *[F.lit(0).cast("int").alias(c) for c in out_schema[3:]])
     wins = materialise(rows, "benchmark-windows")
     side = small_side(wins.select("row", "size", "item_pos", "hash", "n_tokens"), 48)
-    hashed = d.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), template(F.col("text")).alias("tokens"))
+    hashed = d.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.explode_outer(
+        F.array(template(F.col("text")), values(F.col("text")))).alias("tokens"))
     hits = None
     for s in sizes:
         h = (_windows(hashed, s, ["doc_id", "th"]).join(side.filter(F.col("size") == s), "hash")

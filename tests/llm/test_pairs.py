@@ -153,6 +153,17 @@ def test_leak_cases(leaks, odd_texts):
     assert {k[0] for k in got} == {50, None} and {k[1] for k in got} == {1, 2, None}
 
 
+def test_verbatim_items_in_any_form(leaks):
+    """Other case, line breaks, double spaces and a word before the item; half an item of numbers."""
+    short, german = "What is the capital of France", "Der Zug verbindet Hamburg mit Berlin und bringt Kohle in die Stadt"
+    sums = "Add 12 34 56 78 90 11 22 33 to 44 55"
+    texts = [ITEM.replace(" ", "\n"), ITEM.replace(" ", "  "), ITEM.lower(), ITEM.title(), ITEM.upper(),
+             f"question {short} then", german.lower(), f"so {sums} now", "Add 99 34 56 70 90 10 20 33 to 40 50"]
+    got = leaks(texts, [(1, ITEM), (2, short), (3, german), (4, sums)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 3), (7, 4)}
+    assert all(r["n_changed"] == 0 for r in got.values())
+
+
 def test_leaks_on_the_tables(spark):
     """All documents with every eight-word window of an item, and no document without any."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
