@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "near_dedup", "class_lm", "quality", "license_scan", "packing", "decontaminate", "embed_dedup", "sharding", "secrets")
+MODULES = ("toxicity", "near_dedup", "class_lm", "quality", "license_scan", "packing", "decontaminate", "embed_dedup", "sharding", "secrets",
+           "html_text", "hard_negatives", "periodic_runs")
 
 
 def queries() -> dict:
