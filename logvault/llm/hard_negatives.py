@@ -215,7 +215,7 @@ def slot_tops(anchors: DataFrame, rows: DataFrame, k: int, same: bool) -> DataFr
 
     ``anchors``: aid, vec_id, label, v and the falling limits ``up`` with the
     least wanted scores ``down`` (empty lists: one slot without limits); ``rows``:
-    vec_id, label, v. Both are written tables. Rows of the anchor's own label
+    rid, vec_id, label, v. Both are written tables. Rows of the anchor's own label
     count if ``same``, else those of other labels.
     """
     width = F.size("v").cast("bigint") * 4 + 64
@@ -226,7 +226,7 @@ def slot_tops(anchors: DataFrame, rows: DataFrame, k: int, same: bool) -> DataFr
     none = F.array().cast("array<bigint>")
     a = (anchors.withColumn("block", F.pmod(F.xxhash64("aid"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
          .select((F.col("block") * slices + F.col("part")).alias("cell"), F.lit(False).alias("is_row"), "aid", "vec_id", "label", "v", "up", "down"))
-    r = (rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    r = (rows.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
          .select((F.col("block") * slices + F.col("part")).alias("cell"), F.lit(True).alias("is_row"), F.lit(None).cast("bigint").alias("aid"),
                  "vec_id", "label", "v", none.alias("up"), none.alias("down")))
     met = (a.unionByName(r).repartition(min(blocks * slices, 1 << 16), "cell").sortWithinPartitions("cell", "is_row", "vec_id")
@@ -243,9 +243,9 @@ def hard_negatives(rows: DataFrame, is_anchor, positives: int = POSITIVES, negat
     its best ``positives`` rows of the same label, the best ``negatives`` rows of
     other labels whose score is within [low, high] percent of the positive's.
     """
-    rows = materialise(rows.select("vec_id", "label", "v"), "vectors")
+    rows = materialise(rows.select("vec_id", "label", "v").withColumn("rid", F.monotonically_increasing_id()), "vectors")
     no_limit = F.array().cast("array<bigint>")
-    anchors = materialise(rows.filter(is_anchor).withColumn("aid", F.monotonically_increasing_id())
+    anchors = materialise(rows.filter(is_anchor).withColumnRenamed("rid", "aid")
                           .withColumn("up", no_limit).withColumn("down", no_limit), "anchors")
     pos = (slot_tops(anchors, rows, positives, same=True).filter("score >= 0")
            .select("aid", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), F.col("rank").alias("slot")))

@@ -8,13 +8,15 @@
    chunk with at most one error, so every chunk is entered under its 6 masks
    (one symbol left out). All pairs within that distance meet under some key,
    whatever the size of its bucket.
-3. In a bucket the signatures are compared and only a spanning forest of the
-   pairs within ``max_distance`` leaves it: as many rows as members at most,
-   never all pairs. Buckets beyond ``BUCKET_ROWS`` are split into blocks and
-   compared block by block.
-4. Connected forests are candidate groups. In each group the full shingle sets
-   are compared (again in blocks if large) and a spanning forest of the pairs
-   with 100 * intersection >= 85 * union remains; its components are the result.
+3. In a bucket the signatures are compared; each component of the pairs within
+   ``max_distance`` leaves it as a star around its smallest member: as many rows
+   as members at most, and the same rows from every bucket of a group.
+4. Connected stars are candidate groups. In each group the full shingle sets
+   are compared and the components of the pairs with 100 * intersection >= 85 *
+   union leave as stars; their components are the result.
+5. Buckets beyond ``BUCKET_ROWS`` and groups beyond ``GROUP_ROWS`` meet a few
+   pivots first. Members near to connected pivots are settled; only the rest
+   goes on to meet all others, block by block (``group_links``).
 
 A pair at exactly 85 % misses all keys with a probability below 1e-5 and the
 signature filter with one below 2e-6. Lower thresholds get longer signatures and
@@ -37,7 +39,7 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logvault.llm.common import connected_components, materialise, pieces, read_table, runs, small_side, words
@@ -49,6 +51,7 @@ MAX_DISTANCE = 20  # looser than the guaranteed 15; full sets decide
 PERCENT = 85
 BUCKET_ROWS = 4096
 GROUP_ROWS, GROUP_BYTES = 512, 8 << 20
+PIVOTS = 8
 
 MISS_KEYS, MISS_DISTANCE = 1e-5, 2e-6
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -152,36 +155,98 @@ def _keyed(batches):
                                              ["key", "rep"])
 
 
-def _forest(n: int, near) -> list[tuple[int, int]]:
-    """Spanning forest of the graph on 0..n-1; ``near(i, others)`` tells which of ``others`` are neighbours of i."""
+class SignatureKernel:
+    """Signatures of one cell; near: at most ``limit`` symbols differ."""
+
+    def __init__(self, blobs, limit: int):
+        self.grid, self.limit = _grid(blobs), limit
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        return (self.grid[others] != self.grid[i]).sum(1) <= self.limit
+
+
+class SetKernel:
+    """Full shingle sets of one cell; near: a similarity of at least ``limit`` percent."""
+
+    def __init__(self, blobs, limit: int):
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in blobs]
+        self.size, self.limit = np.array([len(s) for s in sets]), limit
+        self.start = np.cumsum(self.size) - self.size
+        values, self.code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(values), np.int32)
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.code[self.start[i]:self.start[i] + self.size[i]]
+        self.mark[own] = 1
+        if len(others) * 4 < len(self.size):
+            common = np.array([self.mark[self.code[self.start[j]:self.start[j] + self.size[j]]].sum() for j in others], np.int64)
+        else:
+            common = np.add.reduceat(self.mark[self.code], self.start)[others]
+        self.mark[own] = 0
+        return 100 * common >= self.limit * (self.size[i] + self.size[others] - common)
+
+
+def _stars(n: int, near) -> list[tuple[int, int]]:
+    """Edges from the first member of each connected component of 0..n-1 to its others; ``near(i, others)`` marks the neighbours of i."""
     out, left = [], np.arange(n)
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        root, left = int(left[0]), left[1:]
+        queue = [root]
         while queue and len(left):
-            i = queue.pop()
-            hit = near(i, left)
-            found = left[hit]
-            out += [(i, int(j)) for j in found]
-            queue += found.tolist()
+            hit = near(queue.pop(), left)
+            found = left[hit].tolist()
+            out += [(root, j) for j in found]
+            queue += found
             left = left[~hit]
     return out
 
 
-def _bucket_edges(batches, max_distance):
-    for t, cuts in runs(batches, ["key", "lo", "hi"]):
-        rep, sig = t.column("rep").to_numpy(), _grid(t.column("sig"))
-        cuts = np.array(cuts)
-        size = np.diff(cuts)
-        two = cuts[:-1][size == 2]
-        close = two[(sig[two] != sig[two + 1]).sum(1) <= max_distance]
-        pairs = [np.column_stack([rep[close], rep[close + 1]])]
-        for a, z in zip(cuts[:-1][size > 2], cuts[1:][size > 2]):
-            r, s = rep[a:z], sig[a:z]
-            e = _forest(z - a, lambda i, o: (s[o] != s[i]).sum(1) <= max_distance)  # noqa: B023
-            if e:
-                pairs.append(r[np.array(e)])
-        p = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+def _pairs_batch(pairs) -> pa.RecordBatch:
+    p = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+
+def _star_edges(batches, kernel, limit):
+    """Stars of every cell (grp, lo, hi), its rows in order of rep, so that cells with the same members give the same edges."""
+    for t, cuts in runs(batches, ["grp", "lo", "hi"]):
+        rep, data, found = t.column("rep").to_numpy(), t.column("data"), []
+        for a, z in zip(cuts, cuts[1:]):
+            reps, first = np.unique(rep[a:z], return_index=True)
+            if len(reps) > 1:
+                k = kernel(data.take(pa.array(first + a)), limit)
+                found += [(reps[i], reps[j]) for i, j in _stars(len(reps), k.near)]
+        yield _pairs_batch(found)
+
+
+def _cross_edges(batches, kernel, limit):
+    """An edge from each row of kind 0 to the first near row of kind 1 in its cell."""
+    for t, cuts in runs(batches, ["grp", "lo", "hi"]):
+        rep, kind, data, found = t.column("rep").to_numpy(), t.column("kind").to_numpy(), t.column("data"), []
+        for a, z in zip(cuts, cuts[1:]):
+            own, others = np.flatnonzero(kind[a:z] == 0), np.flatnonzero(kind[a:z] == 1)
+            if len(own) and len(others):
+                k = kernel(data.slice(a, z - a).combine_chunks(), limit)
+                for i in own:
+                    hit = np.flatnonzero(k.near(int(i), others))
+                    if len(hit):
+                        found.append((rep[a + i], rep[a + others[hit[0]]]))
+        yield _pairs_batch(found)
+
+
+def _pivot_masks(batches, kernel, limit):
+    """(grp, rep, mask): bit b of the mask is set where the row is near the cell's pivot b."""
+    for t, cuts in runs(batches, ["grp", "lo", "hi"]):
+        grp, rep, bit, data = t.column("grp").to_numpy(), t.column("rep").to_numpy(), t.column("kind").to_numpy(), t.column("data")
+        out = []
+        for a, z in zip(cuts, cuts[1:]):
+            pivots, rows = np.flatnonzero(bit[a:z] >= 0), np.flatnonzero(bit[a:z] < 0)
+            mask = np.zeros(len(rows), np.int64)
+            if len(rows):
+                k = kernel(data.slice(a, z - a).combine_chunks(), limit)
+                for i in pivots:
+                    mask[k.near(int(i), rows)] |= 1 << int(bit[a + i])
+            out.append((grp[a + rows], rep[a + rows], mask))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["grp", "rep", "mask"])
 
 
 def _blocks(df: DataFrame, key: str, member: str, n_blocks) -> DataFrame:
@@ -193,15 +258,67 @@ def _blocks(df: DataFrame, key: str, member: str, n_blocks) -> DataFrame:
             .withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("nb", "blk", "other"))
 
 
+def _cell_edges(cells: DataFrame, work, kernel, limit: int) -> DataFrame:
+    return (cells.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "rep")
+            .mapInArrow(partial(work, kernel=kernel, limit=limit), "a bigint, b bigint"))
+
+
+def group_links(small: DataFrame, large: DataFrame, kernel, limit: int) -> DataFrame:
+    """Edges (a, b) with the components of all near pairs within the groups of (grp, rep, data, nb).
+
+    Groups in ``small`` fit in a cell (nb = 1). Those in ``large`` need ``nb``
+    blocks of rows; a few pivots come first: every member meets ``PIVOTS`` of them.
+    The members near to pivots that hang together are one component and need
+    no further comparison; the rest meets them, and itself, block by block. So
+    copies of one text cost as many rows as members, not their square.
+    """
+    zero = F.lit(0).cast("bigint")
+    edges = _cell_edges(small.select("grp", zero.alias("lo"), zero.alias("hi"), "rep", "data"), _star_edges, kernel, limit)
+    large = materialise(large.select("grp", "rep", "data", F.col("nb").cast("bigint").alias("nb")), "large-groups")
+    if large.isEmpty():
+        return edges
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep")
+    pivots = large.withColumn("bit", F.row_number().over(order) - 1).filter(F.col("bit") < PIVOTS)
+    cell = lambda df, lo, hi, kind: df.select("grp", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), kind.cast("int").alias("kind"), "rep", "data")
+    spread = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    met = (cell(large, block("nb"), zero, F.lit(-1))
+           .unionByName(cell(pivots.withColumn("to", spread("nb")), F.col("to"), zero, F.col("bit"))))
+    masks = materialise(met.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "rep")
+                        .mapInArrow(partial(_pivot_masks, kernel=kernel, limit=limit), "grp bigint, rep bigint, mask bigint"), "pivot-masks")
+    # the main component of a group: from the pivot with most members on, every mask that shares a bit
+    votes = F.array(*[F.count_if(F.col("mask").bitwiseAND(1 << b) != 0) for b in range(PIVOTS)])
+    per = masks.groupBy("grp").agg(votes.alias("votes"), F.collect_set("mask").alias("ms"))
+    first = F.get(F.array(*[F.lit(1 << b).cast("bigint") for b in range(PIVOTS)]), (F.array_position("votes", F.array_max("votes")) - 1).cast("int"))
+    grow = lambda m: F.aggregate("ms", m, lambda acc, x: F.when(acc.bitwiseAND(x) != 0, acc.bitwiseOR(x)).otherwise(acc))
+    per = per.select("grp", F.aggregate(F.sequence(F.lit(1), F.lit(PIVOTS)), first, lambda m, _: grow(m)).alias("main_mask"))
+    told = masks.join(per, "grp").select("grp", "rep", (F.col("mask").bitwiseAND(F.col("main_mask")) != 0).alias("main"))
+    told = materialise(told, "pivot-sides")
+    stat = told.groupBy("grp").agg(F.min(F.when(F.col("main"), F.col("rep"))).alias("hub"), F.count_if("main").alias("n_main"),
+                                   F.count_if(~F.col("main")).alias("n_rest"))
+    stars = told.filter("main").join(stat, "grp").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    edges = edges.unionByName(stars)
+    if not (unsettled := materialise(stat.filter("n_rest > 0"), "unsettled")).isEmpty():
+        share = lambda n: F.greatest(F.ceil(F.col("nb") * F.col(n) / (F.col("n_main") + F.col("n_rest"))), F.lit(1)).cast("bigint")
+        rows = large.join(unsettled, "grp").join(told, ["grp", "rep"]).withColumn("nr", share("n_rest")).withColumn("nm", share("n_main"))
+        rows = materialise(rows.select("grp", "rep", "data", "main", "nr", "nm"), "unsettled-rows")
+        rest, main = rows.filter("not main"), rows.filter("main")
+        cross = (cell(rest.withColumn("to", spread("nm")), block("nr"), F.col("to"), F.lit(0))
+                 .unionByName(cell(main.withColumn("to", spread("nr")), F.col("to"), block("nm"), F.lit(1))))
+        inner = _blocks(rest, "grp", "rep", F.col("nr")).select("grp", "lo", "hi", "rep", "data")
+        edges = edges.unionByName(_cell_edges(cross, _cross_edges, kernel, limit)).unionByName(_cell_edges(inner, _star_edges, kernel, limit))
+    return edges
+
+
 def candidate_groups(classes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(node, component): groups of classes connected by signature pairs."""
     keys = classes.select("rep", "sig").mapInArrow(_keyed, "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialise(keys.join(shared, "key"), "bucket-members").join(classes.select("rep", "sig"), "rep")
-    rows = _blocks(members, "key", "rep", F.ceil(F.col("n") / BUCKET_ROWS)).select("key", "lo", "hi", "rep", "sig")
-    edges = (rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-             .mapInArrow(partial(_bucket_edges, max_distance=max_distance), "a bigint, b bigint").distinct())
-    return connected_components(edges)
+    members = materialise(keys.join(shared, "key").select(
+        F.col("key").alias("grp"), "rep", F.ceil(F.col("n") / BUCKET_ROWS).alias("nb")), "bucket-members")
+    signed_rows = lambda df: df.join(classes.select("rep", F.col("sig").alias("data")), "rep")
+    edges = group_links(signed_rows(members.filter("nb = 1")), signed_rows(members.filter("nb > 1")), SignatureKernel, max_distance)
+    return connected_components(edges.distinct())
 
 
 def _with_sets(batches):
@@ -212,47 +329,25 @@ def _with_sets(batches):
                                           pa.array([s.tobytes() for s in sets], pa.binary())], [*keep, "shingles"])
 
 
-def _link_edges(batches, percent):
-    for t, cuts in runs(batches, ["component", "lo", "hi"]):
-        rep, blobs = t.column("rep").to_numpy(), t.column("shingles")
-        found = []
-        for a, z in zip(cuts, cuts[1:]):
-            reps, first = np.unique(rep[a:z], return_index=True)
-            sets = [np.frombuffer(blobs[int(a + i)].as_py(), np.uint64) for i in first]
-            size = np.array([len(s) for s in sets])
-            flat, start = np.concatenate(sets), np.cumsum(size) - size
-            values, code = np.unique(flat, return_inverse=True)
-            mark = np.zeros(len(values), np.int32)
-
-            def near(i, others):
-                own = code[start[i]:start[i] + size[i]]  # noqa: B023
-                mark[own] = 1  # noqa: B023
-                if len(others) * 4 < len(size):  # noqa: B023
-                    common = np.array([mark[code[start[j]:start[j] + size[j]]].sum() for j in others])  # noqa: B023
-                else:
-                    common = np.add.reduceat(mark[code], start)[others]  # noqa: B023
-                mark[own] = 0  # noqa: B023
-                return 100 * common >= percent * (size[i] + size[others] - common)  # noqa: B023
-
-            found += [(reps[i], reps[j]) for i, j in _forest(len(reps), near)]
-        p = np.array(found, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-
 def links(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Spanning edges (a, b) of the confirmed links, by full shingle sets."""
-    per_group = groups.join(classes.select(F.col("rep").alias("node"), "n_shingles", "pick"), "node")
+    """Edges (a, b) with the components of the confirmed links, by full shingle sets."""
+    per_group = groups.join(classes.select(F.col("rep").alias("node"), "n_shingles", "pick", "mult"), "node")
     sizes = per_group.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"))
     want = materialise(per_group.join(sizes, "component").select(
-        F.col("node").alias("rep"), "component", F.col("pick.doc_id").alias("pick_id"), F.col("pick.th").alias("pick_th"),
+        F.col("node").alias("rep"), "component", F.col("pick.doc_id").alias("pick_id"), F.col("pick.th").alias("pick_th"), "mult",
         F.greatest(F.ceil(F.col("members") / GROUP_ROWS), F.ceil(F.col("total") * 8 / GROUP_BYTES)).alias("n")), "candidates")
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("tx"))
-    hit = (texts.join(small_side(want, 64), F.col("d").eqNullSafe(F.col("pick_id")) & (F.col("h") == F.col("pick_th")))
-           .select("rep", "component", "n", "tx"))
-    sets = hit.mapInArrow(_with_sets, "rep bigint, component bigint, n bigint, shingles binary")
-    rows = _blocks(sets, "component", "rep", F.col("n")).select("component", "lo", "hi", "rep", "shingles")
-    return (rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-            .mapInArrow(partial(_link_edges, percent=percent), "a bigint, b bigint"))
+
+    def sets(some):
+        hit = (texts.join(small_side(some, 64), F.col("d").eqNullSafe(F.col("pick_id")) & (F.col("h") == F.col("pick_th")))
+               .select("rep", "component", "n", "mult", "tx"))
+        # a text whose row is repeated comes once: partial aggregates leave one for each task
+        once = hit.filter("mult > 1").groupBy("rep").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.first("tx").alias("tx"))
+        hit = hit.filter("mult = 1").select("rep", "component", "n", "tx").unionByName(once)
+        return hit.mapInArrow(_with_sets, "rep bigint, component bigint, n bigint, shingles binary").select(
+            F.col("component").alias("grp"), "rep", F.col("shingles").alias("data"), F.col("n").alias("nb"))
+
+    return group_links(sets(want.filter("n = 1")), sets(want.filter("n > 1")), SetKernel, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -262,7 +357,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # one class for each distinct set; partial minima, so a set that a third of the rows share is a row a task
     classes = materialise(rows.filter("digest is not null").groupBy("digest").agg(
         F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"),
-        F.first("n_shingles").alias("n_shingles"), F.min_by(F.struct("doc_id", "th"), "rid").alias("pick"),
+        F.first("n_shingles").alias("n_shingles"), F.count("*").alias("mult"), F.min_by(F.struct("doc_id", "th"), "rid").alias("pick"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("first_rid")), "classes")
     groups = candidate_groups(classes, max_distance)
     joined = connected_components(links(docs, classes, groups, percent))

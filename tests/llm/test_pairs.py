@@ -84,6 +84,43 @@ def test_dense_group_of_near_copies(docs_of, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == comp
 
 
+@pytest.mark.parametrize("pivots", [1, 3, 8])
+def test_group_links_equal_brute_force(spark, monkeypatch, pivots):
+    """Large groups of chains, clusters apart from one another and loners: pivots settle a part, blocks the rest."""
+    monkeypatch.setattr(N, "PIVOTS", pivots)
+    rng, sets, rows = random.Random(pivots), {}, []
+    for g in range(3):
+        for c in range(4):
+            base = rng.sample(range(10**6), 60)
+            for k in range(rng.choice([1, 6, 25])):
+                if k % 3 == 1:
+                    base[rng.randrange(60)] = rng.randrange(10**6)  # the cluster drifts: a chain
+                s = set(base)
+                for _ in range(rng.randrange(0, 4)):
+                    s.discard(rng.choice(base))
+                sets[len(sets)] = (g, s)
+    for i, (g, s) in sets.items():
+        rows.append((g, i, bytearray(np.sort(np.array([*s], np.uint64)).tobytes())))
+    df = spark.createDataFrame(rows, "grp bigint, rep bigint, data binary").selectExpr("*", "CASE grp WHEN 0 THEN 1 ELSE 5 END AS nb")
+    edges = N.group_links(df.filter("nb = 1"), df.filter("nb > 1"), N.SetKernel, 85).collect()
+
+    def components(pairs):
+        top = {i: i for i in sets}
+        def find(v):
+            while top[v] != v:
+                v = top[v]
+            return v
+        for a, b in pairs:
+            u, v = find(a), find(b)
+            top[max(u, v)] = min(u, v)
+        return {i: find(i) for i in sets}
+
+    true = [(i, j) for i, (g, s) in sets.items() for j, (h, t) in sets.items() if i < j and g == h and 100 * len(s & t) >= 85 * len(s | t)]
+    assert components([(e.a, e.b) for e in edges]) == components(true)
+    assert len(true) > 200 and len(set(components(true).values())) >= 12
+    assert len({(e.a, e.b) for e in edges}) < 4 * len(sets)
+
+
 def test_odd_texts(docs_of, odd_texts):
     got = N.near_duplicates(docs_of(odd_texts)).collect()
     assert len(got) == len(odd_texts)
