@@ -1,20 +1,26 @@
 """Operator 7: benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, units after a number and names (capitalised
-words inside a sentence) are replaced by the typed placeholders 0, 2 and 1,
-everything else is lower-cased words without punctuation. Windows of eight
-template tokens are hashed and joined with those of the benchmark, so a
-question with other numbers, names or units still matches. Windows of the plain
-lower-cased words at the same places are joined next to them, so a verbatim item
-matches whatever its case, line breaks or the word before it. Matches of a
-document with an item are collected by their offset; on each offset the slots
-must be consistent: a value of the item stands for one value of the document
-wherever it occurs. A document is contaminated by an item if the consistent
-windows cover at least ``MIN_SHARE`` of the item or ``MIN_TOKENS`` tokens.
+Texts become templates: a run of numbers or number words, a unit after a number
+and a run of names (capitalised words inside a sentence) are replaced by the
+typed placeholders 0, 2 and 1, everything else is lower-cased words without
+punctuation. So "Boston" and "New York", "120" and "one hundred", "120 km" and
+"120km" give the same template. Windows of eight template tokens are hashed and
+joined with those of the benchmark. Items are also entered with the first words
+of their sentences as names, since a document may quote them after other words,
+and windows of the plain lower-cased words are joined beside the templates, so a
+verbatim item matches whatever its case and line breaks.
+
+Matches of a document with an item are collected by their offset; offsets that
+differ by ``DRIFT`` tokens at most are summed. On them the slots must be
+consistent: a value of the item stands for one value of the document wherever it
+occurs. A document is contaminated by an item if the consistent windows cover at
+least ``MIN_SHARE`` of the item or ``MIN_TOKENS`` tokens.
 
 DataFrame functions only. The documents are read twice: once to hash windows
-(only matching (document, position) rows leave the scan), once to look up slot
-values of the few candidates.
+(only matching (document, position) rows leave the scan), once to write the slot
+values of the candidates, each tokenised once. Rows that meet the benchmark are
+reduced to distinct (item position, offset) before they are gathered, so a line
+repeated in a text costs what its windows cost.
 
 Defined cases: null and empty texts match nothing; items of 5 to 7 tokens are
 one window of their length, shorter ones match nothing; template windows with
@@ -33,31 +39,74 @@ from logvault.llm.common import materialise, read_table, small_side
 
 WINDOW, MIN_WINDOW = 8, 5
 MIN_SHARE, MIN_TOKENS = 0.6, 20
+DRIFT = 4
 
-# Unit names that follow a number.
-UNITS = ("%", "km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "inch", "kg", "g", "mg", "lb", "lbs", "pounds",
+# Unit names that follow a number, and English number words.
+UNITS = ("percent", "km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "inch", "kg", "g", "mg", "lb", "lbs", "pounds",
          "tons", "l", "ml", "liters", "litres", "hours", "hour", "h", "minutes", "minute", "min", "seconds", "second", "s",
          "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "usd", "euros", "eur", "cents", "kmh",
-         "mph", "degrees", "percent")
+         "mph", "degrees")
+NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+                "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion").split()
+#: Template forms: the document's own, the item's with first words as names, the plain words.
+TEMPLATE, FIRST_NAMES, PLAIN = 0, 1, 2
 
 
-def template(text: Column) -> Column:
-    """The template tokens of a text, as an array."""
-    t = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\p{N}+(?:[.,]\p{N}+)*", "0")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+", "1")
-    t = F.regexp_replace(t, rf"(?i)(?<=0)( ?)(?:{'|'.join(UNITS)})(?!\p{{L}})", "$12")
-    return _tokens(t)
+def _raw(text: Column) -> Column:
+    """Words in their own case, a ``.`` token at each sentence end, units apart from their numbers."""
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("%"), F.lit(" percent "))
+    t = F.regexp_replace(t, r"(\p{N})[.,](?=\p{N})", "$1")
+    t = F.regexp_replace(t, r"(\p{N})(?=\p{L})", "$1 ")
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}.!?:]+", " ")
+    return F.split(F.trim(F.regexp_replace(t, r"(?: ?[.!?:])+ ?", " . ")), " ")
 
 
-def values(text: Column) -> Column:
-    """The words that stand at the places of ``template``."""
-    t = F.regexp_replace(text, r"(?<=\p{N})[.,](?=\p{N})", "")
-    return _tokens(F.regexp_replace(t, r"(?<=\p{N})( ?)%", "$1percent"))
+def _typed(first_names: bool) -> Column:
+    """The template token of each token of ``raw``; runs are not yet joined."""
+    digit = lambda x: (x >= "0") & (x < ":")
+    number = lambda x: digit(x) | F.lower(x).isin(*NUMBER_WORDS)
 
+    def one(x, i):
+        head, before, after = F.substring(x, 1, 1), F.get("raw", i - 1), F.get("raw", i + 1)
+        name = F.lower(head) != head
+        if not first_names:
+            name = name & (F.coalesce(before, F.lit(".")) != ".")
+        word = F.lower(x)
+        between = (word == "and") & F.coalesce(F.lower(before).isin(*NUMBER_WORDS) & F.lower(after).isin(*NUMBER_WORDS), F.lit(False))
+        unit = word.isin(*UNITS) & F.coalesce(number(before), F.lit(False))
+        return F.when(number(x) | between, "0").when(unit, "2").when(name, "1").otherwise(word)
 
-def _tokens(t: Column) -> Column:
-    t = F.trim(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.array_remove(F.split(t, " "), "")
+    return F.transform("raw", one)
+
+
+def _starts(typed: str) -> Column:
+    """Places of the tokens that stay: no sentence ends, one of a run of numbers or names."""
+    return F.filter(F.transform(typed, lambda x, i: F.when(
+        (x != ".") & (x != "") & ~(x.isin("0", "1") & F.coalesce(F.get(typed, i - 1) == x, F.lit(False))), i)), lambda i: i.isNotNull())
+
+
+def tokenised(df: DataFrame, text: Column, first_names: bool = False) -> DataFrame:
+    """``df`` with ``raw``, ``typed`` and ``template``. Each array is a column of its own, as lambdas look into it."""
+    df = df.withColumn("raw", _raw(text)).withColumn("typed", _typed(first_names))
+    stays = lambda x, i: (x != ".") & (x != "") & ~(x.isin("0", "1") & F.coalesce(F.get("typed", i - 1) == x, F.lit(False)))
+    return df.withColumn("template", F.filter("typed", stays))
+
+
+def plain_tokens() -> Column:
+    """The lower-cased words of ``raw``."""
+    return F.filter(F.transform("raw", F.lower), lambda x: (x != ".") & (x != ""))
+
+
+def with_values(df: DataFrame) -> DataFrame:
+    """``df`` of ``tokenised`` with ``vals``: the words that stand at the places of ``template``, those of a run joined."""
+    df = df.withColumn("at", _starts("typed"))
+    end = lambda k: F.coalesce(F.get("at", k + 1), F.size("raw"))
+    run = lambda i, k: F.filter(F.slice("raw", i + 1, end(k) - i), lambda x: x != ".")
+    return df.withColumn("vals", F.transform("at", lambda i, k: F.lower(F.array_join(run(i, k), " "))))
+
+
+def is_slot(token: Column) -> Column:
+    return token.isin("0", "1", "2")
 
 
 def _windows(df: DataFrame, size: int, keep: list[str]) -> DataFrame:
@@ -89,65 +138,90 @@ def _windows(df: DataFrame, size: int, keep: list[str]) -> DataFrame:
         width *= 2
 
 
-def item_windows(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[int]]:
-    """(row, n_tokens, size, item_pos, hash) of every benchmark item, and the window sizes in use."""
-    items = materialise(benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("item_text"))
-                        .withColumn("row", F.monotonically_increasing_id())
-                        .withColumn("tokens", template(F.col("item_text")))
-                        .withColumn("n_tokens", F.size("tokens")), "benchmark-items")
-    items = items.withColumn("size", F.least("n_tokens", F.lit(WINDOW))).filter(F.col("size") >= MIN_WINDOW)
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # four values at most
+def item_windows(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame | None, list[int]]:
+    """The benchmark's template forms (row, kind, item_id, n_tokens, size, tokens, vals), their windows and the window sizes in use."""
+    src = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("item_text")).withColumn("row", F.monotonically_increasing_id())
+    form = lambda df, kind, tokens, vals: df.select("row", F.lit(kind).alias("kind"), "item_id", tokens.alias("tokens"), vals.alias("vals"))
+    forms = None
+    for kind in (TEMPLATE, FIRST_NAMES):
+        one = form(with_values(tokenised(src, F.col("item_text"), kind == FIRST_NAMES)), kind, F.col("template"), F.col("vals"))
+        forms = one if forms is None else forms.unionByName(one)
+    plain = src.withColumn("raw", _raw(F.col("item_text"))).withColumn("plain", plain_tokens())
+    forms = forms.unionByName(form(plain, PLAIN, F.col("plain"), F.col("plain")))
+    forms = materialise(forms.withColumn("n_tokens", F.size("tokens")).withColumn("size", F.least("n_tokens", F.lit(WINDOW))), "benchmark-forms")
+    forms = forms.filter(F.col("size") >= MIN_WINDOW)
+    sizes = sorted(r["size"] for r in forms.select("size").distinct().collect())  # four values at most
     rows = None
+    keep = ["row", "kind", "n_tokens", "size", "tokens"]
     for s in sizes:
-        w = _windows(items.filter(F.col("size") == s), s, ["row", "item_id", "item_text", "n_tokens", "size", "tokens"])
-        literal = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, F.lit(s)), lambda x: ~x.rlike("^[0-9]+$")))
-        plain = _windows(items.filter(F.col("size") == s).withColumn("tokens", values(F.col("item_text"))), s,
-                         ["row", "item_id", "item_text", "n_tokens", "size", "tokens"])
-        w = w.filter(literal * 2 >= s).unionByName(plain).filter("hash is not null").distinct().select("row", "item_id", "item_text", "n_tokens", "size", F.col("pos").alias("item_pos"), "hash")
+        w = _windows(forms.filter(F.col("size") == s).select(*keep), s, keep)
+        literal = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, F.lit(s)), lambda x: ~is_slot(x)))
+        w = w.filter("hash is not null").filter((F.col("kind") == PLAIN) | (literal * 2 >= s))
+        w = w.select("row", "kind", "n_tokens", "size", F.col("pos").alias("item_pos"), "hash", (F.col("kind") == PLAIN).alias("plain"))
         rows = w if rows is None else rows.unionByName(w)
-    return rows, sizes
+    return forms, rows, sizes
+
+
+def _document_windows(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, th, plain, pos, hash) of the template and the plain windows of each document."""
+    t = tokenised(docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text"), F.col("text"))
+    both = t.select("doc_id", "th", "template", plain_tokens().alias("words")).select(
+        "doc_id", "th", F.posexplode_outer(F.array("template", "words")).alias("form", "tokens"))
+    return _windows(both.select("doc_id", "th", (F.col("form") == 1).alias("plain"), "tokens"), size, ["doc_id", "th", "plain"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                  item_text: str = "text", min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, th (text hash), item_id, n_tokens, covered, n_slots, n_changed of each contaminated pair."""
-    rows, sizes = item_windows(benchmark, item_id, item_text)
+    forms, rows, sizes = item_windows(benchmark, item_id, item_text)
     out_schema = ["doc_id", "th", "item_id", "n_tokens", "covered", "n_slots", "n_changed"]
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     if rows is None:
         no_item = F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id")
         return d.limit(0).select("doc_id", F.xxhash64("text").alias("th"), no_item,
                                  *[F.lit(0).cast("int").alias(c) for c in out_schema[3:]])
-    wins = materialise(rows, "benchmark-windows")
-    side = small_side(wins.select("row", "size", "item_pos", "hash", "n_tokens"), 48)
-    hashed = d.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.explode_outer(
-        F.array(template(F.col("text")), values(F.col("text")))).alias("tokens"))
+    side = small_side(materialise(rows, "benchmark-windows"), 64)
     hits = None
     for s in sizes:
-        h = (_windows(hashed, s, ["doc_id", "th"]).join(side.filter(F.col("size") == s), "hash")
-             .select("doc_id", "th", "row", "n_tokens", "size", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")))
+        h = (_document_windows(d, s).join(side.filter(F.col("size") == s), ["hash", "plain"])
+             .select("doc_id", "th", "row", "kind", "n_tokens", "size", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")))
         hits = h if hits is None else hits.unionByName(h)
-    # windows of one document, item and offset; the starts of an item are bounded by its length
-    starts = hits.groupBy("doc_id", "th", "row", "shift").agg(
-        F.collect_set("item_pos").alias("starts"), F.first("size").alias("size"), F.first("n_tokens").alias("n_tokens"))
-    places = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.col("size") - 1))))
-    enough = (F.size("places") >= min_share * F.col("n_tokens")) | (F.size("places") >= min_tokens)
-    found = materialise(starts.withColumn("places", places).filter(enough)
-                        .select("doc_id", "th", "row", "shift", "n_tokens", "places"), "leak-candidates")
-    # second look, at the candidates only: the values in the slots
-    items = wins.select("row", "item_id", "item_text").distinct()
-    texts = d.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
-    both = (texts.join(small_side(found.join(items, "row"), 1024), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
-            .select("doc_id", "th", "item_id", "row", "n_tokens", "places", "shift",
-                    template(F.col("item_text")).alias("it"), values(F.col("item_text")).alias("iv"), values(F.col("text")).alias("dv")))
-    slot = F.filter("places", lambda p: F.get("it", p).rlike("^[0-9]+$"))
-    pairs = F.transform(slot, lambda p: F.struct(F.get("iv", p).alias("was"), F.get("dv", p + F.col("shift")).alias("now")))
-    checked = both.withColumn("pairs", F.array_distinct(pairs)).filter(
-        F.size("pairs") == F.size(F.array_distinct(F.col("pairs.was"))))
-    best = checked.groupBy("doc_id", "th", "row").agg(F.max(F.struct(
-        F.size("places").alias("covered"), F.size("pairs").alias("n_slots"),
-        F.size(F.filter("pairs", lambda p: ~p["was"].eqNullSafe(p["now"]))).alias("n_changed"), "item_id", "n_tokens")).alias("b"))
-    return best.select("doc_id", "th", "b.item_id", "b.n_tokens", "b.covered", "b.n_slots", "b.n_changed")
+    # offsets within DRIFT of each other share one of two overlapping bands
+    band = lambda at: F.floor((F.col("shift") + at) / (2 * DRIFT))
+    banded = hits.distinct().withColumn("band", F.explode(F.array(band(0) * 2, band(DRIFT) * 2 + 1)))
+    per_band = banded.groupBy("doc_id", "th", "row", "kind", "band").agg(
+        F.collect_list(F.struct("item_pos", "shift")).alias("hits"), F.first("size").alias("size"), F.first("n_tokens").alias("n_tokens"))
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["item_pos"], h["item_pos"] + F.col("size") - 1))))
+    found = materialise(per_band.withColumn("covered", F.size(places)).filter(
+        (F.col("covered") >= min_share * F.col("n_tokens")) | (F.col("covered") >= min_tokens)), "leak-candidates")
+    # second look, at the template candidates only: each document is tokenised once, its slot values written
+    asked = materialise(found.filter(F.col("kind") != PLAIN).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).distinct(), "leak-documents")
+    texts = d.withColumn("th", F.xxhash64("text")).join(
+        small_side(asked, 64), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left_semi")
+    vals = with_values(tokenised(texts, F.col("text"))).select(F.col("doc_id").alias("v_id"), F.col("th").alias("v_th"), F.col("vals").alias("doc_vals"))
+    vals = materialise(vals, "leak-values").dropDuplicates(["v_id", "v_th"])
+    items = forms.select("row", "kind", "item_id", "tokens", F.col("vals").alias("item_vals"))
+    both = (found.filter(F.col("kind") != PLAIN).join(vals, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("th") == F.col("v_th")))
+            .join(items, ["row", "kind"]))
+    slots = lambda h: F.filter(F.sequence(h["item_pos"], h["item_pos"] + F.col("size") - 1), lambda p: is_slot(F.get("tokens", p)))
+    pair = lambda p, h: F.struct(F.get("item_vals", p).alias("was"), F.get("doc_vals", p + h["shift"]).alias("now"))
+    pairs = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(slots(h), lambda p: pair(p, h)))))
+    both = both.select("doc_id", "th", "item_id", "row", "n_tokens", "covered", pairs.alias("pairs"))
+    told = (both.withColumn("n_slots", F.size("pairs")).withColumn("agrees", F.size("pairs") == F.size(F.array_distinct("pairs.was")))
+            .withColumn("n_changed", F.size(F.filter("pairs", lambda p: ~p["was"].eqNullSafe(p["now"])))).drop("pairs").withColumn("verbatim", F.lit(False)))
+    zero = F.lit(0).cast("int")
+    words = (found.filter(F.col("kind") == PLAIN).join(items.select("row", "kind", "item_id"), ["row", "kind"])
+             .select("doc_id", "th", "item_id", "row", "n_tokens", "covered", zero.alias("n_slots"), F.lit(True).alias("agrees"),
+                     zero.alias("n_changed"), F.lit(True).alias("verbatim")))
+    # equal words are evidence unless the template covers more of the item and its slots disagree
+    view = F.struct(F.col("covered"), (-F.col("n_changed")).alias("kept"), "n_slots", "item_id", "n_tokens")
+    share = F.col("covered") / F.col("n_tokens")
+    best = told.unionByName(words).groupBy("doc_id", "th", "row").agg(
+        F.max(F.when(F.col("agrees") & ~F.col("verbatim"), view)).alias("template"), F.max(F.when(F.col("verbatim"), view)).alias("plain"),
+        F.max(F.when(F.col("verbatim"), share)).alias("plain_share"), F.max(F.when(~F.col("agrees"), share)).alias("against"))
+    plain = F.when(F.col("against").isNull() | (F.col("plain_share") >= F.col("against")), F.col("plain"))
+    best = best.select("doc_id", "th", F.greatest("template", plain).alias("b")).filter("b is not null")
+    return best.select("doc_id", "th", "b.item_id", "b.n_tokens", "b.covered", "b.n_slots", (-F.col("b.kept")).alias("n_changed"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -184,6 +184,25 @@ def test_templates_and_slots(leaks):
     assert got[0, 1]["n_changed"] == 0 and got[1, 1]["n_changed"] == 3
 
 
+@pytest.mark.parametrize("old,new", [("Boston", "New York"), ("Boston", "Salt Lake City"), ("120", "one hundred and twenty"), ("120 km", "120km"), ("120", "1,250.5")])
+def test_reparameterised_items(leaks, old, new):
+    """A name run or a number of several words is one placeholder, a unit may be glued to its number."""
+    assert old in ITEM
+    got = leaks([f"Here it comes: {ITEM.replace(old, new)} That was it."])
+    assert set(got) == {(0, 1)}
+
+
+def test_coverage_is_summed_over_neighbouring_offsets(leaks):
+    w = ITEM.split()
+    cut = w[:len(w) // 2] + ["really", "very"] + w[len(w) // 2:]
+    assert set(leaks([" ".join(cut)])) == {(0, 1)}
+
+
+def test_a_repeated_item_is_found_once(leaks):
+    got = leaks([" and then ".join([ITEM] * 40)])
+    assert set(got) == {(0, 1)} and got[0, 1]["n_changed"] == 0
+
+
 def test_leak_cases(leaks, odd_texts):
     got = leaks([*odd_texts, (50, ITEM), (50, ITEM), (None, ITEM)], [(1, ITEM), (2, ITEM), (3, None), (4, ""), (5, "too short"), (None, ITEM),
                                                                     (7, "exactly six words stand right here")])
