@@ -52,57 +52,59 @@ NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven tw
 TEMPLATE, FIRST_NAMES, PLAIN = 0, 1, 2
 
 
-def _raw(text: Column) -> Column:
-    """Words in their own case, a ``.`` token at each sentence end, units apart from their numbers."""
+#: Words that need a second look; all others are literals or names.
+_SPECIAL = (*NUMBER_WORDS, *UNITS, "and", ".")
+
+
+def _spaced(text: Column) -> Column:
+    """Words apart by one space, a ``.`` token at each sentence end, units apart from their numbers."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("%"), F.lit(" percent "))
-    t = F.regexp_replace(t, r"(\p{N})[.,](?=\p{N})", "$1")
-    t = F.regexp_replace(t, r"(\p{N})(?=\p{L})", "$1 ")
+    t = F.regexp_replace(F.regexp_replace(t, r"([0-9])[.,](?=[0-9])", "$1"), r"([0-9])(?=\p{L})", "$1 ")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}.!?:]+", " ")
-    return F.split(F.trim(F.regexp_replace(t, r"(?: ?[.!?:])+ ?", " . ")), " ")
+    return F.trim(F.regexp_replace(t, r"(?: ?[.!?:])+ ?", " . "))
 
 
 def _typed(first_names: bool) -> Column:
-    """The template token of each token of ``raw``; runs are not yet joined."""
+    """The template token of each token of ``low``; runs are not yet joined."""
     digit = lambda x: (x >= "0") & (x < ":")
-    number = lambda x: digit(x) | F.lower(x).isin(*NUMBER_WORDS)
+    number = lambda x: F.coalesce(digit(x) | x.isin(*NUMBER_WORDS), F.lit(False))
 
     def one(x, i):
-        head, before, after = F.substring(x, 1, 1), F.get("raw", i - 1), F.get("raw", i + 1)
-        name = F.lower(head) != head
+        before, after = F.get("low", i - 1), F.get("low", i + 1)
+        special = (F.when(x.isin(*NUMBER_WORDS), "0").when((x == "and") & F.coalesce(before.isin(*NUMBER_WORDS) & after.isin(*NUMBER_WORDS), F.lit(False)), "0")
+                   .when(x.isin(*UNITS) & number(before), "2"))
+        name = F.get("raw", i) != x
         if not first_names:
             name = name & (F.coalesce(before, F.lit(".")) != ".")
-        word = F.lower(x)
-        between = (word == "and") & F.coalesce(F.lower(before).isin(*NUMBER_WORDS) & F.lower(after).isin(*NUMBER_WORDS), F.lit(False))
-        unit = word.isin(*UNITS) & F.coalesce(number(before), F.lit(False))
-        return F.when(number(x) | between, "0").when(unit, "2").when(name, "1").otherwise(word)
+        return F.when(digit(x), "0").otherwise(F.coalesce(F.when(x.isin(*_SPECIAL), special), F.when(name, "1"), x))
 
-    return F.transform("raw", one)
+    return F.transform("low", one)
 
 
-def _starts(typed: str) -> Column:
-    """Places of the tokens that stay: no sentence ends, one of a run of numbers or names."""
-    return F.filter(F.transform(typed, lambda x, i: F.when(
-        (x != ".") & (x != "") & ~(x.isin("0", "1") & F.coalesce(F.get(typed, i - 1) == x, F.lit(False))), i)), lambda i: i.isNotNull())
+def _stays(x: Column, i: Column) -> Column:
+    """False for sentence ends and for all but the first of a run of numbers or names."""
+    return ~x.isin("", ".", "0", "1") | x.isin("0", "1") & F.coalesce(F.get("typed", i - 1) != x, F.lit(True))
 
 
-def tokenised(df: DataFrame, text: Column, first_names: bool = False) -> DataFrame:
-    """``df`` with ``raw``, ``typed`` and ``template``. Each array is a column of its own, as lambdas look into it."""
-    df = df.withColumn("raw", _raw(text)).withColumn("typed", _typed(first_names))
-    stays = lambda x, i: (x != ".") & (x != "") & ~(x.isin("0", "1") & F.coalesce(F.get("typed", i - 1) == x, F.lit(False)))
-    return df.withColumn("template", F.filter("typed", stays))
+def _starts() -> Column:
+    """Places of the tokens of ``typed`` that stay."""
+    return F.filter(F.transform("typed", lambda x, i: F.when(_stays(x, i), i)), lambda i: i.isNotNull())
 
 
-def plain_tokens() -> Column:
-    """The lower-cased words of ``raw``."""
-    return F.filter(F.transform("raw", F.lower), lambda x: (x != ".") & (x != ""))
+def tokenised(df: DataFrame, text: Column, first_names: bool = False) -> DataFrame:
+    """``df`` with ``raw``, ``low``, ``words`` (plain), ``typed`` and ``template``. Each array is a column of its own, as lambdas look into it."""
+    df = df.withColumn("spaced", _spaced(text)).withColumn("lower", F.lower("spaced"))
+    df = df.withColumn("raw", F.split("spaced", " ")).withColumn("low", F.split("lower", " "))
+    df = df.withColumn("words", F.filter("low", lambda x: ~x.isin("", "."))).drop("spaced", "lower")
+    return df.withColumn("typed", _typed(first_names)).withColumn("template", F.filter("typed", _stays))
 
 
 def with_values(df: DataFrame) -> DataFrame:
     """``df`` of ``tokenised`` with ``vals``: the words that stand at the places of ``template``, those of a run joined."""
-    df = df.withColumn("at", _starts("typed"))
-    end = lambda k: F.coalesce(F.get("at", k + 1), F.size("raw"))
-    run = lambda i, k: F.filter(F.slice("raw", i + 1, end(k) - i), lambda x: x != ".")
-    return df.withColumn("vals", F.transform("at", lambda i, k: F.lower(F.array_join(run(i, k), " "))))
+    df = df.withColumn("at", _starts())
+    end = lambda k: F.coalesce(F.get("at", k + 1), F.size("low"))
+    run = lambda i, k: F.filter(F.slice("low", i + 1, end(k) - i), lambda x: x != ".")
+    return df.withColumn("vals", F.transform("at", lambda i, k: F.array_join(run(i, k), " ")))
 
 
 def is_slot(token: Column) -> Column:
@@ -146,8 +148,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFra
     for kind in (TEMPLATE, FIRST_NAMES):
         one = form(with_values(tokenised(src, F.col("item_text"), kind == FIRST_NAMES)), kind, F.col("template"), F.col("vals"))
         forms = one if forms is None else forms.unionByName(one)
-    plain = src.withColumn("raw", _raw(F.col("item_text"))).withColumn("plain", plain_tokens())
-    forms = forms.unionByName(form(plain, PLAIN, F.col("plain"), F.col("plain")))
+    forms = forms.unionByName(form(tokenised(src, F.col("item_text")), PLAIN, F.col("words"), F.col("words")))
     forms = materialise(forms.withColumn("n_tokens", F.size("tokens")).withColumn("size", F.least("n_tokens", F.lit(WINDOW))), "benchmark-forms")
     forms = forms.filter(F.col("size") >= MIN_WINDOW)
     sizes = sorted(r["size"] for r in forms.select("size").distinct().collect())  # four values at most
@@ -163,11 +164,12 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFra
 
 
 def _document_windows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, th, plain, pos, hash) of the template and the plain windows of each document."""
+    """(doc_id, th, form, pos, hash) of the windows of each document: 0 template, 1 plain, 2 both where they are equal."""
     t = tokenised(docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text"), F.col("text"))
-    both = t.select("doc_id", "th", "template", plain_tokens().alias("words")).select(
-        "doc_id", "th", F.posexplode_outer(F.array("template", "words")).alias("form", "tokens"))
-    return _windows(both.select("doc_id", "th", (F.col("form") == 1).alias("plain"), "tokens"), size, ["doc_id", "th", "plain"])
+    view = lambda form, tokens: F.struct(F.lit(form).alias("form"), F.col(tokens).alias("tokens"))
+    views = F.when(F.col("template") == F.col("words"), F.array(view(2, "words"))).otherwise(F.array(view(0, "template"), view(1, "words")))
+    both = t.select("doc_id", "th", F.explode_outer(views).alias("view"))
+    return _windows(both.select("doc_id", "th", "view.form", "view.tokens"), size, ["doc_id", "th", "form"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -183,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     side = small_side(materialise(rows, "benchmark-windows"), 64)
     hits = None
     for s in sizes:
-        h = (_document_windows(d, s).join(side.filter(F.col("size") == s), ["hash", "plain"])
+        h = (_document_windows(d, s).join(side.filter(F.col("size") == s), "hash").filter(F.col("form").isin(2, F.col("plain").cast("int")))
              .select("doc_id", "th", "row", "kind", "n_tokens", "size", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")))
         hits = h if hits is None else hits.unionByName(h)
     # offsets within DRIFT of each other share one of two overlapping bands
