@@ -31,9 +31,11 @@ from logvault.llm.common import materialise, pieces, read_table
 CAPACITY = 2048
 END_ID = 0
 #: Words in each of the two generations a Python worker remembers; the memory bound of the word table.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: Branch-and-bound nodes for one filling; at the limit the incumbent is taken (never a lost piece).
 NODES = 20_000
+#: Whole packings tried with another filling of one sequence, while none reaches the lower bound (cost only: the best one found stays).
+TURNS = 64
 
 
 # ---- token ids -------------------------------------------------------------
@@ -52,11 +54,13 @@ class WordIds(dict):
     """Ids of a white-space separated word as little-endian bytes; filled on demand.
 
     The tokenizer treats words apart (white space only separates), so the ids of
-    a text are those of its words in order. Words of Latin letters and ASCII
-    signs go straight to the BPE model; all others through the whole tokenizer.
+    a text are those of its words in order. A new word of Latin letters and ASCII
+    signs is put together from its lower-cased runs of letters and of signs, which
+    are entries too; a new run goes straight to the BPE model. All other words go
+    through the whole tokenizer.
     """
 
-    PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+")
+    PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+", re.I)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,25 +69,38 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.alphabet = _byte_chars()
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.packed = [i.to_bytes(2 if size <= 1 << 16 else 4, "little") for i in range(size)]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:  # words not used since the last time drop out with the older generation
             self.older = dict(self)
             self.clear()
-        if word in self.older:
-            out = self[word] = self.older[word]
-            return out
-        text = word.decode("utf-8", "replace")
-        parts = self.PLAIN.findall(text)
-        if sum(map(len, parts)) == len(text):
-            ids = [t.id for p in parts for t in self.model.tokenize(
-                p.lower().encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        out = self[word] = np.array(ids, self.dtype).tobytes()
+        out = self.older.get(word)
+        if out is None:
+            if word.isalpha():  # ASCII letters: their own characters in the byte alphabet
+                low = word.lower()
+                out = self[low] if low != word else self._tokenise(word.decode())
+            else:
+                out = self._mixed(word)
+        self[word] = out
         return out
 
+    def _tokenise(self, run: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(run)])
+
+    def _mixed(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        runs = self.PLAIN.findall(text)
+        if sum(map(len, runs)) != len(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        runs = [r.lower().encode() for r in runs]
+        if len(runs) == 1 and runs[0] == word:
+            return self._tokenise(word.decode("latin-1").translate(self.alphabet))
+        return b"".join([self[r] for r in runs])
+
 
 _TABLES: dict[str, WordIds] = {}
 
@@ -186,21 +203,28 @@ def _fill(avail: list[int], count: dict[int, int], gap: int, nodes: int) -> tupl
     return best
 
 
-def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, slack: int | None = None,
+                   turn: int | None = None) -> list[tuple[tuple[int, ...], int]] | None:
     """Patterns (lengths of one sequence, copies) that use up the histogram.
 
     Around the largest length left the gap is filled with the least waste; the
-    pattern is repeated as long as its lengths last.
+    pattern is repeated as long as its lengths last. Pattern number ``turn`` takes
+    the other branch: a filling without the first length of the best one. None as
+    soon as more than ``slack`` tokens are wasted: the packing cannot beat its
+    incumbent any more.
     """
     count = {k: v for k, v in hist.items() if v}
-    out = []
+    out, wasted = [], 0
     while count:
         avail = sorted(count, reverse=True)
         top = avail[0]
         count[top] -= 1
         gap = capacity - top
         fits = [a for a in avail if a <= gap and count[a]]
-        pattern = (top, *_fill(fits, count, gap, nodes))
+        filling = _fill(fits, count, gap, nodes)
+        if len(out) == turn and filling:
+            filling = _fill([a for a in fits if a != filling[0]], count, gap, nodes)
+        pattern = (top, *filling)
         count[top] += 1
         need = {s: pattern.count(s) for s in set(pattern)}
         copies = min(count[s] // n for s, n in need.items())
@@ -209,6 +233,10 @@ def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int =
             if not count[s]:
                 del count[s]
         out.append((tuple(sorted(pattern, reverse=True)), copies))
+        # the waste of the last sequence is no loss: it is what the rest leaves open
+        wasted += copies * (capacity - sum(pattern)) if count else 0
+        if slack is not None and wasted > slack:
+            return None
     return out
 
 
@@ -217,9 +245,26 @@ def best_fit(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple
     return bin_completion(hist, capacity, nodes=0)
 
 
+def lower_bound(hist: dict[int, int], capacity: int = CAPACITY) -> int:
+    """No packing has fewer sequences: all tokens in full sequences, and lengths over a half apart from each other."""
+    return max(-(-sum(k * n for k, n in hist.items()) // capacity), sum(n for k, n in hist.items() if 2 * k > capacity))
+
+
 def plan_packing(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """The better of bin completion and its best-fit incumbent; stops early at the lower bound."""
-    return min((bin_completion(hist, capacity), best_fit(hist, capacity)), key=lambda p: sum(c for _, c in p))
+    """The best packing found: bin completion, then best-fit as an incumbent, then bin
+    completion with another filling of one sequence; stops at the lower bound."""
+    size = lambda plan: sum(c for _, c in plan)
+    best, least = bin_completion(hist, capacity), lower_bound(hist, capacity)
+    if size(best) > least:
+        best = min(best, best_fit(hist, capacity), key=size)
+    tokens = sum(k * n for k, n in hist.items())
+    for turn in range(TURNS):
+        if size(best) <= least:
+            break
+        plan = bin_completion(hist, capacity, slack=(size(best) - 1) * capacity - tokens, turn=turn)
+        if plan is not None and size(plan) < size(best):
+            best = plan
+    return best
 
 
 def _ranges(plan) -> np.ndarray:

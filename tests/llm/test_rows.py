@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -168,6 +169,44 @@ def test_packing_cases(docs_of, odd_texts, tokenizer):
     assert P.pack(docs_of([]), P.tokenizer_path()).count() == 0
 
 
+def test_packing_plans_use_every_length_and_stop_at_the_bound():
+    rng = random.Random(3)
+    for cap, n, low, high in ((100, 400, 20, 70), (100, 300, 26, 40), (30, 60, 5, 14), (64, 80, 20, 40), (10, 0, 1, 2)):
+        hist = Counter(rng.randint(low, high) for _ in range(n))
+        plan = P.plan_packing(hist, cap)
+        used = Counter()
+        for pattern, copies in plan:
+            assert sum(pattern) <= cap
+            for x in pattern:
+                used[x] += copies
+        assert used == hist
+        count = sum(c for _, c in plan)
+        assert P.lower_bound(hist, cap) <= count <= sum(c for _, c in P.best_fit(hist, cap))
+
+
+def test_another_filling_of_one_sequence():
+    """A packing cannot beat its incumbent once its waste exceeds the slack; a turn takes the other branch."""
+    hist = Counter({6: 1, 4: 1, 3: 1, 7: 1})
+    assert P.bin_completion(hist, 10, slack=-1) is None
+    assert P.bin_completion(hist, 10) == [((7, 3), 1), ((6, 4), 1)]
+    assert P.bin_completion(hist, 10, turn=0)[0] == ((7,), 1)
+
+
+def test_word_table_equals_the_tokenizer():
+    """Words put together from runs, and words of every other kind, in any case and generation."""
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(P.tokenizer_path())
+    plain.encode_special_tokens = True
+    text = ("Thing, THING thing. don't DON'T (thing) [x]y'll 12,5 a1b2 É éÉ naïve ÄÖÜß straße İstanbul œuvre ½ x² ☃ a\u0301b ﬁne <|endoftext|> '' 's -- --a- "
+            "ÿÖ× ÷ ñandú/ñu _under_score a.b.c 日本語 Ωmega")
+    words = text.split()
+    got = P.text_ids(text.encode(), P.tokenizer_path()).tolist()
+    assert got == plain.encode(text, add_special_tokens=False).ids
+    table = P.WordIds(P.tokenizer_path())
+    for w in words * 2:
+        assert np.frombuffer(table[w.encode()], table.dtype).tolist() == plain.encode(w, add_special_tokens=False).ids
+
+
 def test_bin_completion_beats_best_fit():
     # best fit takes 6+3 and strands the 5s; completion finds 6+4 and 5+5
     hist = {6: 2, 5: 2, 4: 2, 3: 0}
