@@ -17,11 +17,14 @@ from logvault.session import scratch_path, ship_package
 
 #: Python workers handle at most about this many text bytes at a time.
 CHUNK_BYTES = 1 << 20
+#: Rows of one Arrow batch: whole texts, so batches stay small beside an executor's heap.
+BATCH_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; also ships the package to the Python workers."""
+    """One of the given tables; also ships the package to the Python workers and keeps their Arrow batches small."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
