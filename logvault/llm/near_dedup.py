@@ -50,7 +50,7 @@ CHUNK = SYMBOLS // CHUNKS
 MAX_DISTANCE = 20  # looser than the guaranteed 15; full sets decide
 PERCENT = 85
 BUCKET_ROWS = 4096
-GROUP_ROWS, GROUP_BYTES = 512, 8 << 20
+GROUP_ROWS, GROUP_BYTES = 2048, 8 << 20
 PIVOTS = 8
 
 MISS_KEYS, MISS_DISTANCE = 1e-5, 2e-6
@@ -263,20 +263,20 @@ def _cell_edges(cells: DataFrame, work, kernel, limit: int) -> DataFrame:
             .mapInArrow(partial(work, kernel=kernel, limit=limit), "a bigint, b bigint"))
 
 
-def group_links(small: DataFrame, large: DataFrame, kernel, limit: int) -> DataFrame:
+def group_links(small: DataFrame, large: DataFrame | None, kernel, limit: int) -> DataFrame:
     """Edges (a, b) with the components of all near pairs within the groups of (grp, rep, data, nb).
 
-    Groups in ``small`` fit in a cell (nb = 1). Those in ``large`` need ``nb``
-    blocks of rows; a few pivots come first: every member meets ``PIVOTS`` of them.
+    Groups in ``small`` fit in a cell (nb = 1). Those in ``large``, if any, need
+    ``nb`` blocks of rows; a few pivots come first: every member meets ``PIVOTS`` of them.
     The members near to pivots that hang together are one component and need
     no further comparison; the rest meets them, and itself, block by block. So
     copies of one text cost as many rows as members, not their square.
     """
     zero = F.lit(0).cast("bigint")
     edges = _cell_edges(small.select("grp", zero.alias("lo"), zero.alias("hi"), "rep", "data"), _star_edges, kernel, limit)
-    large = materialise(large.select("grp", "rep", "data", F.col("nb").cast("bigint").alias("nb")), "large-groups")
-    if large.isEmpty():
+    if large is None:
         return edges
+    large = materialise(large.select("grp", "rep", "data", F.col("nb").cast("bigint").alias("nb")), "large-groups")
     order = Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep")
     pivots = large.withColumn("bit", F.row_number().over(order) - 1).filter(F.col("bit") < PIVOTS)
     cell = lambda df, lo, hi, kind: df.select("grp", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), kind.cast("int").alias("kind"), "rep", "data")
@@ -317,7 +317,8 @@ def candidate_groups(classes: DataFrame, max_distance: int = MAX_DISTANCE) -> Da
     members = materialise(keys.join(shared, "key").select(
         F.col("key").alias("grp"), "rep", F.ceil(F.col("n") / BUCKET_ROWS).alias("nb")), "bucket-members")
     signed_rows = lambda df: df.join(classes.select("rep", F.col("sig").alias("data")), "rep")
-    edges = group_links(signed_rows(members.filter("nb = 1")), signed_rows(members.filter("nb > 1")), SignatureKernel, max_distance)
+    large = members.filter("nb > 1")
+    edges = group_links(signed_rows(members.filter("nb = 1")), None if large.isEmpty() else signed_rows(large), SignatureKernel, max_distance)
     return connected_components(edges.distinct())
 
 
@@ -347,7 +348,8 @@ def links(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int =
         return hit.mapInArrow(_with_sets, "rep bigint, component bigint, n bigint, shingles binary").select(
             F.col("component").alias("grp"), "rep", F.col("shingles").alias("data"), F.col("n").alias("nb"))
 
-    return group_links(sets(want.filter("n = 1")), sets(want.filter("n > 1")), SetKernel, percent)
+    large = want.filter("n > 1")
+    return group_links(sets(want.filter("n = 1")), None if large.isEmpty() else sets(large), SetKernel, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
