@@ -111,4 +111,7 @@ def registry() -> tuple[dict, dict]:
     from logvault.plans import sql_queries
     q.update(sql_queries.QUERIES)
     sql.update(sql_queries.oracles())
+    from logvault.plans import index_queries
+    q.update(index_queries.QUERIES)
+    sql.update(index_queries.oracles())
     return q, sql
