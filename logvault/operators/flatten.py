@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvault.functions.variant import bucket_of_type, is_array, is_object
+from logvault.functions.variant import bucket_of_type, is_array, is_object, let
 
 DEFAULT_DEPTH = None  # as many levels as the document has
 BUCKETS = ("string", "int", "float", "bool")
@@ -37,16 +37,10 @@ def _children(x: Column) -> Column:
                                                 (is_object(k["v"]) | is_array(k["v"])).alias("c")))
 
 
-def _let(expr: Column, fn) -> Column:
-    """Evaluate ``expr`` once and pass it to ``fn`` (a one-element array and
-    a lambda), so an expression used twice is not copied into the plan."""
-    return F.element_at(F.transform(F.array(expr), fn), 1)
-
-
 def _step(s: Column) -> Column:
     """One level: expand pending containers; finished scalars move to ``done``.
     A row with nothing pending passes its state through unchanged."""
-    expanded = _let(F.flatten(F.transform(s["todo"], _children)), lambda kids: F.struct(
+    expanded = let(F.flatten(F.transform(s["todo"], _children)), lambda kids: F.struct(
         F.concat(s["done"], F.filter(kids, lambda x: ~x["c"])).alias("done"),
         F.filter(kids, lambda x: x["c"]).alias("todo")))
     return F.when(F.size(s["todo"]) == 0, s).otherwise(expanded)
@@ -65,7 +59,7 @@ def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int
     """
     vcol = F.col(v) if isinstance(v, str) else v
     root = F.array(F.struct(F.lit("").alias("p"), vcol.alias("v"), (is_object(vcol) | is_array(vcol)).alias("c")))
-    start = _let(root, lambda r: F.struct(F.filter(r, lambda x: ~x["c"]).alias("done"),
+    start = let(root, lambda r: F.struct(F.filter(r, lambda x: ~x["c"]).alias("done"),
                                           F.filter(r, lambda x: x["c"]).alias("todo")))
     if depth is None:
         text = F.to_json(vcol)
@@ -84,7 +78,7 @@ def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int
             lambda x: x["t"].isNotNull())
         return F.when(F.size(s["todo"]) > 0,
                       F.raise_error(msg).cast("array<struct<p:string,t:string,v:variant>>")).otherwise(typed)
-    return df.withColumn(out, _let(state, finish))
+    return df.withColumn(out, let(state, finish))
 
 
 def _is_bucket(b: str):

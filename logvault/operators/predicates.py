@@ -14,6 +14,7 @@ boolean Column for one layout. Semantics are fixed here, not by the layout:
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logvault.functions.tokens import text_tokens, tokens, wildcard_regex
-from logvault.layouts.base import Resolver
+from logvault.layouts.base import EXACT, Resolver
 
 
 class Pred:
@@ -42,6 +43,19 @@ def _is_num(v) -> bool:
     return isinstance(v, (int, float)) and not isinstance(v, bool)
 
 
+_OPS = {"eq": operator.eq, "gt": operator.gt, "ge": operator.ge, "lt": operator.lt, "le": operator.le}
+
+
+def _compare(r: Resolver, path, op: str, value) -> Column:
+    """Numeric comparison. Integers that a double cannot tell apart are compared
+    as wide decimals; numbers beyond those (1e20 and more) as doubles."""
+    if isinstance(value, int) and 1 << 53 <= abs(value) < 10 ** 20:
+        exact = _OPS[op](r.exact_number(path), F.lit(str(value)).cast(EXACT))
+        return F.coalesce(exact, _OPS[op](r.number(path), F.lit(float(value))))
+    x, v = r.equality_operands(path, value) if op == "eq" else r.numeric_operands(path, value)
+    return _OPS[op](x, v)
+
+
 @dataclass(frozen=True)
 class Exists(Pred):  # P01
     path: str
@@ -65,8 +79,7 @@ class Eq(Pred):  # P03 (number) / P04 (string)
 
     def column(self, r):
         if _is_num(self.value):
-            x, v = r.equality_operands(self.path, self.value)
-            return x == v
+            return _compare(r, self.path, "eq", self.value)
         if isinstance(self.value, bool):
             return r.text(self.path) == F.lit("true" if self.value else "false")
         return r.text(self.path) == F.lit(self.value)
@@ -115,8 +128,7 @@ class Cmp(Pred):  # P09
     value: float
 
     def column(self, r):
-        x, v = r.numeric_operands(self.path, self.value)
-        return {"gt": x > v, "ge": x >= v, "lt": x < v, "le": x <= v}[self.op]
+        return _compare(r, self.path, self.op, self.value)
 
 
 def gt(path, v):

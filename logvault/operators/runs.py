@@ -1,8 +1,8 @@
 """Run analytics over recorded resource samples: T01, T03, J01-J04, A06-A09.
 
 Samples are ``ps aux`` text lines recorded per run at polling times. All
-joins are against small, size-checked configuration tables (broadcast) or
-equi-joins on ``run_id`` that Spark plans itself (AQE splits a hot run).
+joins are equi-joins without hints that Spark plans itself: on ``run_id``, on
+prefixes of process names, or on bins of time (AQE splits a hot key).
 """
 
 from __future__ import annotations
@@ -58,6 +58,34 @@ def assign_samples(samples: DataFrame, runs: DataFrame, ts: str = "ts") -> DataF
             .drop("_start", "_end"))
 
 
+def _micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP or TIMESTAMP_NTZ column, in its own reading."""
+    kind = df.schema[col].dataType.simpleString()
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(kind), F.col(f"`{col}`"))
+
+
+def assign_by_time(samples: DataFrame, runs: DataFrame, ts: str = "ts", run_id: str = "run_id",
+                   start: str = "start", end: str = "end") -> DataFrame:
+    """J02 by time alone: each sample with every run that was active at its time
+    (``start <= ts <= end``), as the sample's columns and ``run_id``.
+
+    A binned interval join: time is cut into bins as long as the mean run, each
+    run stands in the bins it touches (a long run is split over many) and samples
+    meet runs of their bin only, in an equi-join that AQE splits where a bin is
+    hot. The runs grow to two rows each on average and one more, whatever their
+    lengths. Runs without a start or an end and those that end before they start
+    take no sample; a sample outside all runs is left out; equal runs each count.
+    """
+    r = runs.select(F.col(f"`{run_id}`").alias("_run"), _micros(runs, start).alias("_from"), _micros(runs, end).alias("_to")).filter("_from <= _to")
+    width = max(1, int(r.agg(F.avg(F.col("_to") - F.col("_from"))).first()[0] or 0))
+    bin_of = lambda micros: F.floor(micros / F.lit(width))
+    binned = r.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(F.col("_to")))))
+    at = samples.withColumn("_at", _micros(samples, ts)).withColumn("_bin", bin_of(F.col("_at")))
+    met = at.join(binned, "_bin").filter((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to")))
+    keep = [F.col(f"`{c}`") for c in samples.columns if c != run_id]
+    return met.select(*keep, F.col("_run").alias(run_id))
+
+
 def run_memory_avg(runs: DataFrame, totals: DataFrame) -> DataFrame:
     """Mean total RSS per run; -1 when the run has no sample."""
     m = totals.groupBy("run_id").agg(F.avg("total_rss_bytes").alias("_m"))

@@ -114,4 +114,7 @@ def registry() -> tuple[dict, dict]:
     from logvault.plans import index_queries
     q.update(index_queries.QUERIES)
     sql.update(index_queries.oracles())
+    from logvault.plans import item_queries
+    q.update(item_queries.QUERIES)
+    sql.update(item_queries.oracles())
     return q, sql

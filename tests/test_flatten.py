@@ -43,10 +43,18 @@ def test_edge_leaves(spark):
             assert sorted(got[i]) == want, d
 
 
-def test_int_beyond_64_bits_raises(spark):
-    df = spark.createDataFrame([('{"a": 123456789012345678901}',)], "line string")
-    with pytest.raises(Exception, match="64 bits"):
-        leaf_paths(df.select(F.parse_json("line").alias("j")), "j").collect()
+def test_int_beyond_64_bits_is_a_float_leaf(spark):
+    """One such integer ends neither an ingest nor a catalogue nor a search."""
+    from logvault.layouts import get_layout
+    from logvault.operators.predicates import HasBucket
+    from logvault.operators.search import search
+    lines = spark.createDataFrame([('{"a": 123456789012345678901}',), ('{"a": 7}',)], "line string")
+    got = leaf_paths(lines.select(F.parse_json("line").alias("j")), "j").collect()
+    assert sorted((r.path, r.type, r.value) for r in got) == [("a", "float", "123456789012345678901"), ("a", "int", "7")]
+    for name in ("variant", "pairwise", "document"):
+        lay = get_layout(name)
+        assert search(lay.build(lines), lay, HasBucket("a", "float")).count() == 1
+        assert search(lay.build(lines), lay, HasBucket("a", "int")).count() == 1
 
 
 def test_depth_guard(spark):
