@@ -61,11 +61,12 @@ def _java_text(x: Column) -> Column:
     """The fewest digits that give a finite number back, as Java writes them (``1.5E-7``)."""
     def few(java):
         # Java before 19 writes more digits than needed of some numbers of 16 and more, and of the smallest ones
-        many = F.length(F.regexp_replace(F.substring_index(java, "E", 1), r"[-.]", "")) > 15
+        n = F.length(F.regexp_replace(F.substring_index(java, "E", 1), r"[-.]", ""))
+        many = n > 15
         text = lambda k: F.upper(F.replace(F.format_string(f"%.{k - 1}e", x), F.lit("e+"), F.lit("e")))
         head = F.substring_index(java, "E", 1)
         cut = lambda n: F.concat(F.substr(head, F.lit(1), F.length(head) - n), F.substr(java, F.length(head) + 1))
-        tried = [text(1), text(2), text(3), text(15), cut(2), text(16), cut(1), text(17)]
+        tried = [text(1), text(2), text(3), text(15), text(16), F.when(n == 17, cut(1)).otherwise(cut(2)), text(17), cut(1)]
         short = [let(t, lambda t: F.when(t.try_cast("double") == x, t)) for t in tried]
         return F.when((x != 0) & (many | (F.abs(x) < 1e-307)), F.coalesce(*short, java)).otherwise(java)
     return let(x.cast("string"), few)
