@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,7 +131,7 @@ class StructResolver(Resolver):
                 f = next((f for f in dtype.fields if f.name == s), None)
                 if f is None:
                     return None, None
-                col = F.col(f"`{s}`") if col is None else col.getField(s)
+                col = F.col(_field_name(s)) if col is None else col.getField(s)
                 dtype = f.dataType
             elif isinstance(dtype, T.ArrayType) and isinstance(s, int):
                 col, dtype = F.get(col, F.lit(s)), dtype.elementType
@@ -198,6 +200,10 @@ class StructResolver(Resolver):
         return c.isNotNull() if isinstance(t, want) else F.lit(False)
 
 
+#: VARIANT object of the top-level fields that have no column of their own (L4, merged types).
+REST = "rest_fields"
+
+
 @dataclass
 class InferredLayout(Layout):
     """L3: struct schema inferred over the whole input (case-sensitive names).
@@ -237,6 +243,135 @@ class InferredLayout(Layout):
         return StructResolver(df.schema)
 
 
+def _field_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _ddl(t: T.DataType) -> str:
+    """Type text with quoted field names."""
+    if isinstance(t, T.StructType):
+        return "struct<" + ",".join(f"{_field_name(f.name)}:{_ddl(f.dataType)}" for f in t.fields) + ">"
+    return t.simpleString()
+
+
+def merged_schema(df: DataFrame, v: str = "j") -> T.StructType:
+    """Schema of all documents of the VARIANT column ``v``: one distributed aggregate merges the types of every path.
+
+    Integers, strings, booleans and objects stay typed; a path whose types
+    differ, and every other kind of value (fractions, arrays, empty objects, only
+    nulls), is VARIANT, which keeps each value as it is. Fields of one object
+    whose names differ in case only make that object VARIANT (at the root: stay
+    out of the schema), so no session setting decides what a name means.
+    """
+    text = df.select(F.schema_of_variant_agg(v)).first()[0] or "VOID"
+    quoted = re.split(r"(`(?:[^`]|``)*`)", text)  # names in quotes stay as they are
+    ddl = "".join(p if i % 2 else p.replace("OBJECT<", "STRUCT<").replace("VOID", "VARIANT") for i, p in enumerate(quoted))
+    kind = T._parse_datatype_string(ddl)
+
+    def distinct(names):
+        count = Counter(n.lower() for n in names)
+        return [n for n in names if count[n.lower()] == 1]
+
+    def settle(t):
+        if isinstance(t, (T.LongType, T.StringType, T.BooleanType)):
+            return t
+        if isinstance(t, T.StructType) and t.fields and len(distinct(t.names)) == len(t.fields):
+            return T.StructType([T.StructField(f.name, settle(f.dataType)) for f in t.fields])
+        return T.VariantType()
+
+    if not isinstance(kind, T.StructType):
+        return T.StructType([])
+    own = [n for n in distinct(kind.names) if n.lower() != REST]
+    return T.StructType([T.StructField(f.name, settle(f.dataType)) for f in kind.fields if f.name in own])
+
+
+class MergedResolver(StructResolver):
+    """Typed columns and fields; from a VARIANT on, and beside the schema, a VARIANT lookup."""
+
+    def _variant(self, path) -> tuple[VariantResolver, tuple] | None:
+        segs = parse_path(path)
+        col, dtype = None, self.schema
+        for i, s in enumerate(segs):
+            f = next((f for f in dtype.fields if f.name == s), None) if isinstance(dtype, T.StructType) else None
+            if f is None or col is None and s == REST:
+                return (VariantResolver(F.col(REST)), segs) if col is None and REST in self.schema.names else None
+            col = F.col(_field_name(s)) if col is None else col.getField(s)
+            dtype = f.dataType
+            if isinstance(dtype, T.VariantType):
+                return VariantResolver(col), segs[i + 1:]
+        return None
+
+    def _ask(self, name, path, *args):
+        found = self._variant(path)
+        return getattr(found[0], name)(found[1], *args) if found else getattr(super(), name)(path, *args)
+
+    def _resolve(self, path):
+        col, t = super()._resolve(path)
+        plain = col is not None and isinstance(t, T.StringType) and not self._is_leaf(path)
+        return (None, None) if plain else (col, t)  # a string has no inner paths here
+
+    def _is_leaf(self, path) -> bool:
+        dtype = self.schema
+        for s in parse_path(path):
+            dtype = next((f.dataType for f in dtype.fields if f.name == s), None) if isinstance(dtype, T.StructType) else None
+        return dtype is not None
+
+    def exists(self, path):
+        return self._ask("exists", path)
+
+    def text(self, path):
+        return self._ask("text", path)
+
+    def number(self, path):
+        return self._ask("number", path)
+
+    def integer(self, path):
+        return self._ask("integer", path)
+
+    def exact_number(self, path):
+        return self._ask("exact_number", path)
+
+    def numeric_operands(self, path, value):
+        return self._ask("numeric_operands", path, value)
+
+    def equality_operands(self, path, value):
+        return self._ask("equality_operands", path, value)
+
+    def bucket_has(self, path, bucket):
+        if bucket in ("object", "array") and not self._variant(path):
+            c, t = self._resolve(path)
+            return c.isNotNull() & F.lit(bucket == "object") if isinstance(t, T.StructType) else F.lit(False)
+        return self._ask("bucket_has", path, bucket)
+
+
+@dataclass
+class MergedLayout(Layout):
+    """L3 with merged types: a struct schema in which paths of differing types are
+    VARIANT beside the typed columns, instead of JSON text.
+
+    The schema comes from one aggregate over the parsed input (``merged_schema``),
+    or is given: top-level fields that it does not name are kept in ``rest_fields``,
+    and nothing is converted to another type on the way. JSON nulls inside typed objects leave no trace.
+    """
+    name: str = "merged"
+    schema: T.StructType | None = None
+
+    def build(self, lines):
+        keep = _passthrough(lines)
+        return self.from_variant(lines.select(*keep, F.parse_json("line").alias("_j")), "_j")
+
+    def from_variant(self, df, j: str):
+        """Layout columns from an already parsed VARIANT column ``j``."""
+        keep = [F.col(_field_name(c)) for c in df.columns if c not in (j, "line")]
+        schema = merged_schema(df, j) if self.schema is None else self.schema
+        cols = [V.vget(F.col(j), (f.name,), _ddl(f.dataType)).alias(f.name) for f in schema.fields]
+        rest = F.map_filter(F.col(j).try_cast("map<string,variant>"), lambda k, _: ~k.isin(*schema.names)) if schema.names else F.col(j).try_cast("map<string,variant>")
+        return df.select(*keep, *cols, F.to_variant_object(rest).alias(REST))
+
+    def resolver(self, df):
+        return MergedResolver(df.schema)
+
+
 # --------------------------------------------------------------------- L4
 # The declared static fields of the mongod layout and their
 # types (timestamp key ``t.$date``; ``attr`` is the dynamic part).
@@ -249,10 +384,6 @@ def _col_name(path) -> str:
     return path_text(path).replace(".", "_").replace("$", "").replace("@", "")
 
 
-#: VARIANT object of the top-level fields that have no column of their own.
-REST = "rest_fields"
-
-
 def _in_column(path, typ: str) -> bool:
     """A static field that its typed column holds whole: searches read that
     column. Timestamps keep their source text, and parents of nested fields
@@ -424,6 +555,7 @@ LAYOUTS = {
     "json_string": JsonStringLayout,
     "pairwise": PairwiseLayout,
     "inferred": InferredLayout,
+    "merged": MergedLayout,
     "static_dynamic": StaticDynamicLayout,
     "variant": VariantLayout,
     "document": DocumentLayout,

@@ -38,7 +38,7 @@ ES_FORMS = [
     ("q4", "es", "q4", "q4_keep"), ("q5", "es", "q5", "q5"), ("q6", "es", "q6", "q6"),
 ]
 FORMS_OF_LAYOUT = {
-    "json_string": SQL_FORMS, "inferred": SQL_FORMS, "static_dynamic": SQL_FORMS,
+    "json_string": SQL_FORMS, "inferred": SQL_FORMS, "merged": SQL_FORMS, "static_dynamic": SQL_FORMS,
     "variant": SQL_FORMS, "pairwise": PAIRWISE_FORMS, "document": ES_FORMS,
 }
 
