@@ -256,7 +256,7 @@ def hard_negatives(rows: DataFrame, is_anchor, positives: int = POSITIVES, negat
         "aid", "pos", F.transform("pos", lambda x: F.floor(whole(x, high) / 100).cast("bigint")).alias("up"),
         F.transform("pos", lambda x: F.ceil(whole(x, low) / 100).cast("bigint")).alias("down")), "positives")
     windows = materialise(anchors.drop("up", "down").join(lists.select("aid", "up", "down"), "aid"), "windows")
-    found = slot_tops(windows, rows, negatives, same=False)
+    found = materialise(slot_tops(windows, rows, negatives, same=False), "slot-tops")
     tops = found.groupBy("aid").agg(F.sort_array(F.collect_list(F.struct("slot", (-F.col("score")).alias("fall"), "id"))).alias("tops"))
     asked = (anchors.select("aid", F.col("vec_id").alias("anchor_id")).join(lists, "aid").join(tops, "aid")
              .select("anchor_id", "tops", F.posexplode(F.arrays_zip("pos", "down")).alias("slot", "ask")))
