@@ -101,6 +101,7 @@ class KneserNeyRatio:
     """
 
     def __init__(self, counts: dict[bytes, tuple[int, int]]):
+        self.seen: dict[bytes, float] = {}  # ratios of words met by this model, in this process
         vocabulary = list(counts)
         keys, owner = [], []
         for a in range(0, len(vocabulary), 20_000):
@@ -166,9 +167,6 @@ class KneserNeyRatio:
         return np.bincount(owner, r, len(batch))
 
 
-_CACHE: dict = {}
-
-
 def _ratios_of(model: KneserNeyRatio, texts: list[list[bytes]], cache: dict) -> list[np.ndarray]:
     new = list({w for t in texts for w in t if w not in cache})
     if len(cache) + len(new) > CACHE_WORDS:
@@ -236,7 +234,7 @@ def fit(sample: list[tuple[int, int, bytes]]) -> tuple[KneserNeyRatio | None, np
 
 def _score(batches, model):
     ratio, weights, rate = model.value
-    cache = _CACHE.setdefault(id(ratio), {})
+    cache = {} if ratio is None else ratio.seen
     for part, texts in pieces(batches, "tx"):
         if ratio is None:
             x = np.zeros((len(texts), 4))
@@ -260,7 +258,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_mod=(3, 1), rows_per_c
     src = docs.select("doc_id", (crc_mod("doc_id", m) == r).alias("held_out"), F.col("text").cast("binary").alias("tx"))
     out = src.mapInArrow(partial(_score, model=model), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, "
                          "held_out boolean, score double, mean_ratio double, window_ratio double")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_ratio", "window_ratio")
 
 
 def op1_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

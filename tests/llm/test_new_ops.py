@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -234,3 +235,32 @@ def test_extract_odd_input(spark):
     got = ht.extract_text(pages).collect()
     assert sorted((r.page_id or 0, r.url or "", len(r.text)) for r in got) == [(0, "", 1), (1, "u", 0), (1, "u", 0), (2, "v", 0), (3, "w", 1_499_999)]
     assert ht.extract_text(pages.limit(0)).collect() == []
+
+
+# ---------------------------------------------------------- toxicity: models side by side
+
+
+def test_each_model_keeps_its_own_word_table():
+    """Scores never come from the table of an earlier model of the same worker."""
+    import gc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from logvault.llm import toxicity as T
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"grubble nice"], pa.binary())], ["doc_id", "tx"])
+    weights, seen = np.ones(5), set()
+    for k in range(12):
+        model = T.KneserNeyRatio({b"grubble": (k, 12 - k), b"nice": (3, 1), b"other": (1, 1)})
+        got = next(T._score([batch], SimpleNamespace(value=(model, weights, 0.5))))["mean_ratio"][0].as_py()
+        fresh = T._ratios_of(model, [T.spellings(b"grubble nice")], {})[0]
+        assert got == pytest.approx(float(T.evidence(fresh)[0]))
+        seen.add(round(got, 9))
+        del model
+        gc.collect()
+    assert len(seen) > 6
+
+
+def test_op1_columns(spark):
+    from logvault.llm.toxicity import op1_toxicity_kneser_ney
+    assert op1_toxicity_kneser_ney(spark, SF).columns[:4] == ["doc_id", "held_out", "score", "predicted"]
