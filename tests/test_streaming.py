@@ -8,7 +8,7 @@ from logvault.layouts import get_layout
 from logvault.operators.predicates import Eq
 from logvault.operators.search import search
 from logvault.streaming.ingest import ingest_stream, run_to_completion
-from logvault.streaming.metrics import stream_sample_total
+from logvault.streaming.metrics import grid_stream, read_grid, stream_sample_total
 
 
 def test_ingest_stream_resumes_from_checkpoint(spark, tmp_path):
@@ -80,3 +80,26 @@ def test_ingest_stream_processing_time_trigger(spark, tmp_path):
         q.stop()
     lay = get_layout("document")
     assert search(lay.read(spark, dst), lay, Eq("id", 2)).count() == 1
+
+
+def test_grid_keeps_open_windows_and_goes_on_from_them(spark, tmp_path):
+    schema = "run_id long, ts timestamp, ps_line string"
+    src, dst, ck = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "ck")
+    related = spark.createDataFrame([("t", "java")], "tool string, name string")
+    t = dt.datetime(2024, 1, 1)
+
+    def arrive(name, *points):
+        rows = [(1, t + dt.timedelta(seconds=s), f"root 1 0 0 1 {kb} ? S 0 0 java") for s, kb in points]
+        spark.createDataFrame(rows, schema).write.parquet(f"{src}/{name}")
+
+    def grid():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        run_to_completion(grid_stream(stream, related, dst, ck, "10 seconds", "5 seconds"))
+        return sorted((r["sample_ts"].second + 60 * r["sample_ts"].minute, r["total_rss_bytes"] // 1024)
+                      for r in read_grid(spark, dst).collect())
+
+    arrive("a", (1, 1), (62, 2))
+    assert grid() == [(0, 1), (60, 2)]  # the window at 60 s is still open
+    arrive("b", (65, 4), (3, 100), (91, 8))  # 65 s joins it, 3 s is late
+    assert grid() == [(0, 1), (60, 6), (90, 8)]
+    assert grid() == [(0, 1), (60, 6), (90, 8)]  # nothing new
