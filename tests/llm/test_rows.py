@@ -4,11 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logvault.llm import class_lm as L
@@ -264,6 +267,28 @@ def test_secret_base_on_the_tables(spark):
         assert set(text.split(",")) - {""} <= set(r["spans"].split(","))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["password=", "token: ", "AKIAABCDEFGHIJKL", "0a1b2c3d", "Zx9Qp3LmT7vB2nKc", "/", "-", " ", "\n", "é", ".", "Q7"]), max_size=40).map("".join))
+def test_unnamed_tokens_never_meet_base_spans(text):
+    _unnamed_tokens(text.encode())
+
+
+def _unnamed_tokens(t):
+    base = [(a, z) for a, k, z, _ in S.candidates(t) if k < 3]
+    want = [(a, z) for a, z in ((m.start(), m.end()) for m in re.finditer(rb"[A-Za-z0-9+/_-]{20,}", t))
+            if re.search(rb"[0-9]", t[a:z]) and re.search(rb"[A-Za-z]", t[a:z]) and S._entropy(t[a:z]) >= S.OWNED_ENTROPY
+            and not any(a < e and s < z for s, e in base)]
+    assert [(a, z) for a, k, z, _ in S.candidates(t) if k == 3] == want
+
+
+def test_very_long_text_takes_one_sweep():
+    """Two million bytes of findings: checking every token against every base span took minutes."""
+    unit = b"password=Hunter2Hunter2x Zx9Qp3LmT7vB2nKc8RyW 0123456789abcdef0 "
+    begun = time.monotonic()
+    n = len(S.candidates(unit * 30_000))
+    assert n == 90_000 and time.monotonic() - begun < 30
+
+
 KEY, COPIED = "Zx9Qp3LmT7vB2nKc8RyW", "Ab1Cd2Ef3Gh4Ij5Kl6Mn"
 
 
