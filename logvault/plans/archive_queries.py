@@ -17,6 +17,7 @@ from logvault.operators.quality import (
     archive_size, compression_ratio, line_count_check, roundtrip_report,
 )
 from logvault.operators.search import count_hits_many, search
+from logvault.operators.sequence import roundtrip_ordered
 from logvault.plans import oracle
 from logvault.plans.queries import EVENT_ID, FORMS_OF_LAYOUT
 from logvault.plans.standard import FIXTURE, TS_SEC, searches
@@ -57,6 +58,24 @@ def q_roundtrip_json_string(spark, sf_dir):
     return roundtrip_report(lines, restore(spark, path, "json_string"))
 
 
+def q_roundtrip_ordered(spark, sf_dir):
+    """R09 with order: a compressed copy keeps every line in its place; one with
+    the lines of each file sorted holds the same lines and is told apart."""
+    configure(spark)
+    lines = event_log_lines(spark, sf_dir)
+    paths = {n: scratch_path(spark, f"ordered-{n}") for n in ("original", "gzip", "json_string", "sorted")}
+    write_raw(lines, paths["original"], "none")
+    write_raw(lines, paths["gzip"], "gzip")
+    ingest(lines, "json_string", paths["json_string"])
+    write_raw(lines.sortWithinPartitions(F.desc("line")), paths["sorted"], "none")
+    out = None
+    for name in ("gzip", "json_string", "sorted"):
+        fmt = "json_string" if name == "json_string" else "text"
+        row = roundtrip_ordered(spark, paths["original"], paths[name], restored_fmt=fmt).withColumn("copy", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def q_line_count_check(spark, sf_dir):
     """Lines read back from the raw archive vs the catalogue row count."""
     configure(spark)
@@ -138,6 +157,7 @@ QUERIES.update({f"ordered_hot_{n}_{q}": partial(q_ordered_hot, layout_name=n, fo
 QUERIES.update({
     "roundtrip_gzip": q_roundtrip_gzip,
     "roundtrip_json_string": q_roundtrip_json_string,
+    "roundtrip_ordered": q_roundtrip_ordered,
     "line_count_check": q_line_count_check,
     "ordered_variant_q5": q_ordered_variant,
     "read_many_provenance": q_read_many,
@@ -155,6 +175,8 @@ def oracles() -> dict:
     out.update({
         "roundtrip_gzip": ROUNDTRIP_SQL,
         "roundtrip_json_string": ROUNDTRIP_SQL,
+        "roundtrip_ordered": "SELECT copy, n AS n_original, n AS n_restored, copy <> 'sorted' AS equal "
+                             "FROM (SELECT count(*) AS n FROM events), (VALUES ('gzip'), ('json_string'), ('sorted')) c(copy)",
         "line_count_check": ("SELECT 'events-log' AS dataset, count(*) AS number_of_lines, "
                              "count(*) AS counted, true AS ok FROM events"),
         "ordered_variant_q5": oracle.search_rows(oracle.SEARCH_SQL["q5"]),
