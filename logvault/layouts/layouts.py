@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from logvault.functions import variant as V
 from logvault.functions.paths import json_path, parse_path, path_text
 from logvault.layouts.base import EXACT, AbsentResolver, HotResolver, Layout, Resolver, VariantResolver, hot_columns
-from logvault.operators.flatten import BUCKETS, DEFAULT_DEPTH, pairwise_columns, with_leaves
+from logvault.operators.flatten import BUCKETS, DEFAULT_DEPTH, leaves_column, pairwise_columns
 
 
 def _passthrough(df: DataFrame, drop: str = "line") -> list[str]:
@@ -106,7 +106,7 @@ class PairwiseLayout(Layout):
     def build(self, lines):
         keep = _passthrough(lines)
         df = lines.withColumn("_j", F.parse_json("line"))
-        return with_leaves(df, "_j", "_leaves", self.depth).select(*keep, *pairwise_columns(F.col("_leaves")))
+        return df.select(*keep, pairwise_columns(leaves_column(F.col("_j"), self.depth)))
 
     def resolver(self, df):
         return PairwiseResolver()

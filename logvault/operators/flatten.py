@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvault.functions.variant import bucket_of_type, is_array, is_object, let
+from logvault.functions.variant import bucket_of_type, let
 
 DEFAULT_DEPTH = None  # as many levels as the document has
+NEAR_LEVELS = 8  # levels before the brackets of a document are counted
 BUCKETS = ("string", "int", "float", "bool")
 BUCKET_TYPES = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean"}
 
@@ -23,62 +24,71 @@ def _child_path(parent: Column, key: Column) -> Column:
     return F.when(parent == "", key).otherwise(F.concat(parent, F.lit("."), key))
 
 
+def _node(path: Column, v: Column) -> Column:
+    """A value on its path; ``m`` or ``a`` holds the members of a container, looked up once."""
+    return F.struct(path.alias("p"), v.alias("v"), v.try_cast("map<string,variant>").alias("m"),
+                    v.try_cast("array<variant>").alias("a"))
+
+
+def _is_container(x: Column) -> Column:
+    return x["m"].isNotNull() | x["a"].isNotNull()
+
+
 def _children(x: Column) -> Column:
-    """Children of a container as ``array<struct<p, v, c>>``; ``c`` marks
-    children that are containers themselves (expanded at the next level)."""
-    m = x["v"].try_cast("map<string,variant>")
-    a = x["v"].try_cast("array<variant>")
-    kids = F.coalesce(
-        F.transform(F.map_entries(m), lambda e: F.struct(
-            _child_path(x["p"], e["key"]).alias("p"), e["value"].alias("v"))),
-        F.transform(a, lambda e, i: F.struct(
-            F.concat(x["p"], F.lit("["), i.cast("string"), F.lit("]")).alias("p"), e.alias("v"))))
-    return F.transform(kids, lambda k: F.struct(k["p"].alias("p"), k["v"].alias("v"),
-                                                (is_object(k["v"]) | is_array(k["v"])).alias("c")))
+    """Children of a container, each one a ``_node``."""
+    return F.when(x["m"].isNotNull(), F.transform(F.map_entries(x["m"]), lambda e: _node(
+        _child_path(x["p"], e["key"]), e["value"]))).otherwise(F.transform(x["a"], lambda e, i: _node(
+            F.concat(x["p"], F.lit("["), i.cast("string"), F.lit("]")), e)))
+
+
+def _scalars(nodes: Column) -> Column:
+    """The finished leaves among ``nodes``, typed."""
+    return F.transform(F.filter(nodes, lambda x: ~_is_container(x)), lambda x: F.struct(
+        x["p"].alias("p"), let(F.schema_of_variant(x["v"]), lambda t: bucket_of_type(t, x["v"])).alias("t"),
+        x["v"].alias("v")))
 
 
 def _step(s: Column) -> Column:
     """One level: expand pending containers; finished scalars move to ``done``.
     A row with nothing pending passes its state through unchanged."""
     expanded = let(F.flatten(F.transform(s["todo"], _children)), lambda kids: F.struct(
-        F.concat(s["done"], F.filter(kids, lambda x: ~x["c"])).alias("done"),
-        F.filter(kids, lambda x: x["c"]).alias("todo")))
+        F.concat(s["done"], _scalars(kids)).alias("done"), F.filter(kids, _is_container).alias("todo")))
     return F.when(F.size(s["todo"]) == 0, s).otherwise(expanded)
 
 
-def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int | None = DEFAULT_DEPTH) -> DataFrame:
-    """Add ``out: array<struct<p string, t string, v variant>>`` of scalar leaves.
+def leaves_column(v: Column, depth: int | None = DEFAULT_DEPTH) -> Column:
+    """``array<struct<p string, t string, v variant>>`` of the scalar leaves of ``v``.
 
     State per row: finished scalar leaves and pending containers. The levels
-    are one ``aggregate`` whose accumulator is that state, so the plan has one
-    copy of the level logic whatever the depth, scalars are examined once, and a
+    are an ``aggregate`` whose accumulator is that state, so the plan has no
+    copy of the level logic per level, scalars are examined once, and a
     finished row costs nothing per further level. Without ``depth`` a document
-    gets as many levels as it has opening brackets, which no nesting exceeds;
-    with it, a container still pending after ``depth`` levels raises (no
-    truncation). JSON nulls are dropped.
+    that has containers pending after ``NEAR_LEVELS`` levels gets as many more as
+    it has opening brackets, which no nesting exceeds (only such documents are
+    written as text to count them); with it, a container still pending after
+    ``depth`` levels raises (no truncation). JSON nulls are dropped.
     """
-    vcol = F.col(v) if isinstance(v, str) else v
-    root = F.array(F.struct(F.lit("").alias("p"), vcol.alias("v"), (is_object(vcol) | is_array(vcol)).alias("c")))
-    start = let(root, lambda r: F.struct(F.filter(r, lambda x: ~x["c"]).alias("done"),
-                                          F.filter(r, lambda x: x["c"]).alias("todo")))
-    if depth is None:
-        text = F.to_json(vcol)
-        levels = F.greatest(F.lit(1), F.length(text) - F.length(F.translate(text, "{[", "")))
-    else:
-        levels = F.lit(depth)
-    state = F.aggregate(F.sequence(F.lit(1), levels), start, lambda s, _level: _step(s))
-    msg = F.lit(f"document nested deeper than {depth} levels")
+    start = let(F.array(_node(F.lit(""), v)), lambda r: F.struct(
+        _scalars(r).alias("done"), F.filter(r, _is_container).alias("todo")))
+    near = NEAR_LEVELS if depth is None else depth
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(near)), start, lambda s, _level: _step(s))
 
     def finish(s):
-        with_type = F.transform(s["done"], lambda x: F.struct(
-            x["p"].alias("p"), F.schema_of_variant(x["v"]).alias("s"), x["v"].alias("v")))
-        typed = F.filter(
-            F.transform(with_type, lambda x: F.struct(
-                x["p"].alias("p"), bucket_of_type(x["s"], x["v"]).alias("t"), x["v"].alias("v"))),
-            lambda x: x["t"].isNotNull())
-        return F.when(F.size(s["todo"]) > 0,
-                      F.raise_error(msg).cast("array<struct<p:string,t:string,v:variant>>")).otherwise(typed)
-    return df.withColumn(out, let(state, finish))
+        typed = F.filter(s["done"], lambda x: x["t"].isNotNull())
+        if depth is not None:
+            msg = F.lit(f"document nested deeper than {depth} levels")
+            rest = F.raise_error(msg).cast("array<struct<p:string,t:string,v:variant>>")
+        else:
+            levels = let(F.to_json(v), lambda text: F.length(text) - F.length(F.translate(text, "{[", "")))
+            far = F.aggregate(F.sequence(F.lit(1), levels), s, lambda s, _level: _step(s))
+            rest = F.filter(far["done"], lambda x: x["t"].isNotNull())
+        return F.when(F.size(s["todo"]) > 0, rest).otherwise(typed)
+    return let(state, finish)
+
+
+def with_leaves(df: DataFrame, v: str | Column, out: str = "_leaves", depth: int | None = DEFAULT_DEPTH) -> DataFrame:
+    """Add ``out``: the leaves of ``v`` (see ``leaves_column``)."""
+    return df.withColumn(out, leaves_column(F.col(v) if isinstance(v, str) else v, depth))
 
 
 def _is_bucket(b: str):
@@ -89,21 +99,25 @@ def _value_as(b: str):
     return lambda x: F.try_variant_get(x["v"], "$", BUCKET_TYPES[b])
 
 
-def pairwise_columns(leaves: Column) -> list[Column]:
-    """The eight pairwise-array columns (``<t>_columns``, ``<t>_values``)."""
-    cols = []
-    for b in BUCKETS:
-        sel = F.filter(leaves, _is_bucket(b))
-        cols.append(F.transform(sel, lambda x: x["p"]).alias(f"{b}_columns"))
-        cols.append(F.transform(sel, _value_as(b)).alias(f"{b}_values"))
-    return cols
+def pairwise_columns(leaves: Column) -> Column:
+    """Generator of the one row of the eight pairwise-array columns (``<t>_columns``, ``<t>_values``).
+
+    Filters on them stay above a generator, so no search flattens a document
+    again for each column that it asks."""
+    def lists(x):
+        cols = []
+        for b in BUCKETS:
+            sel = F.filter(x, _is_bucket(b))
+            cols += [sel["p"].alias(f"{b}_columns"), F.transform(sel, _value_as(b)).alias(f"{b}_values")]
+        return F.struct(*cols)
+    return F.inline(F.array(let(leaves, lists)))
 
 
 def flatten_pairwise(df: DataFrame, v: str = "j", keep: list[str] | None = None,
                      depth: int | None = DEFAULT_DEPTH) -> DataFrame:
     """Variant column -> pairwise layout (plus ``keep`` passthrough columns)."""
     keep = keep or []
-    return with_leaves(df, v, "_leaves", depth).select(*keep, *pairwise_columns(F.col("_leaves")))
+    return df.select(*keep, pairwise_columns(leaves_column(F.col(v), depth)))
 
 
 def leaf_paths(df: DataFrame, v: str = "j", keep: list[str] | None = None,
@@ -113,8 +127,8 @@ def leaf_paths(df: DataFrame, v: str = "j", keep: list[str] | None = None,
     A ``depth`` raises on deeper documents instead of truncating.
     """
     keep = keep or []
-    return (with_leaves(df, v, "_leaves", depth)
-            .select(*keep, F.explode("_leaves").alias("_l"))
+    # exploded as an expression: for a column, Spark would add filters that flatten the document again
+    return (df.select(*keep, F.explode(leaves_column(F.col(v), depth)).alias("_l"))
             .select(*keep, F.col("_l.p").alias("path"), F.col("_l.t").alias("type"),
                     F.try_variant_get(F.col("_l.v"), "$", "string").alias("value")))
 
@@ -128,9 +142,8 @@ def path_catalog(df: DataFrame, v: str = "j", depth: int | None = DEFAULT_DEPTH)
     The row total is a scalar subquery over the input with no columns read
     (Parquet answers it from row-group metadata).
     """
-    leaves = with_leaves(df.select(v), v, "_leaves", depth)
-    pairs = leaves.select(F.explode(F.transform(
-        "_leaves", lambda x: F.struct(x["p"].alias("path"), x["t"].alias("type")))).alias("l")).select("l.*")
+    pairs = df.select(F.explode(F.transform(leaves_column(F.col(v), depth), lambda x: F.struct(
+        x["p"].alias("path"), x["t"].alias("type")))).alias("l")).select("l.*")
     total = df.select(F.count(F.lit(1))).scalar()
     return (pairs.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n_rows"))
             .withColumn("is_static", F.col("n_rows") == total))

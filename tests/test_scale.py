@@ -117,3 +117,27 @@ def test_hot_columns_change_no_result(spark, lines_df):
         a, b = plain.build(lines_df(docs)), hot.build(lines_df(docs))
         for pred in preds:
             assert search(a, plain, pred).count() == search(b, hot, pred).count(), (name, pred)
+
+
+def test_a_document_is_flattened_once(spark, lines_df):
+    # a filter on the arrays, or the explode of the leaves, must not flatten the document again
+    from logvault.operators.flatten import leaf_paths, path_catalog, with_leaves
+    lines = lines_df(['{"a": {"b": [1, {"c": "xy"}]}, "d": true}', '{"a": null}'])
+    lay = get_layout("pairwise")
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    docs = lines.select(F.parse_json("line").alias("j"))
+    once = steps(with_leaves(docs, "j"))
+    hits = search(lay.build(lines), lay, Prefix("a.b[1].c", "x") & Eq("d", True))
+    assert steps(hits) == once
+    assert [r["string_columns"] for r in hits.collect()] == [["a.b[1].c"]]
+    assert steps(leaf_paths(docs, "j")) == once
+    assert steps(path_catalog(docs, "j")) == once
+    assert sorted(leaf_paths(docs, "j").select("path", "value").collect()) == [("a.b[0]", "1"), ("a.b[1].c", "xy"), ("d", "true")]
+
+
+def test_levels_beyond_the_near_ones(spark, lines_df):
+    from logvault.operators.flatten import NEAR_LEVELS, leaf_paths
+    deep = [n for n in range(NEAR_LEVELS - 2, NEAR_LEVELS + 3)] + [40]
+    lines = lines_df(['{"a":' * n + "7" + "}" * n for n in deep])
+    got = leaf_paths(lines.select(F.parse_json("line").alias("j")), "j").collect()
+    assert sorted((r["path"], r["type"], r["value"]) for r in got) == sorted((".".join("a" * n), "int", "7") for n in deep)
