@@ -7,7 +7,7 @@ prefixes of process names, or on bins of time (AQE splits a hot key).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,7 +65,7 @@ def _micros(df: DataFrame, col: str) -> Column:
 
 
 def assign_by_time(samples: DataFrame, runs: DataFrame, ts: str = "ts", run_id: str = "run_id",
-                   start: str = "start", end: str = "end") -> DataFrame:
+                   start: str = "start", end: str = "end", totals: dict | None = None) -> DataFrame:
     """J02 by time alone: each sample with every run that was active at its time
     (``start <= ts <= end``), as the sample's columns and ``run_id``.
 
@@ -75,8 +75,15 @@ def assign_by_time(samples: DataFrame, runs: DataFrame, ts: str = "ts", run_id:
     hot. The runs grow to two rows each on average and one more, whatever their
     lengths. Runs without a start or an end and those that end before they start
     take no sample; a sample outside all runs is left out; equal runs each count.
+
+    Where many runs overlap, the pairs grow with samples times runs. ``totals``
+    (name -> whole number of a sample; null counts as 0) asks for sums only: one row for each run that
+    met a sample, with ``run_id`` and these sums, from running totals in the order of time
+    instead of pairs.
     """
     r = runs.select(F.col(f"`{run_id}`").alias("_run"), _micros(runs, start).alias("_from"), _micros(runs, end).alias("_to")).filter("_from <= _to")
+    if totals is not None:
+        return _totals_by_time(samples.withColumn("_at", _micros(samples, ts)), r, totals).withColumnRenamed("_run", run_id)
     width = max(1, int(r.agg(F.avg(F.col("_to") - F.col("_from"))).first()[0] or 0))
     bin_of = lambda micros: F.floor(micros / F.lit(width))
     binned = r.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(F.col("_to")))))
@@ -86,6 +93,50 @@ def assign_by_time(samples: DataFrame, runs: DataFrame, ts: str = "ts", run_id:
     return met.select(*keep, F.col("_run").alias(run_id))
 
 
+#: Bins of time with about equally many samples, in each of which one task adds up.
+TIME_BINS = 256
+WIDE = "decimal(38,0)"  # a total over all samples may pass 64 bits where no run's does
+
+
+def _bin_of(at: Column, bounds: list, first: int = 0) -> Column:
+    """Number of ``bounds`` (sorted) not above ``at``, by halving."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(at < bounds[mid], _bin_of(at, bounds[:mid], first)).otherwise(_bin_of(at, bounds[mid + 1:], first + mid + 1))
+
+
+def _totals_by_time(samples: DataFrame, r: DataFrame, totals: dict) -> DataFrame:
+    """(_run, totals...) of the runs (_run, _from, _to) that met samples: the running
+    total up to the run's end, less that before its start. Samples of one time
+    are added up first and ends of runs at one time asked once, so no time is hot."""
+    names = ["_met", *totals]
+    values = [F.lit(1).alias("_met"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in totals.items()]]
+    at = samples.filter("_at IS NOT NULL").select("_at", *values).groupBy("_at").agg(*[F.sum(F.col(n).cast(WIDE)).cast(WIDE).alias(n) for n in names])
+    cuts = at.agg(F.percentile_approx("_at", [k / TIME_BINS for k in range(1, TIME_BINS)])).first()[0] or []
+    bins = _bin_of(F.col("_at"), sorted(set(cuts)))
+    # at one time: starts (0) come before samples (1), ends (2) after them
+    none = [F.lit(0).cast(WIDE).alias(n) for n in names]
+    ends = r.select(F.explode(F.array(F.struct(F.col("_from").alias("_at"), F.lit(0).alias("_kind")),
+                                      F.struct(F.col("_to").alias("_at"), F.lit(2).alias("_kind")))).alias("e")).select("e.*").distinct()
+    points = at.withColumn("_kind", F.lit(1)).unionByName(ends.select("_at", "_kind", *none)).withColumn("_bin", bins)
+    earlier = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # over one row a bin
+    before = (at.groupBy(bins.alias("_bin")).agg(*[F.sum(n).cast(WIDE).alias(n) for n in names])
+              .unionByName(ends.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_bin"), *none))
+              .groupBy("_bin").agg(*[F.sum(n).cast(WIDE).alias(n) for n in names])
+              .select("_bin", *[F.coalesce(F.sum(n).over(earlier).cast(WIDE), F.lit(0).cast(WIDE)).alias(f"_before_{n}") for n in names]))
+    within = Window.partitionBy("_bin").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = points.select("_bin", "_at", "_kind", *[F.sum(n).over(within).cast(WIDE).alias(n) for n in names]).filter("_kind <> 1")
+    asked = added.join(before, "_bin").select("_at", "_kind", *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in names])
+
+    def side(kind, key, tag):
+        return asked.filter(F.col("_kind") == kind).select(F.col("_at").alias(key), *[F.col(n).alias(f"{tag}{n}") for n in names])
+
+    out = r.join(side(0, "_from", "_lo_"), "_from").join(side(2, "_to", "_hi_"), "_to")
+    sums = [(F.col(f"_hi_{n}") - F.col(f"_lo_{n}")).cast("bigint").alias(n) for n in names]
+    return out.select("_run", *sums).filter("_met > 0").drop("_met")
+
+
 def run_memory_avg(runs: DataFrame, totals: DataFrame) -> DataFrame:
     """Mean total RSS per run; -1 when the run has no sample."""
     m = totals.groupBy("run_id").agg(F.avg("total_rss_bytes").alias("_m"))

@@ -43,9 +43,9 @@ def q_samples_by_time(spark, sf_dir):
     """J02 by time alone: samples without a run id meet every run active at their time."""
     configure(spark)
     samples = parse_ps(ps_samples(spark, sf_dir)).drop("run_id")
-    met = assign_by_time(samples, short_runs(spark, sf_dir))
-    return met.groupBy("run_id").agg(F.count("*").alias("n_samples"), F.sum("rss_bytes").alias("rss_bytes"),
-                                     F.count_if(F.col("command") == "java").alias("n_java"))
+    met = assign_by_time(samples, short_runs(spark, sf_dir), totals={
+        "n_samples": F.lit(1), "rss_bytes": F.col("rss_bytes"), "n_java": (F.col("command") == "java").cast("int")})
+    return met.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("n_samples", "rss_bytes", "n_java")])
 
 
 def q_catalog_lookup(spark, sf_dir):
