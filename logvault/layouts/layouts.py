@@ -20,6 +20,12 @@ def _passthrough(df: DataFrame, drop: str = "line") -> list[str]:
     return [c for c in df.columns if c != drop]
 
 
+def _once(document: Column) -> Column:
+    """``document`` as a generator of one row: searches of the column stay above it
+    and do not compute the document again for each path that they ask."""
+    return F.explode(F.array(document))
+
+
 # --------------------------------------------------------------------- L1
 class JsonTextResolver(Resolver):
     """Paths over raw JSON text, parsed at query time (get_json_object)."""
@@ -522,12 +528,12 @@ class VariantLayout(Layout):
 
     def build(self, lines):
         keep = _passthrough(lines)
-        return self._with_hot(lines.select(*keep, self._document(F.parse_json("line")).alias(self.column)))
+        return self._with_hot(lines.select(*keep, _once(self._document(F.parse_json("line"))).alias(self.column)))
 
     def from_variant(self, df, j: str):
         """Layout from an already parsed VARIANT column ``j`` (no second parse)."""
         keep = [c for c in df.columns if c not in (j, "line")]
-        return self._with_hot(df.select(*keep, self._document(F.col(j)).alias(self.column)))
+        return self._with_hot(df.select(*keep, _once(self._document(F.col(j))).alias(self.column)))
 
     def _document(self, v: Column) -> Column:
         return v
