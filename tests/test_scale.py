@@ -141,3 +141,14 @@ def test_levels_beyond_the_near_ones(spark, lines_df):
     lines = lines_df(['{"a":' * n + "7" + "}" * n for n in deep])
     got = leaf_paths(lines.select(F.parse_json("line").alias("j")), "j").collect()
     assert sorted((r["path"], r["type"], r["value"]) for r in got) == sorted((".".join("a" * n), "int", "7") for n in deep)
+
+
+def test_a_document_is_normalised_once(spark, lines_df):
+    lines = lines_df(['{"id": 1, "c": "x y", "attr": {"error": "full"}}', '{"id": 2}'])
+    for name in ("document", "variant"):
+        lay = get_layout(name)
+        parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("line#")
+        df = lay.build(lines)
+        hits = search(df, lay, Prefix("c", "x") & Eq("id", 1))
+        assert parses(hits) <= parses(df), name
+        assert hits.select(lay.resolver(hits).text("c")).collect() == [("x y",)]
