@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from functools import partial
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,9 +33,11 @@ from logvault.llm.common import materialise, pieces, read_table
 
 CAPACITY = 2048
 END_ID = 0
-#: Words in each of the two generations a Python worker remembers; the memory bound of the word table.
-CACHE_WORDS = 100_000
-#: Branch-and-bound nodes for one filling; at the limit the incumbent is taken (never a lost piece).
+#: Runs in each of the two generations a Python worker remembers; the memory bound of the table.
+CACHE_WORDS = 200_000
+#: Text bytes of a slice whose different runs are looked up once.
+SLICE_BYTES = 4 << 20
+#: Branch-and-bound nodes for one filling of the second search; at the limit its incumbent is taken (never a lost piece).
 NODES = 20_000
 #: Whole packings tried with another filling of one sequence, while none reaches the lower bound (cost only: the best one found stays).
 TURNS = 64
@@ -51,20 +56,22 @@ def _byte_chars() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Ids of a white-space separated word as little-endian bytes; filled on demand.
+    """Packed ids of a run: lower-case Latin letters, one digit, or ASCII signs; filled on demand.
 
     The tokenizer treats words apart (white space only separates), so the ids of
-    a text are those of its words in order. A new word of Latin letters and ASCII
-    signs is put together from its lower-cased runs of letters and of signs, which
-    are entries too; a new run goes straight to the BPE model. All other words go
-    through the whole tokenizer.
+    a text are those of its words in order; and a word of Latin letters, digits and
+    ASCII signs is tokenised run by run, so only runs are remembered, of which texts
+    have far fewer new ones than words. A new run goes straight to the BPE model. A
+    word with any other character (an apostrophe, too) goes through the whole tokenizer.
     """
 
-    PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+", re.I)
+    SIGNS = "([0-9]|[!-&(-/:-@\\[-`{-~]+)"
+    OTHER = re.compile("[^\t-\r -&(-~À-ÖØ-öø-ÿ]")  # neither white space nor part of a run
+    WORD_END = re.compile("[\t-\r ]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.older: dict[bytes, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -73,44 +80,74 @@ class WordIds(dict):
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.packed = [i.to_bytes(2 if size <= 1 << 16 else 4, "little") for i in range(size)]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:  # words not used since the last time drop out with the older generation
+    def __missing__(self, run: str | bytes) -> bytes:
+        if isinstance(run, bytes):  # a whole word
+            return self.texts([run])[0].tobytes()
+        if len(self) >= CACHE_WORDS:  # runs not used since the last time drop out with the older generation
             self.older = dict(self)
             self.clear()
-        out = self.older.get(word)
+        out = self.older.get(run)
         if out is None:
-            if word.isalpha():  # ASCII letters: their own characters in the byte alphabet
-                low = word.lower()
-                out = self[low] if low != word else self._tokenise(word.decode())
-            else:
-                out = self._mixed(word)
-        self[word] = out
+            packed = self.packed
+            chars = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+            out = b"".join([packed[t.id] for t in self.model.tokenize(chars)])
+        self[run] = out
         return out
 
-    def _tokenise(self, run: str) -> bytes:
-        packed = self.packed
-        return b"".join([packed[t.id] for t in self.model.tokenize(run)])
-
-    def _mixed(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        runs = self.PLAIN.findall(text)
-        if sum(map(len, runs)) != len(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        runs = [r.lower().encode() for r in runs]
-        if len(runs) == 1 and runs[0] == word:
-            return self._tokenise(word.decode("latin-1").translate(self.alphabet))
-        return b"".join([self[r] for r in runs])
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts of runs and white space, end to end, and where each text starts and ends.
+
+        Every different run of the texts is looked up once."""
+        apart = pc.replace_substring_regex(pa.array([t.lower() for t in texts], pa.large_string()), self.SIGNS, " \\1 ")
+        split = pc.ascii_split_whitespace(apart)
+        runs = split.flatten().dictionary_encode()
+        found = list(map(self.__getitem__, runs.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        size = np.array([len(x) for x in found], np.int64) // ids.itemsize
+        at, first = runs.indices.to_numpy(), np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(size[at])])
+        ids = ids[np.repeat(first[at] - ends[:-1], size[at]) + np.arange(ends[-1])]
+        bounds = split.offsets.to_numpy()
+        return ids, ends[bounds - bounds[0]]
+
+    def _words_apart(self, text: str, other) -> np.ndarray:
+        """Ids of a text with words that are no mere runs; ``other`` is the match of the first."""
+        plain, full, done = [], [], 0
+        while other:
+            at = other.start()
+            start = max(text.rfind(c, done, at) for c in "\t\n\v\f\r ") + 1 or done
+            end = self.WORD_END.search(text, at)
+            end = end.start() if end else len(text)
+            plain.append(text[done:start])
+            full.append(np.array(self.tokenizer.encode(text[start:end], add_special_tokens=False).ids, self.dtype))
+            done, other = end, self.OTHER.search(text, end)
+        ids, ends = self._plain([*plain, text[done:]])
+        parts = [ids[a:z] for a, z in zip(ends, ends[1:])]
+        return np.concatenate([*[x for pair in zip(parts, full) for x in pair], parts[-1]])
+
+    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        text = [t.decode("utf-8", "replace") for t in texts]
+        other = [self.OTHER.search(t) for t in text]
+        ids, ends = self._plain([t for t, x in zip(text, other) if not x])
+        plain = (ids[a:z] for a, z in zip(ends, ends[1:]))
+        return [self._words_apart(t, x) if x else next(plain) for t, x in zip(text, other)]
 
 
 _TABLES: dict[str, WordIds] = {}
 
 
-def text_ids(text: bytes, path: str) -> np.ndarray:
-    """Token ids of one whole text, without the end id."""
+def texts_ids(texts: list[bytes], path: str) -> list[np.ndarray]:
+    """Token ids of whole texts, without the end id."""
     table = _TABLES.get(path)
     if table is None:
         table = _TABLES[path] = WordIds(path)
-    return np.frombuffer(b"".join([table[w] for w in text.split()]), table.dtype).astype("<u4")
+    return table.texts(texts)
+
+
+def text_ids(text: bytes, path: str) -> np.ndarray:
+    """Token ids of one whole text, without the end id."""
+    return texts_ids([text], path)[0].astype("<u4")
 
 
 PIECE = ("piece int, start bigint, length bigint, ids_crc32 bigint, pid int, nth bigint")
@@ -118,10 +155,10 @@ PIECE = ("piece int, start bigint, length bigint, ids_crc32 bigint, pid int, nth
 
 def _cut(batches, key, path, capacity, with_ids):
     pid, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-    for part, texts in pieces(batches, "tx"):
+    for part, texts in pieces(batches, "tx", SLICE_BYTES):
         row, cols, ids_out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "nth")}, []
-        for i, t in enumerate(texts):
-            ids = np.append(text_ids(t, path), np.uint32(END_ID)).astype("<u4")
+        for i, x in enumerate(texts_ids(texts, path)):
+            ids = np.append(x, np.array([END_ID], x.dtype)).astype("<u4")
             for p, a in enumerate(range(0, len(ids), capacity)):
                 x = ids[a:a + capacity]
                 row.append(i)
@@ -157,22 +194,67 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: b
 
 def _best_fit_fill(avail: list[int], count: dict[int, int], gap: int) -> tuple[int, ...]:
     """Best-fit filling: the largest length that fits, again and again."""
-    out, left = [], dict(count)
-    for size in avail:
-        while size <= gap and left[size]:
-            out.append(size)
-            left[size] -= 1
-            gap -= size
+    out, i = [], 0
+    while gap and (i := bisect_left(avail, -gap, i, key=neg)) < len(avail):
+        n = min(count[avail[i]], gap // avail[i])
+        out += [avail[i]] * n
+        gap -= n * avail[i]
+        i += 1
     return tuple(out)
 
 
-def _fill(avail: list[int], count: dict[int, int], gap: int, nodes: int) -> tuple[int, ...]:
+def _sums(avail: list[int], count: dict[int, int], gap: int) -> list[int]:
+    """``_sums[i]``: the sums up to ``gap`` of pieces of ``avail[i:]``, as the bits of one number."""
+    most, now = (1 << gap + 1) - 1, 1
+    out = [now]
+    for size in reversed(avail):
+        n, step = min(count[size], gap // size), 1
+        while n:  # 1, 2, 4, ... more of this length, and the rest
+            now |= now << size * min(step, n)
+            n -= min(step, n)
+            step *= 2
+        now &= most
+        out.append(now)
+    out.reverse()
+    return out
+
+
+def _fill(avail: list[int], count: dict[int, int], gap: int) -> tuple[int, ...]:
     """The filling of ``gap`` with the least waste; among equals the one with the
     larger pieces first (it dominates: smaller pieces fit more places later).
 
-    ``avail`` is in descending order. Depth-first over fillings whose lengths
-    never rise; a branch is cut when even all that is left of the smaller lengths
-    cannot beat the incumbent.
+    ``avail`` is in descending order. The bound of a branch is exact, the sums that
+    the smaller lengths can still reach, so only branches that lead to the least
+    waste are entered; the incumbent stays if none wastes less.
+    """
+    best = _best_fit_fill(avail, count, gap)
+    if sum(best) == gap or not avail:
+        return best
+    sums = _sums(avail, count, gap)
+    room = sums[0].bit_length() - 1
+    if room == sum(best):
+        return best
+    out, i = [], 0
+    while room:
+        i = bisect_left(avail, -room, i, key=neg)  # first length that fits
+        size = avail[i]
+        n = min(count[size], room // size)
+        while not sums[i + 1] >> (room - n * size) & 1:
+            n -= 1
+            if n < 0:
+                raise AssertionError("a reachable sum has a filling")
+        out += [size] * n
+        room -= n * size
+        i += 1
+    return tuple(out)
+
+
+def _fill_nodes(avail: list[int], count: dict[int, int], gap: int, nodes: int = NODES) -> tuple[int, ...]:
+    """A filling of ``gap`` as ``_fill`` finds it, by a bound that is not exact and at most ``nodes`` nodes.
+
+    Depth-first over fillings whose lengths never rise; a branch is cut when even
+    all that is left of the smaller lengths cannot beat the incumbent. At the limit
+    the incumbent is taken, whose waste now and then leaves better pieces for later.
     """
     best = _best_fit_fill(avail, count, gap)
     best_waste = gap - sum(best)
@@ -203,7 +285,7 @@ def _fill(avail: list[int], count: dict[int, int], gap: int, nodes: int) -> tupl
     return best
 
 
-def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, slack: int | None = None,
+def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, fill=_fill, slack: int | None = None,
                    turn: int | None = None) -> list[tuple[tuple[int, ...], int]] | None:
     """Patterns (lengths of one sequence, copies) that use up the histogram.
 
@@ -214,16 +296,18 @@ def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int =
     incumbent any more.
     """
     count = {k: v for k, v in hist.items() if v}
+    avail = sorted(count, reverse=True)
     out, wasted = [], 0
-    while count:
-        avail = sorted(count, reverse=True)
+    while avail:
         top = avail[0]
         count[top] -= 1
         gap = capacity - top
-        fits = [a for a in avail if a <= gap and count[a]]
-        filling = _fill(fits, count, gap, nodes)
+        fits = avail[bisect_left(avail, -gap, key=neg):]
+        if fits and not count[fits[0]]:
+            del fits[0]
+        filling = fill(fits, count, gap)
         if len(out) == turn and filling:
-            filling = _fill([a for a in fits if a != filling[0]], count, gap, nodes)
+            filling = fill([a for a in fits if a != filling[0]], count, gap)
         pattern = (top, *filling)
         count[top] += 1
         need = {s: pattern.count(s) for s in set(pattern)}
@@ -231,7 +315,7 @@ def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int =
         for s, n in need.items():
             count[s] -= copies * n
             if not count[s]:
-                del count[s]
+                del count[s], avail[bisect_left(avail, -s, key=neg)]
         out.append((tuple(sorted(pattern, reverse=True)), copies))
         # the waste of the last sequence is no loss: it is what the rest leaves open
         wasted += copies * (capacity - sum(pattern)) if count else 0
@@ -242,7 +326,7 @@ def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int =
 
 def best_fit(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing on the histogram: the incumbent of the whole search."""
-    return bin_completion(hist, capacity, nodes=0)
+    return bin_completion(hist, capacity, fill=_best_fit_fill)
 
 
 def lower_bound(hist: dict[int, int], capacity: int = CAPACITY) -> int:
@@ -251,14 +335,15 @@ def lower_bound(hist: dict[int, int], capacity: int = CAPACITY) -> int:
 
 
 def plan_packing(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """The best packing found: bin completion, then best-fit as an incumbent, then bin
-    completion with another filling of one sequence; stops at the lower bound."""
+    """The best packing found: bin completion, then best-fit and the search by nodes as incumbents,
+    then bin completion with another filling of one sequence; stops at the lower bound."""
     size = lambda plan: sum(c for _, c in plan)
     best, least = bin_completion(hist, capacity), lower_bound(hist, capacity)
     if size(best) > least:
-        best = min(best, best_fit(hist, capacity), key=size)
+        best = min(best, best_fit(hist, capacity), bin_completion(hist, capacity, fill=_fill_nodes), key=size)
     tokens = sum(k * n for k, n in hist.items())
-    for turn in range(TURNS):
+    # spread over the patterns: late ones, where waste gathers, turn too
+    for turn in sorted({t * len(best) // TURNS for t in range(TURNS)}):
         if size(best) <= least:
             break
         plan = bin_completion(hist, capacity, slack=(size(best) - 1) * capacity - tokens, turn=turn)

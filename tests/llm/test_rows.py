@@ -210,6 +210,35 @@ def test_word_table_equals_the_tokenizer():
         assert np.frombuffer(table[w.encode()], table.dtype).tolist() == plain.encode(w, add_special_tokens=False).ids
 
 
+def test_fillings_with_an_exact_bound(monkeypatch):
+    """The bound of a branch is what the smaller lengths can reach: no search by nodes, and the same filling (op6)."""
+    rng = random.Random(5)
+    for _ in range(200):
+        count = dict(Counter(rng.randint(1, 40) for _ in range(rng.randint(0, 12))))
+        avail, gap = sorted(count, reverse=True), rng.randint(0, 60)
+        avail = [a for a in avail if a <= gap]
+        assert P._fill(avail, count, gap) == P._fill_nodes(avail, count, gap, 10**9)
+    # even lengths leave one token open; the search by nodes goes through all their fillings
+    count = {2 * k: 3 for k in range(1, 200)}
+    assert sum(P._fill(sorted(count, reverse=True), count, 1999)) == 1998
+    hist = Counter({2 * k: 5 for k in range(20, 500)})
+    monkeypatch.setattr(P, "_fill_nodes", None)
+    plan = P.bin_completion(hist, 2047)
+    used = Counter()
+    for pattern, copies in plan:
+        used.update({x: copies * pattern.count(x) for x in set(pattern)})
+    assert used == hist
+
+
+def test_texts_look_their_different_runs_up_once():
+    """Words that differ only in signs or case have no entries of their own (op6)."""
+    table = P.WordIds(P.tokenizer_path())
+    got = table.texts([b"Word, word. WORD! (word) 12 21", b"", b"don't word", "caf\u00e9 \x1f w\u00a0x".encode(), b"\xff word"])
+    assert set(table) - {""} == {"word", ",", ".", "!", "(", ")", "1", "2", "caf\u00e9"}
+    for x, t in zip(got, ["Word, word. WORD! (word) 12 21", "", "don't word", "caf\u00e9 \x1f w\u00a0x", "\ufffd word"]):
+        assert x.tolist() == table.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_bin_completion_beats_best_fit():
     # best fit takes 6+3 and strands the 5s; completion finds 6+4 and 5+5
     hist = {6: 2, 5: 2, 4: 2, 3: 0}
