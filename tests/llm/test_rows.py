@@ -122,6 +122,23 @@ def test_exchange_ends_in_an_optimum():
     assert len(set(cls[1:21])) == 1 and len(set(cls[21:])) == 1 and cls[1] != cls[21]
 
 
+def test_class_lm_common_words(spark, docs_of, monkeypatch):
+    """The common words and unit bigrams reach the driver as columns, and no task sends it a list of its own (op3)."""
+    from pyspark.sql import DataFrame
+    rows = [(f"w{i}".encode(), 1 + (i * 7) % 50) for i in range(4000)] + [(L.END, 10**6)]
+    vocabulary = spark.createDataFrame(rows, "word binary, n bigint").repartition(8)
+    want = sorted(((w, n) for w, n in rows if w != L.END), key=lambda x: (-x[1], x[0]))
+    for k in (1, 100, 3999, 4000, 9000):
+        assert list(L.common_words(vocabulary, k).items()) == want[:k]
+    assert L._candidates(vocabulary, 100).count() == 160  # two counts of 80 words; eight tasks would send 800
+    assert L.common_words(vocabulary.limit(0)) == {}
+
+    def whole(self):
+        raise AssertionError("rows of a bounded but large table as Python objects")
+    monkeypatch.setattr(DataFrame, "toPandas", whole)
+    assert L.class_scores(docs_of([(i, f"some words {i}") for i in range(20)])).count() == 20
+
+
 def test_class_lm_cases(docs_of, odd_texts):
     got = L.class_scores(docs_of(odd_texts)).collect()
     assert len(got) == len(odd_texts) and all(math.isfinite(r["score"]) for r in got)
