@@ -124,7 +124,7 @@ def q_ordered_hot(spark, sf_dir, layout_name: str, form: str, keys: tuple):
     configure(spark)
     lay = get_layout(layout_name, hot=HOT_PATHS)
     path = scratch_path(spark, f"hot-{layout_name}")
-    write_ordered(lay.build(event_log_lines(spark, sf_dir)), lay, path, keys=[hot_name(*k) for k in keys])
+    write_ordered(lay.build(event_log_lines(spark, sf_dir, spread=True)), lay, path, keys=[hot_name(*k) for k in keys])
     hits = search(read_archive(spark, path, layout_name), lay, searches("sql", FIXTURE)[form])
     rr = lay.resolver(hits)
     return hits.select(rr.integer(EVENT_ID).alias("event_id"), rr.integer("id").alias("id"),

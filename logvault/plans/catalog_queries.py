@@ -18,7 +18,7 @@ from logvault.sources.lines import parse_lines
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    parsed, _ = parse_lines(event_log_lines(spark, sf_dir), "skip")
+    parsed, _ = parse_lines(event_log_lines(spark, sf_dir, spread=True), "skip")
     return parsed.select("j")
 
 
@@ -44,12 +44,12 @@ def q_path_catalog(spark, sf_dir):
 def q_path_catalog_pairwise(spark, sf_dir):
     """N05 read off a pairwise archive's path arrays."""
     configure(spark)
-    return path_catalog_pairwise(get_layout("pairwise").build(event_log_lines(spark, sf_dir)))
+    return path_catalog_pairwise(get_layout("pairwise").build(event_log_lines(spark, sf_dir, spread=True)))
 
 
 def _encoded_leaves(spark, sf_dir, mode):
     configure(spark)
-    df = event_log_lines(spark, sf_dir)
+    df = event_log_lines(spark, sf_dir, spread=True)
     df = df.select(VariantResolver(F.parse_json("line")).integer("attr.event_id").alias("event_id"),
                    encode_keys_text(F.col("line"), mode).alias("j"))
     return leaf_paths(df, "j", keep=["event_id"]).select("event_id", "path", "type")
@@ -69,7 +69,7 @@ def q_pairwise_lookup(spark, sf_dir):
     """N03 + N16: pairwise layout, bucket sizes and positional lookups."""
     configure(spark)
     lay = get_layout("pairwise")
-    df = lay.build(event_log_lines(spark, sf_dir))
+    df = lay.build(event_log_lines(spark, sf_dir, spread=True))
     return df.select(
         from_pairwise("attr.event_id", "int").alias("event_id"),
         F.size("string_columns").cast("bigint").alias("n_string"),

@@ -31,7 +31,7 @@ def clustered_archive(spark, sf_dir, layout_name: str) -> str:
     """The event log in files that follow the order of events, and its index."""
     configure(spark)
     lay = get_layout(layout_name)
-    lines = event_log_lines(spark, sf_dir)
+    lines = event_log_lines(spark, sf_dir, spread=True)
     path = scratch_path(spark, f"indexed-{layout_name}")
     key = F.get_json_object("line", "$.attr.event_id").cast("bigint")
     ingest(lines.repartitionByRange(FILES, key), lay, path)

@@ -23,7 +23,7 @@ from logvault.sources.lines import clean_lines, parse_lines
 def _mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log lines plus free-text conversation turns (not JSON)."""
     conv = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select(F.col("text").alias("line"))
-    return event_log_lines(spark, sf_dir).unionByName(conv)
+    return event_log_lines(spark, sf_dir, spread=True).unionByName(conv)
 
 
 def q_parse_policy(spark, sf_dir):

@@ -46,7 +46,7 @@ FORMS_OF_LAYOUT = {
 def layout_frame(spark: SparkSession, sf_dir: str, layout_name: str, **layout_kw):
     configure(spark)
     lay = get_layout(layout_name, **layout_kw)
-    return lay, lay.build(event_log_lines(spark, sf_dir))
+    return lay, lay.build(event_log_lines(spark, sf_dir, spread=True))
 
 
 def search_query(spark: SparkSession, sf_dir: str, layout_name: str, dialect: str, key: str) -> DataFrame:
@@ -71,7 +71,7 @@ def variation_count_query(spark: SparkSession, sf_dir: str, variation: str) -> D
     from logvault.sources.lines import VARIATIONS, dataset_variation
     configure(spark)
     lay = get_layout("variant")
-    df = lay.build(dataset_variation(event_log_lines(spark, sf_dir), variation))
+    df = lay.build(dataset_variation(event_log_lines(spark, sf_dir, spread=True), variation))
     mode = VARIATIONS[variation]
     preds = {s: encode_paths(searches(d, FIXTURE)[k], mode) for s, d, k, _ in FORMS_OF_LAYOUT["variant"]}
     return count_hits_many(df, lay, preds)

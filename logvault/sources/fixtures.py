@@ -25,6 +25,7 @@ PREFIX_BY_EVENT_MOD6 = {0: "log_release", 1: "log_remove", 2: "logXrelease"}
 SESSION_EVEN, SESSION_ODD = "connection", "txn"
 ERROR_TEXT = "disk full"
 BAD_KEY = "bad key-name"
+ROWS_A_TASK = 25_000
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +86,20 @@ def event_struct(ev: DataFrame) -> Column:
     )
 
 
-def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``line STRING``: one NDJSON log event per row of ``events``."""
+def event_log_lines(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``line STRING``: one NDJSON log event per row of ``events``.
+
+    ``spread`` deals the rows over tasks of about ``ROWS_A_TASK`` before their
+    documents are written (the order of the rows is lost): a scan has a task for each
+    row group at most, too few for work on every document.
+    """
     ev = _read(spark, sf_dir, "events")
-    return ev.select(F.to_json(event_struct(ev)).alias("line"))
+    tasks = -(-ev.count() // ROWS_A_TASK) if spread else 1  # the count comes from the footers
+    if tasks < 2:
+        return ev.select(F.to_json(event_struct(ev)).alias("line"))
+    # lines out of a generator: filters on them would be pushed below the shuffle and write them there
+    ev = ev.repartition(tasks)
+    return ev.select(F.explode(F.array(F.to_json(event_struct(ev)))).alias("line"))
 
 
 # Fixed values for the run-metric fixture: commands by event type, and the
