@@ -37,7 +37,7 @@ END_ID = 0
 CACHE_WORDS = 200_000
 #: Text bytes of a slice whose different runs are looked up once.
 SLICE_BYTES = 4 << 20
-#: Branch-and-bound nodes for one filling of the second search; at the limit its incumbent is taken (never a lost piece).
+#: Branch-and-bound nodes for one filling of the first search; at the limit its incumbent is taken (never a lost piece).
 NODES = 20_000
 #: Whole packings tried with another filling of one sequence, while none reaches the lower bound (cost only: the best one found stays).
 TURNS = 64
@@ -335,12 +335,12 @@ def lower_bound(hist: dict[int, int], capacity: int = CAPACITY) -> int:
 
 
 def plan_packing(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """The best packing found: bin completion, then best-fit and the search by nodes as incumbents,
-    then bin completion with another filling of one sequence; stops at the lower bound."""
+    """The best packing found: bin completion with the search by nodes, then with exact bounds and
+    best-fit, then exact ones with another filling of one sequence; stops at the lower bound."""
     size = lambda plan: sum(c for _, c in plan)
-    best, least = bin_completion(hist, capacity), lower_bound(hist, capacity)
+    best, least = bin_completion(hist, capacity, fill=_fill_nodes), lower_bound(hist, capacity)
     if size(best) > least:
-        best = min(best, best_fit(hist, capacity), bin_completion(hist, capacity, fill=_fill_nodes), key=size)
+        best = min(best, bin_completion(hist, capacity), best_fit(hist, capacity), key=size)
     tokens = sum(k * n for k, n in hist.items())
     # spread over the patterns: late ones, where waste gathers, turn too
     for turn in sorted({t * len(best) // TURNS for t in range(TURNS)}):
